@@ -20,6 +20,9 @@ FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z as a-z
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation, for words of letters and digits alone.
+IS_BREAK = IS_SPACE.copy()
+IS_BREAK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 #: Bytes of text handled at once; a longer single text is handled alone.
 BLOCK = 2 << 20
 _powers: dict[str, np.ndarray] = {}
@@ -80,13 +83,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), BASE_INV, "down")[start] + (end - start).astype(U) * U(SHINGLE))
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of every word, and the n + 1 word offsets of the texts. fold: A-Z count as a-z."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(offsets), np.int64)
     inside = np.zeros(n + 1, bool)
-    inside[:n] = ~IS_SPACE[buf]
+    inside[:n] = ~breaks[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.zeros(n + 1, bool)
