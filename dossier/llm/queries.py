@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.decontamination import contaminated
+from dossier.llm.language_id import language_id
 from dossier.llm.license_scan import license_scan
 from dossier.llm.near_dedup import near_dedup
 from dossier.llm.packing import packing
 from dossier.llm.quality_rules import quality_rules
 from dossier.llm.secret_scan import digest, secret_scan
 from dossier.llm.suffix_dedup import suffix_dedup
+from dossier.llm.toxicity import toxicity
 from dossier.llm.url_filters import url_filters
 
 
@@ -21,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(table(spark, sf_dir, "pages"))
 
@@ -42,6 +48,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,11 +65,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_near_dedup": op3_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
