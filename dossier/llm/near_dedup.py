@@ -4,8 +4,8 @@
 2. Equal sets make one class at once; one document stands for it.
 3. Inverted lists of retained values, rarest first: two documents that share enough of their 32 smallest values must
    meet in a list of their rarest ones, so lists of values that many unrelated documents hold stay short.
-4. In a list, members are held against its leader, not against each other; only members that end outside the leader's
-   component are held against the rest.
+4. In a list, members are held against its leader, not against each other. Lists that then still hold several
+   components give their members to an exact prefix filter on full sets, ordered by rarity.
 5. The union-sketch estimate filters; exact Jaccard on the full sets decides.
 6. Components by hooking and pointer jumping over the links.
 """
@@ -29,6 +29,8 @@ SKETCH, LISTED = 64, 32
 SHARED = 13
 #: Least share of the union's 64 smallest values that both hold; at 0.75 the share is under 0.5 with a chance near 1e-6.
 LEAST_ESTIMATE = 0.5
+#: Rounds of links to leaders before the rest is compared.
+TURNS = 2
 #: Documents checked against one copy of a leader's set.
 PER_COPY = 512
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"
@@ -72,14 +74,19 @@ def _estimate(mine: str, other: str) -> F.Column:
 
 
 def _lists(reps: DataFrame) -> DataFrame:
-    """(rep, n_shingles, value): each document in the lists of its rarest listed values that any other document holds."""
+    """(rep, n_shingles, central, value): each document in the lists of its rarest listed values that any other holds.
+
+    central: how many documents share its values; of a family the one that most resemble has the highest.
+    """
     listed = reps.select("rep", "n_shingles", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     counts = listed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = listed.join(counts, "value").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("ranked"))  # LISTED at most
     held = F.least(F.col("n_shingles"), F.lit(LISTED))
     # values that no other document holds come first in the order; they use up places
     places = held - F.when(held < LISTED, F.floor(held / 2)).otherwise(SHARED) + 1 - (held - F.size("ranked"))
-    return ranked.where(places > 0).select("rep", "n_shingles", F.explode(F.slice("ranked", 1, places.cast("int"))).alias("x")).select("rep", "n_shingles", F.col("x.value").alias("value"))
+    central = F.aggregate("ranked", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    rows = ranked.where(places > 0).select("rep", "n_shingles", central.alias("central"), F.explode(F.slice("ranked", 1, places.cast("int"))).alias("x"))
+    return rows.select("rep", "n_shingles", "central", F.col("x.value").alias("value"))
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +114,35 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, offsets = K.utf8(batch.column("members"))
+        n = np.diff(offsets) // 8
+        row = np.repeat(np.arange(len(n)), n)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in ("rep", "n_shingles", "root")] + [pa.array(np.frombuffer(buf.tobytes(), np.int64))], names=["rep", "n_shingles", "root", "value"])
+
+
+def _prefix_pairs(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, rep) of different roots whose full sets may be similar enough; none that are is missed.
+
+    Shingles are ordered by how many of ``reps`` hold them. Two sets of sizes m and n must share (m + n) * 3 / 7 members,
+    so their first common one stands early in both: within the first quarter, and with enough members behind it.
+    """
+    flat = reps.join(sets, "rep").select("rep", "n_shingles", "root", "members").mapInArrow(_members, "rep long, n_shingles long, root long, value long")
+    flat = written(flat, "members")
+    counts = flat.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = flat.join(counts, "value").groupBy("rep", "n_shingles", "root").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("ranked"))  # as long as the text
+    alone = F.col("n_shingles") - F.size("ranked")  # held by no other: first in the order
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * PERCENT / 100) + 1
+    early = ranked.withColumns({"alone": alone, "places": (first - alone).cast("int")}).where("places > 0")
+    early = early.select("rep", "n_shingles", "root", "alone", F.posexplode(F.slice("ranked", 1, F.col("places"))).alias("pos", "x")).select("rep", "n_shingles", "root", (F.col("n_shingles") - F.col("alone") - F.col("pos")).alias("behind"), F.col("x.value").alias("value"))
+    x, y = early.alias("x"), early.alias("y")
+    fits = F.least("x.behind", "y.behind") * (100 + PERCENT) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * PERCENT
+    sizes = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * PERCENT) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * PERCENT)
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, (F.col("x.value") == F.col("y.value")) & apart & sizes & fits).select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("rep")).distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (hub, rep) whose full sets are similar enough. A hub's set is copied once for PER_COPY partners."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PER_COPY).cast("int").alias("copies"))
@@ -161,13 +197,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         return both.withColumn("estimate", _estimate("hub_sketch", "sketch")).where(F.col("estimate") >= LEAST_ESTIMATE).select("hub", "rep", "estimate")
 
     similar_size = (F.col("n_shingles") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n_shingles") * PERCENT)
-    for turn in range(2):
-        # each member against the leader of its lists that seems nearest; leaders are the first by hash, so lists agree on them
+    leader = F.max_by(F.struct("rep", "n_shingles", "root"), F.struct("central", -F.col("rep"))).alias("leader")
+    for turn in range(TURNS):
+        # each member against the most central one of its lists; in later turns, of those outside the first one's component
         members = lists.join(roots, "rep")
-        by_root = members.groupBy("value").agg(F.min_by(F.struct("rep", "n_shingles", "root"), F.struct(F.xxhash64("root"), F.xxhash64("rep"))).alias("leader"), F.count_distinct("root").alias("roots") if turn else F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        if turn:  # a second leader from those outside the first one's component
-            outside = members.join(by_root, "value").where("root <> leader.root").groupBy("value").agg(F.min_by(F.struct("rep", "n_shingles", "root"), F.struct(F.xxhash64("root"), F.xxhash64("rep"))).alias("leader"))
-            by_root = outside
+        by_root = members.groupBy("value").agg(leader, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        if turn:
+            by_root = members.join(by_root, "value").where("root <> leader.root").select("value", "rep", "n_shingles", "central", "root").groupBy("value").agg(leader)
         pairs = members.join(by_root.select("value", F.col("leader.rep").alias("hub"), F.col("leader.n_shingles").alias("hub_n"), F.col("leader.root").alias("hub_root")), "value")
         pairs = filtered(pairs.where((F.col("root") != F.col("hub_root")) & similar_size).select("hub", "rep").distinct())
         nearest = pairs.groupBy("rep").agg(F.max_by("hub", F.struct("estimate", -F.col("hub"))).alias("hub"))
@@ -175,15 +211,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         known = links if known is None else known.unionByName(links)
         roots = written(components(reps.select("rep"), known, f"turn{turn}"), "roots")
 
-    # what is still apart: every member outside the leader's component against all members of its list in other components
+    # lists that still hold several components: their members are compared by exact prefixes of their full sets
     members = lists.join(roots, "rep")
-    by_root = members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
-    leaders = by_root.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    apart = members.join(leaders, "value").where("root <> main").select("value", "rep", "n_shingles", "root", "main")
-    other = members.select("value", F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("root").alias("hub_root"))
-    once = (F.col("hub_root") == F.col("main")) | (F.col("hub") < F.col("rep"))
-    rest = apart.join(other, "value").where((F.col("root") != F.col("hub_root")) & once & similar_size).select("hub", "rep").distinct()
-    rest = written(filtered(rest), "rest")
+    mixed = members.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    open_reps = written(members.join(mixed, "value").select("rep", "n_shingles", "root").distinct(), "open")
+    rest = written(filtered(_prefix_pairs(open_reps, sets)), "rest")
     known = known.unionByName(_confirm(rest, sets))
     roots = components(reps.select("rep"), known, "last")
 
