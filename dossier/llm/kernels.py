@@ -24,7 +24,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 IS_BREAK = IS_SPACE.copy()
 IS_BREAK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 #: Bytes of text handled at once; a longer single text is handled alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -27,11 +27,11 @@ from dossier.llm.scratch import written
 
 LENGTH, GRAM = 100, 16
 #: Anchors, or rows of surroundings, that a task sorts at once; a group is never cut.
-ROWS_AT_ONCE, CONTEXTS_AT_ONCE = 400_000, 40_000
+ROWS_AT_ONCE, CONTEXTS_AT_ONCE = 150_000, 40_000
 #: A gram with more different surroundings than this is dealt by LENGTH-byte string instead.
-MOST_CONTEXTS = 20_000
-ANCHORS = "gram long, around long, doc_id long, start int, stop int, known boolean"
-SPANS = "doc_id long, start int, stop int, gram long, kind int"
+MOST_CONTEXTS = 200_000
+ANCHORS = "gram long, around long, doc_id long, at int, start int, stop int, known boolean"
+SPANS = "doc_id long, at int, start int, stop int, gram long, kind int"
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -85,16 +85,16 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, stop = np.maximum(at - reach, 0), np.minimum(at + LENGTH, size)
             grams = K.span_hash(prefix, base + at, base + at + GRAM)
             around = K.span_hash(prefix, base + start, base + stop)
-            order = np.lexsort((start, ids[text], around, grams))
-            grams, around, text, start, stop = grams[order], around[order], text[order], start[order], stop[order]
+            order = np.lexsort((at, ids[text], around, grams))
+            grams, around, text, at, start, stop = (x[order] for x in (grams, around, text, at, start, stop))
             doc = ids[text]
             again = np.zeros(len(order), bool)
             again[1:] = (grams[1:] == grams[:-1]) & (around[1:] == around[:-1])
             own = again.copy()
-            own[1:] &= ~((doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
+            own[1:] &= ~((doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
             # a known repeat needs no group: it goes to a place of its own, so that hot grams don't gather
-            grams = np.where(own, K.mix(doc.astype(K.U) * K.U(K.BASE) + start.astype(K.U)), grams)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(own)], names=["gram", "around", "doc_id", "start", "stop", "known"])
+            grams = np.where(own, K.mix(doc.astype(K.U) * K.U(K.BASE) + at.astype(K.U)), grams)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), *(pa.array(x, pa.int32()) for x in (at, start, stop)), pa.array(own)], names=["gram", "around", "doc_id", "at", "start", "stop", "known"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -122,28 +122,28 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[
 def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram. Out: repeats as a whole (kind 0), and surroundings to compare (kind 1; 2: by string)."""
     for table in _groups(batches, "gram", ROWS_AT_ONCE):
-        gram, around, doc, start, stop, known = (table.column(c).to_numpy() for c in ("gram", "around", "doc_id", "start", "stop", "known"))
-        order = np.lexsort((start, doc, around, gram))
-        gram, around, doc, start, stop, known = (x[order] for x in (gram, around, doc, start, stop, known))
+        gram, around, doc, at, start, stop, known = (table.column(c).to_numpy() for c in ("gram", "around", "doc_id", "at", "start", "stop", "known"))
+        order = np.lexsort((at, doc, around, gram))
+        gram, around, doc, at, start, stop, known = (x[order] for x in (gram, around, doc, at, start, stop, known))
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         new = new_gram.copy()
         new[1:] |= around[1:] != around[:-1]
         group = np.cumsum(new_gram) - 1
         several = np.bincount(group[new])
-        first_doc, first_start = (x[np.flatnonzero(new)[np.cumsum(new) - 1]] for x in (doc, start))
-        repeat = known | (~new & ~((doc == first_doc) & (start == first_start)))
+        first_doc, first_at = (x[np.flatnonzero(new)[np.cumsum(new) - 1]] for x in (doc, at))
+        repeat = known | (~new & ~((doc == first_doc) & (at == first_at)))
         compare = new & (several[group] > 1)
         kind = np.where(compare, np.where(several[group] > MOST_CONTEXTS, 2, 1), 0)
         for keep, kinds in ((repeat, np.zeros(len(gram), np.int64)), (compare, kind)):
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(start[keep], pa.int32()), pa.array(stop[keep], pa.int32()), pa.array(gram[keep]), pa.array(kinds[keep], pa.int32())], names=["doc_id", "start", "stop", "gram", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), *(pa.array(x[keep], pa.int32()) for x in (at, start, stop)), pa.array(gram[keep]), pa.array(kinds[keep], pa.int32())], names=["doc_id", "at", "start", "stop", "gram", "kind"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, start, bytes): an anchor's surroundings, or its LENGTH-byte strings one by one."""
-    for batch in batches:
-        keys, docs, starts, raw = [], [], [], []
+    for batch in _few(batches):
+        keys, docs, ats, starts, raw = [], [], [], [], []
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             text = (text or "").encode()
             for s in spans:
@@ -153,32 +153,57 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     raw.append(text[i:j])
                     keys.append(s["gram"] if s["kind"] == 1 else int.from_bytes(hashlib.blake2b(text[i:j], digest_size=8).digest(), "little", signed=True))
                     docs.append(doc)
+                    ats.append(s["at"] if s["kind"] == 1 else i)
                     starts.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(raw, pa.binary())], names=["gram", "doc_id", "start", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(starts, pa.int32()), pa.array(raw, pa.binary())], names=["gram", "doc_id", "at", "start", "raw"])
+
+
+def _repeats(doc: np.ndarray, at: np.ndarray, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first byte in the text) of every LENGTH-byte string that an earlier row of the same key holds at the same place from its anchor.
+
+    Rows lie as lines of a matrix, anchors below each other; one column of strings is handled at a time.
+    """
+    reach = LENGTH - GRAM
+    width = reach + LENGTH
+    low = reach - (at - start)
+    high = low + np.diff(offsets)
+    order = np.lexsort((at, doc, key))
+    matrix = np.zeros((len(doc), width), np.uint8)
+    row = np.repeat(np.arange(len(doc)), np.diff(offsets))
+    matrix[row, low[row] + np.arange(len(raw)) - offsets[:-1][row]] = raw
+    matrix, low, high, doc, at, key = matrix[order], low[order], high[order], doc[order], at[order], key[order]
+    values, base = K.BYTE_VALUES, K.U(K.BASE)
+    top = K.U(pow(K.BASE, LENGTH - 1, 1 << 64))
+    h = np.zeros(len(doc), K.U)
+    for c in range(LENGTH):
+        h = h * base + values[matrix[:, c]]
+    rows, firsts = [], []
+    for o in range(reach + 1):
+        if o:
+            h = (h - values[matrix[:, o - 1]] * top) * base + values[matrix[:, o + LENGTH - 1]]
+        here = np.flatnonzero((low <= o) & (o + LENGTH <= high))
+        mark = K.mix(h[here]) ^ key[here]
+        by = np.argsort(mark, kind="stable")  # rows are in order of document and place already
+        here, mark = here[by], mark[by]
+        new = np.ones(len(here), bool)
+        new[1:] = mark[1:] != mark[:-1]
+        first = here[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(here) else here
+        later = np.flatnonzero(~new & ((doc[here] != doc[first]) | (at[here] != at[first])))
+        for i in range(0, len(later), 50_000):
+            x, y = here[later[i : i + 50_000]], first[later[i : i + 50_000]]
+            same = (matrix[x, o : o + LENGTH] == matrix[y, o : o + LENGTH]).all(axis=1)
+            rows.append(x[same])
+            firsts.append(at[x[same]] - reach + o)
+    rows, firsts = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, firsts))
+    return doc[rows], firsts
 
 
 def _last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram: the LENGTH-byte strings in the surroundings that also start earlier, as merged spans."""
     for table in _groups(batches, "gram", CONTEXTS_AT_ONCE):
-        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-        buf, offsets = K.utf8(table.column("raw").combine_chunks() if isinstance(table.column("raw"), pa.ChunkedArray) else table.column("raw"))
-        n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-        row = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = offsets[row] + inner
-        h = K.span_hash(K.prefix_hash(buf), at, at + LENGTH)
-        docs, starts = doc[row], start[row] + inner
-        order = np.lexsort((starts, docs, h))
-        h, docs, starts, at = h[order], docs[order], starts[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = np.flatnonzero(~new & ((docs != docs[first]) | (starts != starts[first])))
-        if len(later):
-            strings = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)
-            same = np.concatenate([(strings[at[later[i : i + 20_000]]] == strings[at[first[later[i : i + 20_000]]]]).all(axis=1) for i in range(0, len(later), 20_000)])
-            later = later[same]
-        d, s = docs[later], starts[later]
+        doc, start, at, key = (table.column(c).to_numpy() for c in ("doc_id", "start", "at", "gram"))
+        raw, offsets = K.utf8(table.column("raw").combine_chunks())
+        d, s = _repeats(doc, at.astype(np.int64), raw, offsets, key.astype(np.int64).view(K.U), start.astype(np.int64))
         order = np.lexsort((s, d))
         d, s = d[order], s[order]
         begin = np.ones(len(d), bool)
@@ -188,8 +213,15 @@ def _last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(s[head], pa.int32()), pa.array(s[tail] + LENGTH, pa.int32())], names=["doc_id", "start", "stop"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows, as Python objects take many times the room of Arrow's."""
     for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few(batches):
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode()
@@ -218,15 +250,15 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Remove from every text of ``docs`` (doc_id, text; other columns are ignored) what repeats earlier bytes.
 
     Each byte goes that a 100-byte string covers which also starts earlier: in a smaller doc_id or earlier in the same
-    text. Null texts count as empty. doc_id must be unique: rows that share one count as overlaid copies of one text.
+    text. Null texts count as empty, a null doc_id as -1. doc_id must be unique: rows that share one count as overlaid copies of one text.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character).
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")  # never null, so both joins below share one exchange
     found = texts.mapInArrow(_anchored, ANCHORS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_second_digit, SPANS)
     found = written(found, "anchors")
     dealt = texts.repartition("doc_id")
-    open_spans = _per_doc(found.where("kind > 0"), "start", "stop", "gram", "kind")
-    strings = dealt.join(open_spans, "doc_id").mapInArrow(_surroundings, "gram long, doc_id long, start int, raw binary")
+    open_spans = _per_doc(found.where("kind > 0"), "at", "start", "stop", "gram", "kind")
+    strings = dealt.join(open_spans, "doc_id").mapInArrow(_surroundings, "gram long, doc_id long, at int, start int, raw binary")
     later = strings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_last_digit, "doc_id long, start int, stop int")
     spans = found.where("kind = 0").select("doc_id", "start", "stop").unionByName(later)
     return dealt.join(_per_doc(spans, "start", "stop"), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
