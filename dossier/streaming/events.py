@@ -14,18 +14,24 @@ from dossier.operators.safety import TRANSITIONS
 WATERMARK = "10 minutes"
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream's watermark needs a timestamp with time zone; a batch keeps its own type."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, width: str = "1 hour", late: str = WATERMARK) -> DataFrame:
     """Counts and sums per window and event type; works on a batch and on a stream. Later events than ``late`` are left out of a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    return _timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def once(events: DataFrame, late: str = WATERMARK) -> DataFrame:
     """Each event_id once within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    timed = _timed(events, late)
+    return timed.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else timed.dropDuplicates(["event_id"])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = WATERMARK) -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "n")
+    return _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "n")
 
 
 def review_status(actions: DataFrame) -> DataFrame:
