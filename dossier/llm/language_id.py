@@ -20,6 +20,7 @@ from dossier.llm.samples import bucket, excerpt, sampled
 WINDOW, HIDDEN, BATCH = 64, 8, 2048
 #: Training documents at most, characters of each, passes and rows a step.
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 800, 384, 8, 256, 0.01, 11
+LEAST_STEPS = 150
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
 
@@ -75,9 +76,11 @@ class LanguageModel:
         buf, offsets = K.utf8(pa.array(texts, pa.binary()))
         text, start, size = windows(buf, offsets)
         rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
-        for epoch in range(EPOCHS):
-            adam.rate = RATE * (1 - epoch / EPOCHS)
-            for rows in np.array_split(rng.permutation(len(text)), max(1, len(text) // STEP)):
+        n_parts = max(1, len(text) // STEP)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // n_parts))
+        for epoch in range(epochs):
+            adam.rate = RATE * (1 - epoch / epochs)
+            for rows in np.array_split(rng.permutation(len(text)), n_parts):
                 if not len(rows):
                     continue
                 ids, mask = grid(buf, start[rows], size[rows])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.decontamination import contaminated
 from dossier.llm.language_id import language_id
-from dossier.llm.license_scan import license_scan
+from dossier.llm.license_scan import TEMPLATES, license_scan
 from dossier.llm.near_dedup import near_dedup
 from dossier.llm.packing import packing
 from dossier.llm.quality_rules import quality_rules
@@ -76,4 +76,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _shingled(name: str, source: str, key: str, words: str) -> str:
+    """SQL of (key, g): the distinct five-word shingles of a table's texts; fewer words are one shingle."""
+    return f"""{name}_w AS (SELECT {key}, {words} AS x FROM {source}),
+{name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(x) >= 5 THEN list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS g FROM {name}_w)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+NEAR_DEDUP_SQL = f"""WITH RECURSIVE {_shingled('s', 'documents', 'doc_id', _WORDS)},
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+two_way AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN two_way l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+DECONTAMINATION_SQL = f"""WITH {_shingled('s', 'documents', 'doc_id', _WORDS)}, {_shingled('q', 'benchmark', 'item_id', _WORDS)},
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN q USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item"""
+
+_TEMPLATES = "SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES)) + ") AS v(template_id, license, text)"
+LICENSE_SQL = f"""WITH t AS ({_TEMPLATES}), {_shingled('s', 'documents', 'doc_id', _TOKENS)}, {_shingled('q', 't', 'template_id', _TOKENS)},
+n AS (SELECT template_id, count(*) AS n_template FROM q GROUP BY ALL),
+m AS (SELECT doc_id, template_id, n_shared, n_template, n_shared / n_template::DOUBLE AS containment FROM (SELECT doc_id, template_id, count(*) AS n_shared FROM s JOIN q USING (g) GROUP BY ALL) JOIN n USING (template_id) WHERE 100 * n_shared >= 75 * n_template),
+kin AS (SELECT DISTINCT a.template_id AS a, b.template_id AS b FROM q a JOIN q b ON a.g = b.g AND a.template_id <> b.template_id)
+SELECT doc_id, m.template_id, license, n_shared, n_template, containment FROM m JOIN t USING (template_id)
+WHERE NOT EXISTS (SELECT 1 FROM m o JOIN kin ON kin.b = o.template_id WHERE kin.a = m.template_id AND o.doc_id = m.doc_id AND o.containment > m.containment)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}

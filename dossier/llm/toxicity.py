@@ -22,6 +22,7 @@ WINDOW, STRIDE, HIDDEN, BATCH = 32, 16, 12, 2048
 WORD_ROWS, TRIPLE_ROWS, WORD_DIM, TRIPLE_DIM = 1 << 14, 1 << 14, 8, 16
 #: Training documents of each label at most, characters of each, passes, documents a step.
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 1_200, 6_000, 10, 64, 0.01, 5
+LEAST_STEPS = 150
 SCORED = "doc_id long, score double"
 
 
@@ -97,9 +98,11 @@ class ToxicityModel:
         """Logistic loss of each document's highest window; the labels weigh alike."""
         rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
         weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
-        for epoch in range(EPOCHS):
-            adam.rate = RATE * (1 - epoch / EPOCHS)
-            for docs in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // STEP)):
+        n_parts = max(1, len(texts) // STEP)
+        epochs = max(EPOCHS, -(-LEAST_STEPS // n_parts))
+        for epoch in range(epochs):
+            adam.rate = RATE * (1 - epoch / epochs)
+            for docs in np.array_split(rng.permutation(len(texts)), n_parts):
                 buf, offsets = K.utf8(pa.array([texts[i] for i in docs], pa.string()))
                 words = Words(buf, offsets)
                 if not len(words.text):
