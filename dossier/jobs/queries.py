@@ -181,8 +181,8 @@ def admission_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'HTML' ELSE 'TEXT' END AS document_type,
-CASE WHEN doc_id % 5 = 0 THEN 'UNSUPPORTED_TYPE' WHEN strlen(text) = 0 THEN 'EMPTY_FILE' WHEN doc_id % 7 = 0 THEN 'HASH_MISMATCH' END AS reason,
-CASE WHEN doc_id % 5 = 0 THEN 'REJECTED' WHEN strlen(text) = 0 OR doc_id % 7 = 0 THEN 'QUARANTINED' ELSE 'ACCEPTED' END AS state FROM documents"""
+CASE WHEN doc_id % 5 = 0 THEN 'UNSUPPORTED_DOCUMENT_TYPE' WHEN strlen(text) = 0 THEN 'EMPTY_FILE' WHEN doc_id % 7 = 0 THEN 'CONTENT_HASH_MISMATCH' END AS reason,
+CASE WHEN doc_id % 5 = 0 THEN 'REJECTED_INPUT' WHEN strlen(text) = 0 OR doc_id % 7 = 0 THEN 'QUARANTINED' ELSE 'READY_FOR_INGESTION' END AS state FROM documents"""
 )
 def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
@@ -190,6 +190,27 @@ def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.file_safety(files).select("doc_id", "document_type", "reason", "state")
 
 
+@query(
+    f"""WITH {PROVENANCE}, x AS (SELECT doc_id, CASE WHEN source_family_id = 'SF-09' THEN 1 WHEN jurisdiction IS NULL OR jurisdiction = 'ATLANTIS' THEN 2
+  WHEN jurisdiction <> CASE source_family_id WHEN 'SF-06' THEN 'INTERNATIONAL' WHEN 'SF-08' THEN 'NOT_APPLICABLE' ELSE 'INDIA' END THEN 3 WHEN trim(content_hash) = '' THEN 5 WHEN doc_id % 5 = 4 THEN 6
+  WHEN doc_id % 6 = 1 THEN 7 WHEN doc_id % 10 = 0 THEN 8 WHEN doc_id % 10 = 3 THEN 9 WHEN doc_id % 4 = 0 THEN 10 WHEN doc_id % 6 = 2 THEN 11 ELSE 12 END AS r FROM p)
+SELECT doc_id, 'A' || r AS rule_id, CASE WHEN r <= 3 THEN 'REJECT' WHEN r = 7 THEN 'SUPERSEDED' WHEN r <= 9 THEN 'HOLD_FOR_VALIDATION' WHEN r <= 11 THEN 'ADMIT_WITH_RESTRICTION' ELSE 'ADMIT' END AS admission_status FROM x"""
+)
+def admission_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    records = _provenance(spark, sf_dir).drop("admission_status").withColumns(
+        {
+            "validation_status": F.when(i % 5 == 4, "UNVALIDATED").otherwise("VALIDATED"),
+            "supersession_status": F.when(i % 6 == 1, "SUPERSEDED").when(i % 6 == 2, "UNKNOWN").otherwise("CURRENT"),
+            "version_known": i % 4 != 0,
+            "effective_date_known": i % 4 != 0,
+            "conflict_status": F.when(i % 10 == 0, "CONFLICTING").when(i % 10 == 3, "NONE"),
+            "known_conflicting_with": F.when(i % 10 == 3, F.array(F.lit("other"))),
+        }
+    )
+    return admission.admission_policy(records, admission.families(spark)).select("doc_id", "rule_id", "admission_status")
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _provenance(spark, sf_dir).drop("content_hash").withColumns({"jurisdiction": F.coalesce("jurisdiction", F.lit("INDIA")), "block_ids": F.array(F.concat("document_id", F.lit(":p1:b1"))), "page_numbers": F.array(F.lit(1))})
     return evidence.evidence_items(rows)

@@ -54,11 +54,37 @@ def file_safety(files: DataFrame) -> DataFrame:
     typed = files.withColumn("document_type", F.try_element_at(kinds, F.lower("extension")))
     reason = first_match(
         [
-            (F.col("document_type").isNull(), "UNSUPPORTED_TYPE"),
+            (F.col("document_type").isNull(), "UNSUPPORTED_DOCUMENT_TYPE"),
             (F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "EMPTY_FILE"),
-            (F.octet_length("content") > MOST_BYTES, "FILE_TOO_LARGE"),
-            (~F.sha2("content", 256).eqNullSafe(F.lower(F.trim("claimed_hash"))), "HASH_MISMATCH"),
+            (F.octet_length("content") > MOST_BYTES, "OVERSIZED_INPUT"),
+            (~F.sha2("content", 256).eqNullSafe(F.lower(F.trim("claimed_hash"))), "CONTENT_HASH_MISMATCH"),
         ]
     )
-    state = F.when(F.col("reason").isNull(), "ACCEPTED").when(F.col("reason") == "UNSUPPORTED_TYPE", "REJECTED").otherwise("QUARANTINED")
+    state = F.when(F.col("reason").isNull(), "READY_FOR_INGESTION").when(F.col("reason") == "UNSUPPORTED_DOCUMENT_TYPE", "REJECTED_INPUT").otherwise("QUARANTINED")
     return typed.withColumn("reason", reason).withColumn("state", state)
+
+
+def admission_policy(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds rule_id (A1 to A12, the first that fits), admission_status and reason (null for A12) to provenance records.
+
+    records: source_family_id, jurisdiction, document_id, content_hash, validation_status, supersession_status,
+    version_known, effective_date_known, conflict_status, known_conflicting_with (array).
+    """
+    c = F.col
+    joined = records.join(F.broadcast(registry.select("source_family_id", "jurisdiction_scope")), "source_family_id", "left")
+    known_conflict = F.size(F.coalesce("known_conflicting_with", F.array().cast("array<string>"))) > 0
+    steps = (
+        (c("jurisdiction_scope").isNull(), "A1", "REJECT", "UNKNOWN_SOURCE_FAMILY"),
+        (c("jurisdiction").isNull() | ~c("jurisdiction").isin(*EVIDENCE_JURISDICTIONS), "A2", "REJECT", "UNKNOWN_JURISDICTION"),
+        (c("jurisdiction") != c("jurisdiction_scope"), "A3", "REJECT", "JURISDICTION_MISMATCH"),
+        (is_blank(c("document_id")), "A4", "HOLD_FOR_VALIDATION", "MISSING_DOCUMENT_IDENTITY"),
+        (is_blank(c("content_hash")), "A5", "HOLD_FOR_VALIDATION", "MISSING_CONTENT_HASH"),
+        (~c("validation_status").eqNullSafe("VALIDATED"), "A6", "HOLD_FOR_VALIDATION", "VALIDATION_NOT_CONFIRMED"),
+        (c("supersession_status") == "SUPERSEDED", "A7", "SUPERSEDED", "DOCUMENT_SUPERSEDED"),
+        (c("conflict_status") == "CONFLICTING", "A8", "HOLD_FOR_VALIDATION", "UNRESOLVED_CONFLICT"),
+        (known_conflict & F.coalesce("conflict_status", F.lit("")).isin("", "NONE"), "A9", "HOLD_FOR_VALIDATION", "MISSING_CONFLICT_STATUS_DESPITE_KNOWN_CONFLICT"),
+        (~c("version_known") & ~c("effective_date_known"), "A10", "ADMIT_WITH_RESTRICTION", "VERSION_UNKNOWN_RESTRICTED"),
+        (c("supersession_status") == "UNKNOWN", "A11", "ADMIT_WITH_RESTRICTION", "SUPERSESSION_STATUS_UNKNOWN"),
+    )
+    pick = lambda k, last: first_match([(s[0], s[k]) for s in steps], last)
+    return joined.withColumns({"rule_id": pick(1, "A12"), "admission_status": pick(2, "ADMIT"), "reason": pick(3, None)}).drop("jurisdiction_scope")

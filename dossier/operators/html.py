@@ -13,49 +13,61 @@ SCHEMA = "page_id long, sequence long, block_type string, heading_level int, tex
 
 
 class PageReader(HTMLParser):
-    """Collects blocks. The text buffer empties only where a captured element opens, so nested elements repeat text."""
+    """Collects blocks. The text buffer empties only where a captured element opens, so nested or stray ends repeat text."""
+
+    CAPTURED = {*HEADINGS, "p", "li", "title", "td", "th"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int | None, str, list[list[str]] | None]] = []
-        self.buffer: list[str] = []
+        self.text: list[str] = []
+        self.open = self.spans = self.simplified = False
         self.title: str | None = None
-        self.simplified = False
         self.depth = 0
+        self.row: list[str] | None = None
         self.table: list[list[str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "table":
-            self.depth += 1
-            if self.depth == 1:
-                self.table = []
-        elif tag == "tr" and self.depth == 1:
-            self.table.append([])
+        if tag in self.CAPTURED:
+            self.open, self.text = True, []
+            self.spans |= tag in ("td", "th") and any(name in ("colspan", "rowspan") for name, _ in attrs)
         elif tag in ("ul", "ol"):
             self.blocks.append(("LIST", None, "", None))
-        elif tag in HEADINGS or tag in ("p", "li", "title", "td", "th"):
-            self.buffer = []
-        if tag in ("td", "th") and any(k in ("colspan", "rowspan") for k, _ in attrs):
-            self.simplified = True
+        elif tag == "table":
+            self.depth += 1
+            self.table = [] if self.depth == 1 else self.table
+        elif tag == "tr" and self.depth == 1:
+            self.row = []
 
     def handle_data(self, data: str) -> None:
-        self.buffer.append(data)
+        if self.open:
+            self.text.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        text = " ".join("".join(self.buffer).split())
-        if tag in HEADINGS or tag == "p":
-            if text:
-                self.blocks.append(("HEADING" if tag in HEADINGS else "PARAGRAPH", HEADINGS.get(tag), text, None))
-        elif tag == "li":
-            self.blocks.append(("LIST_ITEM", None, text, None))
+        if tag in self.CAPTURED:
+            self.open = False
+            self.captured(tag, "".join(self.text).strip())
+        elif tag == "tr" and self.depth == 1:
+            if self.row is not None:
+                self.table.append(self.row)
+            self.row = None
+        elif tag == "table":
+            if self.depth == 1:
+                self.blocks.append(("TABLE", None, "", self.table))
+            self.depth = max(0, self.depth - 1)
+
+    def captured(self, tag: str, text: str) -> None:
+        if tag in ("td", "th"):
+            if self.row is not None:
+                self.row.append(text)
+            self.simplified |= self.spans
+            self.spans = False
         elif tag == "title":
             self.title = text or None
-        elif tag in ("td", "th") and self.depth and self.table:
-            self.table[-1].append(text)
-        elif tag == "table" and self.depth:
-            self.depth -= 1
-            if not self.depth:
-                self.blocks.append(("TABLE", None, "\n".join(" | ".join(r) for r in self.table), self.table))
+        elif tag == "li":
+            self.blocks.append(("LIST_ITEM", None, text, None))
+        elif text:
+            self.blocks.append(("PARAGRAPH" if tag == "p" else "HEADING", HEADINGS.get(tag), text, None))
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:

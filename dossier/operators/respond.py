@@ -24,21 +24,33 @@ def ground(outputs: DataFrame) -> DataFrame:
 
 
 def deliver(responses: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """Adds delivery_status and delivered_text to responses.
+    """Adds delivery_reason, delivery_status and delivered_text to responses.
 
     responses: safety_status, grounding_status, requested_language, answer, source_language, translation (null: no
     provider), translation_ok. Only a delivered response carries a text.
     """
     c = F.col
+    none = c("requested_language").isNull() | (c("requested_language") == "unspecified")
+    reason = first_match(
+        [
+            (~c("safety_status").eqNullSafe("SAFE_TO_PRESENT"), "SAFETY_NOT_SAFE_TO_PRESENT"),
+            (~c("grounding_status").eqNullSafe("GROUNDED"), "GROUNDING_NOT_GROUNDED"),
+            (~none & ~c("requested_language").isin(*languages), "UNSUPPORTED_LANGUAGE_REQUESTED"),
+            (none, "LANGUAGE_UNSPECIFIED"),
+            (c("requested_language") == c("source_language"), "SOURCE_MATCHES_REQUESTED"),
+            (c("translation").isNull(), "MISSING_TRANSLATION_PROVIDER"),
+            (~c("translation_ok").eqNullSafe(True), "TRANSLATION_PROVIDER_FAILED"),
+        ],
+        "TRANSLATION_SUCCEEDED",
+    )
+    r = c("delivery_reason")
     status = first_match(
         [
-            (~c("safety_status").eqNullSafe("SAFE_TO_PRESENT") | ~c("grounding_status").eqNullSafe("GROUNDED"), "UPSTREAM_BLOCKED"),
-            (c("requested_language").isNotNull() & ~c("requested_language").isin(*languages), "UNSUPPORTED_LANGUAGE"),
-            (c("requested_language").isNull() | c("requested_language").eqNullSafe(c("source_language")), "DELIVERED_AS_IS"),
-            (c("translation").isNull() | ~c("translation_ok"), "TRANSLATION_FAILED"),
+            (r.isin("SAFETY_NOT_SAFE_TO_PRESENT", "GROUNDING_NOT_GROUNDED"), "UPSTREAM_BLOCKED"),
+            (r == "UNSUPPORTED_LANGUAGE_REQUESTED", "UNSUPPORTED_LANGUAGE"),
+            (r.isin("MISSING_TRANSLATION_PROVIDER", "TRANSLATION_PROVIDER_FAILED"), "TRANSLATION_FAILED"),
         ],
-        "TRANSLATED",
+        "DELIVERED",
     )
-    done = responses.withColumn("_status", status)
-    text = F.when(c("_status") == "DELIVERED_AS_IS", c("answer")).when(c("_status") == "TRANSLATED", c("translation"))
-    return done.withColumn("delivered_text", text).withColumn("delivery_status", F.when(c("_status").isin("DELIVERED_AS_IS", "TRANSLATED"), "DELIVERED").otherwise(c("_status"))).drop("_status")
+    text = F.when(r.isin("LANGUAGE_UNSPECIFIED", "SOURCE_MATCHES_REQUESTED"), c("answer")).when(r == "TRANSLATION_SUCCEEDED", c("translation"))
+    return responses.withColumn("delivery_reason", reason).withColumns({"delivery_status": status, "delivered_text": text})
