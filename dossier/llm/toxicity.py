@@ -21,7 +21,7 @@ from dossier.llm.samples import bucket, excerpt, sampled
 WINDOW, STRIDE, HIDDEN, BATCH = 32, 16, 12, 2048
 WORD_ROWS, TRIPLE_ROWS, WORD_DIM, TRIPLE_DIM = 1 << 14, 1 << 14, 8, 16
 #: Training documents of each label at most, characters of each, passes, documents a step.
-TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 1_200, 6_000, 10, 64, 0.01, 5
+TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 1_200, 3_000, 8, 64, 0.01, 5
 LEAST_STEPS = 150
 SCORED = "doc_id long, score double"
 
