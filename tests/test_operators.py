@@ -189,3 +189,50 @@ def test_stateful_review_status(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(values(spark.table("statuses"), "request_id", "status", "n_illegal")) == [(1, "APPROVED", 1), (2, "ESCALATED", 0)]
+
+
+def test_admission_of_files(spark, tmp_path):
+    import hashlib
+
+    from dossier.operators import admission
+    from dossier.sources import files
+
+    (tmp_path / "in").mkdir()
+    contents = {"a.txt": b"good text", "b.exe": b"x", "c.txt": b"", "d.txt": b"tampered", "e.txt": b"bad \xff byte"}
+    for name, data in contents.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    records = [(n, n, "SF-01", "INDIA", hashlib.sha256(b"other" if n == "d.txt" else d).hexdigest(), "ADMIT") for n, d in contents.items()]
+    records += [("gone.txt", "g", "SF-01", "INDIA", "0", "ADMIT"), ("../up.txt", "u", "SF-01", "INDIA", "0", "ADMIT")]
+    provenance = spark.createDataFrame(records, "path string, document_id string, source_family_id string, jurisdiction string, content_hash string, admission_status string")
+    got = {r.path: (r.pipeline_state, r.reason, r.text, r.decode_warning) for r in files.ingest(files.scan(spark, str(tmp_path / "in")), provenance, admission.families(spark)).collect()}
+    assert got["a.txt"] == ("READY_FOR_INGESTION", None, "good text", False)
+    assert got["e.txt"] == ("READY_FOR_INGESTION", None, "bad � byte", True)
+    # Spark's file scan lists no file without bytes
+    assert {k: v[1] for k, v in got.items() if v[1]} == {"b.exe": "UNSUPPORTED_DOCUMENT_TYPE", "c.txt": "FILE_NOT_FOUND", "d.txt": "CONTENT_HASH_MISMATCH", "gone.txt": "FILE_NOT_FOUND", "../up.txt": "PATH_TRAVERSAL_ATTEMPT"}
+
+
+def test_snapshots(spark, tmp_path):
+    from dossier.sources import snapshots
+
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    name = snapshots.create(docs, str(tmp_path / "one"))
+    assert name == snapshots.create(docs.repartition(3), str(tmp_path / "two"))
+    assert snapshots.verify(spark, str(tmp_path / "one")).isEmpty()
+    assert snapshots.restore(spark, str(tmp_path / "one"), str(tmp_path / "back"), name).count() == 3
+    docs.withColumn("text", F.lit("x")).write.mode("overwrite").parquet(str(tmp_path / "two" / "documents"))
+    assert snapshots.verify(spark, str(tmp_path / "two")).count() == 3
+    with pytest.raises(ValueError):
+        snapshots.restore(spark, str(tmp_path / "two"), str(tmp_path / "no"), name)
+
+
+def test_answers_end_to_end(spark):
+    from dossier.jobs import answer
+
+    corpus = spark.createDataFrame([(n, t, n, "SF-01", "INDIA", [f"{n}:p1:b1"], [1]) for n, t in CORPUS], "chunk_key string, text string, document_id string, source_family_id string, jurisdiction string, block_ids array<string>, page_numbers array<int>")
+    asked = spark.createDataFrame([(1, "trademark registration with the trademark registry in India", None, None, None, None, "en"), (2, "zzz", None, None, None, None, "en")], "query_id long, raw_query string, description string, evidence_state string, explicit string, requested_language string, source_language string")
+    found = answer.retrieve(asked, corpus)
+    first = found.where("query_id = 1").orderBy("pack_order").first().evidence_id
+    outputs = spark.createDataFrame([(1, True, f"So it is [[CITE:{first}]]", None, None)], "query_id long, success boolean, answer string, translation string, translation_ok boolean")
+    done = {r.query_id: r for r in answer.decide(asked, found, outputs).collect()}
+    assert (done[1].safety_status, done[1].band, done[1].delivery_status, done[1].priority) == ("SAFE_TO_PRESENT", "MODERATE", "DELIVERED", "NOT_APPLICABLE")
+    assert (done[2].safety_status, done[2].grounding_reason) == ("ABSTAIN", "NO_EVIDENCE")
