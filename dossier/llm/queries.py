@@ -12,6 +12,7 @@ from dossier.llm.language_id import language_id
 from dossier.llm.license_scan import TEMPLATES, license_scan
 from dossier.llm.near_dedup import near_dedup
 from dossier.llm.packing import packing
+from dossier.llm import quality_rules as rules
 from dossier.llm.quality_rules import quality_rules
 from dossier.llm.secret_scan import digest, secret_scan
 from dossier.llm.suffix_dedup import suffix_dedup
@@ -57,7 +58,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +112,34 @@ kin AS (SELECT DISTINCT a.template_id AS a, b.template_id AS b FROM q a JOIN q b
 SELECT doc_id, m.template_id, license, n_shared, n_template, containment FROM m JOIN t USING (template_id)
 WHERE NOT EXISTS (SELECT 1 FROM m o JOIN kin ON kin.b = o.template_id WHERE kin.a = m.template_id AND o.doc_id = m.doc_id AND o.containment > m.containment)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+def _jensen(p: str, q: str) -> str:
+    """A value's part of the Jensen-Shannon divergence, base 2."""
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"({part(p)} + {part(q)}) / 2"
+
+
+_COUNTED = ", ".join(f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g')) AS k{i}" for i, pattern in enumerate(rules.BY_CLASS.values()))
+QUALITY_SQL = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS x FROM d),
+tri AS (SELECT doc_id, i, x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] AS g FROM (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM w WHERE len(x) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM rep) GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (SELECT doc_id, lang, len(x) AS n_words, length(array_to_string(x, '')) AS word_chars, length(t) - length(regexp_replace(t, '{rules.SYMBOLS}', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, length(t) AS n, {_COUNTED} FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
+k AS (SELECT *, n - word_chars AS k4, word_chars - k0 - k1 - k2 - k3 AS k5 FROM base),
+hit AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, lower(unnest(x)) AS word FROM w) WHERE word IN ({', '.join(f"'{x}'" for x in dict.fromkeys(rules.COMMON_WORDS))}) GROUP BY ALL),
+big AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {rules.MIN_REFERENCE_DOCS}),
+of AS (SELECT doc_id, CASE WHEN lang IN (FROM big) THEN lang ELSE '*' END AS ref FROM k),
+kr AS (SELECT lang AS ref, {', '.join(f'sum(k{i})::DOUBLE AS r{i}' for i in range(6))} FROM k WHERE lang IN (FROM big) GROUP BY lang UNION ALL SELECT '*', {', '.join(f'sum(k{i})::DOUBLE' for i in range(6))} FROM k),
+kq AS (SELECT ref, {', '.join(f'r{i} / (r0 + r1 + r2 + r3 + r4 + r5) AS q{i}' for i in range(6))} FROM kr),
+wr AS (SELECT lang AS ref, word, sum(n)::DOUBLE AS n FROM hit WHERE lang IN (FROM big) GROUP BY ALL UNION ALL SELECT '*', word, sum(n)::DOUBLE FROM hit GROUP BY word),
+wq AS (SELECT ref, word, n / sum(n) OVER (PARTITION BY ref) AS q FROM wr),
+c AS (SELECT doc_id, CASE WHEN n = 0 THEN 1.0 ELSE sqrt(greatest({' + '.join(_jensen(f'(k{i} / n::DOUBLE)', f'q{i}') for i in range(6))}, 0)) END AS class_distance FROM k JOIN of USING (doc_id) JOIN kq USING (ref)),
+p AS (SELECT doc_id, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM hit),
+v AS (SELECT doc_id, sqrt(greatest(0.5 + sum({_jensen('p', 'coalesce(q, 0)')} - coalesce(q, 0) / 2), 0)) AS word_distance FROM p JOIN of USING (doc_id) LEFT JOIN wq USING (ref, word) GROUP BY doc_id),
+j AS (SELECT k.*, class_distance, coalesce(word_distance, 1.0) AS word_distance, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k JOIN c USING (doc_id) LEFT JOIN v USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_distance <= {rules.MAX_CLASS_DISTANCE} AND (n_words < {rules.MIN_HISTOGRAM_WORDS} OR word_distance <= {rules.MAX_WORD_DISTANCE}) AS kept,
+round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j"""
+
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
