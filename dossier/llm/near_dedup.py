@@ -31,6 +31,8 @@ SHARED = 13
 LEAST_ESTIMATE = 0.5
 #: Rounds of links to leaders before the rest is compared.
 TURNS = 2
+#: Stands for a null doc_id: above all others, so it names no class that has another member.
+NULL_ID = (1 << 63) - 1
 #: Documents checked against one copy of a leader's set.
 PER_COPY = 512
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"
@@ -174,9 +176,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; the set holds the distinct five-word shingles (the
     whole sequence if shorter). Links: 100 * intersection >= 75 * union. Null and empty texts have an empty set and link
-    with nothing. Repeated doc_id count as one document each; they share a class if their texts link. Empty tables give no rows.
+    with nothing. A null doc_id is one document more, null in the result. Repeated doc_id count as one document each; they share a class if their texts link. Empty tables give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     marks = written(texts.mapInArrow(_signatures, SIGNATURE), "sketches")
     same_set = ["n_shingles", "set_a", "set_b"]
     classes = marks.where("n_shingles > 0").groupBy(*same_set).agg(F.min(F.struct("doc_id", "sketch")).alias("least"))
@@ -223,4 +225,5 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # few distinct sets may hold most documents: the join deals those anew (adaptive skew join)
     empty = marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = marks.where("n_shingles > 0").select("doc_id", *same_set).join(of_set, same_set).select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
+    return found.unionByName(empty).select(named("doc_id"), "n_shingles", named("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))

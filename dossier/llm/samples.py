@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def bucket(doc_id: str | Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n: what sets held-out documents apart."""
+    """crc32 of the id as text, modulo n: what sets held-out documents apart. A null id counts as no text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(column.cast("string").cast("binary")) % n
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:

@@ -248,3 +248,13 @@ def test_pipeline_applies_its_stages(spark):
         last = ids
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == last
+
+
+def test_null_ids(spark):
+    base = prose("en", 80)
+    docs = spark.createDataFrame([(None, base, "en"), (1, base, "en"), (None, None, None), (2, base + " more", "en")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup(docs).collect()) == [(0, 0, True), (0, 1, False), (1, 1, True), (2, 1, False)]
+    assert suffix_dedup(docs.where("doc_id IS NULL AND text IS NOT NULL OR doc_id = 1")).where("n_removed > 0").count() == 1
+    for found in (quality_rules(docs), digest(secret_scan(docs)), language_id(docs), packing(docs).where("start = 0")):
+        assert found.where("doc_id IS NULL").count() == 2
+    assert license_scan(docs).count() == 0
