@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SMALL = 100_000
 
 
-def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """A broadcast hint if ``df`` has ``most`` rows at most; else ``df`` as it is, joined by shuffle."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
+def is_small(df: DataFrame, most: int = SMALL) -> bool:
+    """Has ``df`` ``most`` rows at most? Reads no more than that."""
+    return len(df.limit(most + 1).select(F.lit(1)).collect()) <= most
+
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    """A broadcast hint if the size was found small; else ``df`` as it is, joined by shuffle."""
+    return F.broadcast(df) if small else df
