@@ -112,7 +112,7 @@ def _scan(model: SecretModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
             # cheap tests on bytes: only texts that can hold a span are decoded
-            look = _has_run(_IN_TOKEN[buf], offsets, LEAST_CANDIDATE) | _has_run(_IN_HEX[buf], offsets, LEAST_HEX)
+            look = _has_run(_IN_TOKEN[buf], offsets, min(LEAST_CANDIDATE, LEAST_ACCESS)) | _has_run(_IN_HEX[buf], offsets, LEAST_HEX)
             marks = np.flatnonzero((buf == 58) | (buf == 61))
             look[np.searchsorted(offsets, marks, "right") - 1] = True
             out: list[list[dict]] = [[] for _ in range(rows.num_rows)]

@@ -143,6 +143,15 @@ def test_secrets(docs, empty, rows):
     assert model.spans("river_stone_house.morning_under", []) == []
 
 
+def test_secrets_of_least_length_stand_alone(spark):
+    alone = ["AKIA" + "Q" * 13, "AKIA" + "Q" * 14, "a key AKIA" + "Z9" * 7 + "Z here", "0123456789abcdef", "0123456789abcde", "é AKIAABCDEFGHIJKLMN"]
+    texts = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in digest(secret_scan(texts)).collect()}
+    assert {i: r.base_sha256 for i, r in found.items()} == {i: assigned(t) for i, t in enumerate(alone)}
+    assert [(found[i].n_access, found[i].n_hex) for i in range(6)] == [(0, 0), (1, 0), (1, 0), (0, 1), (0, 0), (1, 0)]
+    assert {r.doc_id: r.text for r in redacted(texts).collect()}[2] == "a key [SECRET] here"
+
+
 def test_decontamination_and_licenses(spark, docs, empty, rows):
     texts = {i: t for i, t, _ in rows}
     passage = " ".join(texts[100].split()[20:60])
