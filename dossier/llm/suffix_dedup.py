@@ -6,8 +6,8 @@ the repeated strings. Sorting every suffix would shuffle many times the corpus,
 * An anchor is a position whose GRAM-byte hash is the smallest in some LENGTH-byte string that holds it. Every
   LENGTH-byte string holds an anchor, and equal strings hold them at the same places.
 * First pass (most significant digit): anchors by gram hash. An anchor alone in its group repeats nothing.
-* Second digit: the hash of the anchor's whole surroundings, all bytes of all LENGTH-byte strings through it. Of equal
-  ones all but the first repeat as a whole.
+* Second digit: the hash of the anchor's whole surroundings, all bytes of all LENGTH-byte strings through it, and its
+  place in them. Of equal ones all but the first repeat as a whole.
 * Last digit: where one gram has several surroundings, their LENGTH-byte strings themselves, each by its hash with the
   bytes compared; the first occurrence stays.
 """
@@ -84,7 +84,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, size = offsets[text], (offsets[text + 1] - offsets[text])
             start, stop = np.maximum(at - reach, 0), np.minimum(at + LENGTH, size)
             grams = K.span_hash(prefix, base + at, base + at + GRAM)
-            around = K.span_hash(prefix, base + start, base + stop)
+            around = K.span_hash(prefix, base + start, base + stop) + (at - start).astype(K.U)  # the same bytes around another place count as others
             order = np.lexsort((at, ids[text], around, grams))
             grams, around, text, at, start, stop = (x[order] for x in (grams, around, text, at, start, stop))
             doc = ids[text]

@@ -97,6 +97,40 @@ def test_suffix_dedup_matches_brute_force(docs, empty, rows):
     assert suffix_dedup(empty).count() == 0
 
 
+def without_repeats(texts):
+    """{doc_id: (n_removed, kept_sha256)} by brute force."""
+    seen, want = set(), {}
+    for i, t in sorted(texts):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        want[i] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    return want
+
+
+def periodic():
+    """Texts of 100 to 184 bytes in which a gram stands several times, and copies of their parts."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    texts = ["x" * n for n in (100, 101, 150, 184, 185)]
+    for n in (100, 120, 150, 184):
+        for period in (1, 7, 20, 40, 60):
+            texts.append((word(period) * n)[:n])
+        gram = word(16)
+        texts.append((word(20) + gram + word(30) + gram + word(n))[:n])
+    texts += [word(9) + t[draw.randrange(40) :] + word(9) for t in texts[5:]]
+    return list(enumerate(texts))
+
+
+def test_suffix_dedup_of_short_periodic_texts(spark):
+    for texts in ([(1, "x" * 150)], periodic()):
+        found = suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)).collect()
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in found} == without_repeats(texts)
+
+
 def test_packing_is_an_exact_round_trip(docs, empty, rows):
     pieces = packing(docs.dropDuplicates(["doc_id"])).collect()
     whole = WordIds(tokenizer_path()).whole
