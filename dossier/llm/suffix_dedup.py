@@ -10,6 +10,10 @@ the repeated strings. Sorting every suffix would shuffle many times the corpus,
   place in them. Of equal ones all but the first repeat as a whole.
 * Last digit: where one gram has several surroundings, their LENGTH-byte strings themselves, each by its hash with the
   bytes compared; the first occurrence stays.
+
+No key gathers what grows with the corpus. Anchors are counted by bucket of grams first. Grams of crowded buckets are
+dealt by surroundings, and their LENGTH-byte strings by a 128-bit hash of each; in both, a task sends only what is no
+repeat of what it sent before, so a hot key has some rows a task, and rows of one key are read as a stream.
 """
 
 from __future__ import annotations
@@ -28,9 +32,15 @@ from dossier.llm.scratch import written
 LENGTH, GRAM = 100, 16
 #: Anchors, or rows of surroundings, that a task sorts at once; a group is never cut.
 ROWS_AT_ONCE, CONTEXTS_AT_ONCE = 150_000, 40_000
-#: A gram with more different surroundings than this is dealt by LENGTH-byte string instead.
-MOST_CONTEXTS = 200_000
-ANCHORS = "gram long, around long, doc_id long, at int, start int, stop int, known boolean"
+#: Buckets that grams are counted by. One with more rows than this, and than CROWDED times the mean, is dealt by
+#: surroundings and LENGTH-byte string instead of gram.
+BUCKETS, MOST_CONTEXTS, CROWDED = 1 << 18, 200_000, 4
+#: Firsts that a task remembers; then it begins anew, which only sends more.
+REMEMBERED = 200_000
+#: state: 0 dealt by gram, 1 by surroundings, 2 a known repeat.
+ANCHORS = "gram long, around long, doc_id long, at int, start int, stop int, state int"
+STRINGS = "h1 long, h2 long, doc_id long, start int, stop int, known boolean"
+OTHER_VALUES = np.random.default_rng(20240301).integers(1, 1 << 64, 256, dtype=K.U)
 SPANS = "doc_id long, at int, start int, stop int, gram long, kind int"
 
 
@@ -65,36 +75,78 @@ def anchors(text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(reached == h)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text. Of equal surroundings within a block only the first is sent on; the rest are known repeats."""
+def _block_anchors(ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """gram, around, doc_id, at, start, stop of each anchor in that order, and whether it repeats an earlier one of the block as a whole."""
     reach = LENGTH - GRAM
+    texts, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(ids)):
+        at = anchors(buf[offsets[i] : offsets[i + 1]])
+        where.append(at)
+        texts.append(np.full(len(at), i))
+    at, text = np.concatenate(where), np.concatenate(texts)
+    prefix = K.prefix_hash(buf)
+    base, size = offsets[text], (offsets[text + 1] - offsets[text])
+    start, stop = np.maximum(at - reach, 0), np.minimum(at + LENGTH, size)
+    grams = K.span_hash(prefix, base + at, base + at + GRAM)
+    around = K.span_hash(prefix, base + start, base + stop) + (at - start).astype(K.U)  # the same bytes around another place count as others
+    order = np.lexsort((at, ids[text], around, grams))
+    grams, around, text, at, start, stop = (x[order] for x in (grams, around, text, at, start, stop))
+    doc = ids[text]
+    own = np.zeros(len(order), bool)
+    own[1:] = (grams[1:] == grams[:-1]) & (around[1:] == around[:-1])
+    own[1:] &= ~((doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+    return grams, around, doc, at, start, stop, own
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams % K.U(BUCKETS)).astype(np.int64)
+
+
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors by bucket, without repeats inside a block."""
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for rows, buf, offsets in K.blocks(batch):
+            grams, *_, own = _block_anchors(rows.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False), buf, offsets)
+            n += np.bincount(_bucket(grams[~own]), minlength=BUCKETS)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], names=["bucket", "n"])
+
+
+def crowded(texts: DataFrame, most: int = MOST_CONTEXTS) -> np.ndarray:
+    """The buckets whose grams may stand in more than ``most`` rows."""
+    found = texts.mapInArrow(_loads, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    n = found.column("n").to_numpy()
+    return np.sort(found.column("bucket").to_numpy()[n > max(most, CROWDED * n.sum() / BUCKETS)])
+
+
+def _anchored(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of each text. Of equal surroundings within a block only the first is sent on; the rest are known repeats.
+
+    The same within a task for grams of the buckets ``hot``, whose rows are keyed by gram and surroundings.
+    """
+    is_hot = np.zeros(BUCKETS, bool)
+    is_hot[hot] = True
+    firsts: dict[tuple[int, int], tuple[int, int]] = {}
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
             ids = rows.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            texts, where = [], []
-            for i in range(len(ids)):
-                text = buf[offsets[i] : offsets[i + 1]]
-                at = anchors(text)
-                where.append(at)
-                texts.append(np.full(len(at), i))
-            at, text = np.concatenate(where), np.concatenate(texts)
+            grams, around, doc, at, start, stop, own = _block_anchors(ids, buf, offsets)
             if not len(at):
                 continue
-            prefix = K.prefix_hash(buf)
-            base, size = offsets[text], (offsets[text + 1] - offsets[text])
-            start, stop = np.maximum(at - reach, 0), np.minimum(at + LENGTH, size)
-            grams = K.span_hash(prefix, base + at, base + at + GRAM)
-            around = K.span_hash(prefix, base + start, base + stop) + (at - start).astype(K.U)  # the same bytes around another place count as others
-            order = np.lexsort((at, ids[text], around, grams))
-            grams, around, text, at, start, stop = (x[order] for x in (grams, around, text, at, start, stop))
-            doc = ids[text]
-            again = np.zeros(len(order), bool)
-            again[1:] = (grams[1:] == grams[:-1]) & (around[1:] == around[:-1])
-            own = again.copy()
-            own[1:] &= ~((doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
-            # a known repeat needs no group: it goes to a place of its own, so that hot grams don't gather
-            grams = np.where(own, K.mix(doc.astype(K.U) * K.U(K.BASE) + at.astype(K.U)), grams)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), *(pa.array(x, pa.int32()) for x in (at, start, stop)), pa.array(own)], names=["gram", "around", "doc_id", "at", "start", "stop", "known"])
+            state = np.where(own, 2, np.where(is_hot[_bucket(grams)], 1, 0))
+            spread = np.flatnonzero(state == 1)
+            for i, key, place in zip(spread.tolist(), zip(grams[spread].tolist(), around[spread].tolist(), strict=True), zip(doc[spread].tolist(), at[spread].tolist(), strict=True), strict=True):
+                if firsts.setdefault(key, place) < place:
+                    state[i] = 2
+                else:
+                    firsts[key] = place
+            if len(firsts) > REMEMBERED:
+                firsts.clear()
+            grams = np.where(state == 1, K.mix(grams * K.U(K.BASE) + around), grams)
+            # a known repeat needs no group: it goes to a place of its own
+            grams = np.where(state == 2, K.mix(doc.astype(K.U) * K.U(K.BASE) + at.astype(K.U)), grams)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), *(pa.array(x, pa.int32()) for x in (at, start, stop, state))], names=["gram", "around", "doc_id", "at", "start", "stop", "state"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -120,11 +172,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[
 
 
 def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram. Out: repeats as a whole (kind 0), and surroundings to compare (kind 1; 2: by string)."""
+    """Rows sorted by gram. Out: repeats as a whole (kind 0), and surroundings to compare (kind 1; 2: by string, of crowded buckets)."""
     for table in _groups(batches, "gram", ROWS_AT_ONCE):
-        gram, around, doc, at, start, stop, known = (table.column(c).to_numpy() for c in ("gram", "around", "doc_id", "at", "start", "stop", "known"))
+        gram, around, doc, at, start, stop, state = (table.column(c).to_numpy() for c in ("gram", "around", "doc_id", "at", "start", "stop", "state"))
         order = np.lexsort((at, doc, around, gram))
-        gram, around, doc, at, start, stop, known = (x[order] for x in (gram, around, doc, at, start, stop, known))
+        gram, around, doc, at, start, stop, state = (x[order] for x in (gram, around, doc, at, start, stop, state))
         new_gram = np.ones(len(gram), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         new = new_gram.copy()
@@ -132,32 +184,86 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         group = np.cumsum(new_gram) - 1
         several = np.bincount(group[new])
         first_doc, first_at = (x[np.flatnonzero(new)[np.cumsum(new) - 1]] for x in (doc, at))
-        repeat = known | (~new & ~((doc == first_doc) & (at == first_at)))
-        compare = new & (several[group] > 1)
-        kind = np.where(compare, np.where(several[group] > MOST_CONTEXTS, 2, 1), 0)
+        repeat = (state == 2) | (~new & ~((doc == first_doc) & (at == first_at)))
+        compare = new & ((several[group] > 1) & (state == 0) | (state == 1))
+        kind = np.where(state == 1, 2, 1)
         for keep, kinds in ((repeat, np.zeros(len(gram), np.int64)), (compare, kind)):
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), *(pa.array(x[keep], pa.int32()) for x in (at, start, stop)), pa.array(gram[keep]), pa.array(kinds[keep], pa.int32())], names=["doc_id", "at", "start", "stop", "gram", "kind"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, start, bytes): an anchor's surroundings, or its LENGTH-byte strings one by one."""
+    """(gram, doc_id, at, start, bytes) of the surroundings of anchors."""
     for batch in _few(batches):
         keys, docs, ats, starts, raw = [], [], [], [], []
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             text = (text or "").encode()
             for s in spans:
-                a, b = s["start"], s["stop"]
-                pieces = [(a, b)] if s["kind"] == 1 else [(i, i + LENGTH) for i in range(a, b - LENGTH + 1)]
-                for i, j in pieces:
-                    raw.append(text[i:j])
-                    keys.append(s["gram"] if s["kind"] == 1 else int.from_bytes(hashlib.blake2b(text[i:j], digest_size=8).digest(), "little", signed=True))
-                    docs.append(doc)
-                    ats.append(s["at"] if s["kind"] == 1 else i)
-                    starts.append(i)
+                raw.append(text[s["start"] : s["stop"]])
+                keys.append(s["gram"])
+                docs.append(doc)
+                ats.append(s["at"])
+                starts.append(s["start"])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(starts, pa.int32()), pa.array(raw, pa.binary())], names=["gram", "doc_id", "at", "start", "raw"])
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc_id, start, stop) of the LENGTH-byte strings of spans; merged where they repeat what this task has sent (known)."""
+    firsts: dict[tuple[int, int], tuple[int, int]] = {}
+    for batch in _few(batches):
+        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            buf = np.frombuffer((text or "").encode(), np.uint8)
+            starts = np.zeros(len(buf) + 1, bool)
+            for s in spans:
+                starts[s["start"] : s["stop"] - LENGTH + 1] = True
+            start = np.flatnonzero(starts)
+            h1, h2 = (K.span_hash(K.prefix_hash(buf, v), start, start + LENGTH).view(np.int64) for v in (K.BYTE_VALUES, OTHER_VALUES))
+            known = np.zeros(len(start), bool)
+            for i, (key, at) in enumerate(zip(zip(h1.tolist(), h2.tolist(), strict=True), start.tolist(), strict=True)):
+                place = (doc, at)
+                if firsts.setdefault(key, place) < place:
+                    known[i] = True
+                else:
+                    firsts[key] = place
+            if len(firsts) > REMEMBERED:
+                firsts.clear()
+            again = start[known]
+            begin = np.ones(len(again), bool)
+            begin[1:] = again[1:] > again[:-1] + LENGTH
+            head = np.flatnonzero(begin)
+            tail = np.append(head[1:], len(again))[: len(head)] - 1
+            own = K.mix(np.full(len(head), doc, np.int64).view(K.U) * K.U(K.BASE) + again[head].astype(K.U)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([h1[~known], own])),
+                    pa.array(np.concatenate([h2[~known], own])),
+                    pa.array(np.full(int((~known).sum()) + len(head), doc, np.int64)),
+                    pa.array(np.concatenate([start[~known], again[head]]), pa.int32()),
+                    pa.array(np.concatenate([start[~known], again[tail]]) + LENGTH, pa.int32()),
+                    pa.array(np.repeat([False, True], [(~known).sum(), len(head)])),
+                ],
+                names=["h1", "h2", "doc_id", "start", "stop", "known"],
+            )
+
+
+def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of STRINGS sorted by hashes, document and place, as a stream: all but the first of each string."""
+    last = None  # hashes, document and place of the first row of the string that the batch before ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, doc, start, stop, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "start", "stop", "known"))
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        first_doc, first_start = doc[head], start[head]
+        if last and last[:2] == (h1[0], h2[0]):
+            first_doc, first_start = np.where(head == 0, last[2], first_doc), np.where(head == 0, last[3], first_start)
+        last = (h1[-1], h2[-1], first_doc[-1], first_start[-1])
+        keep = known | (doc != first_doc) | (start != first_start)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(start[keep], pa.int32()), pa.array(stop[keep], pa.int32())], names=["doc_id", "start", "stop"])
+
+
 def _repeats(doc: np.ndarray, at: np.ndarray, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, first byte in the text) of every LENGTH-byte string that an earlier row of the same key holds at the same place from its anchor.
 
@@ -246,19 +352,23 @@ def _per_doc(spans: DataFrame, *columns: str) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("spans"))  # bounded by the document's length
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
     """Remove from every text of ``docs`` (doc_id, text; other columns are ignored) what repeats earlier bytes.
 
     Each byte goes that a 100-byte string covers which also starts earlier: in a smaller doc_id or earlier in the same
     text. Null texts count as empty, a null doc_id as -1. doc_id must be unique: rows that share one count as overlaid copies of one text.
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character).
+    ``most``: rows of a gram that one task may hold. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character).
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")  # never null, so both joins below share one exchange
-    found = texts.mapInArrow(_anchored, ANCHORS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_second_digit, SPANS)
+    hot = crowded(texts, most)
+    found = texts.mapInArrow(lambda b: _anchored(hot, b), ANCHORS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_second_digit, SPANS)
     found = written(found, "anchors")
     dealt = texts.repartition("doc_id")
-    open_spans = _per_doc(found.where("kind > 0"), "at", "start", "stop", "gram", "kind")
+    open_spans = _per_doc(found.where("kind = 1"), "at", "start", "stop", "gram")
     strings = dealt.join(open_spans, "doc_id").mapInArrow(_surroundings, "gram long, doc_id long, at int, start int, raw binary")
     later = strings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_last_digit, "doc_id long, start int, stop int")
     spans = found.where("kind = 0").select("doc_id", "start", "stop").unionByName(later)
+    if len(hot):
+        strings = dealt.join(_per_doc(found.where("kind = 2"), "start", "stop"), "doc_id").mapInArrow(_strings, STRINGS)
+        spans = spans.unionByName(strings.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "start").mapInArrow(_later_strings, "doc_id long, start int, stop int"))
     return dealt.join(_per_doc(spans, "start", "stop"), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")

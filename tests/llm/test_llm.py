@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
+from dossier.llm import suffix_dedup as suffix
 from dossier.llm.decontamination import contaminated
 from dossier.llm.language_id import language_id
 from dossier.llm.license_scan import TEMPLATES, license_scan
@@ -131,6 +132,22 @@ def test_suffix_dedup_of_short_periodic_texts(spark):
         assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in found} == without_repeats(texts)
 
 
+def test_suffix_dedup_gathers_no_hot_gram(spark):
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    line, passage = word(60), word(150)
+    texts = [(i, word(90) + (line if i % 3 else passage) + word(90)) for i in range(120)]
+    texts += [(200 + i, t) for i, t in periodic()] + [(300 + i, texts[i % 4][1]) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    hot = suffix.crowded(docs, 10)
+    sent = docs.mapInArrow(lambda b: suffix._anchored(hot, b), suffix.ANCHORS).where("state < 2")
+    assert len(hot) and sent.groupBy("gram").count().agg(F.max("count")).first()[0] <= 10
+    assert docs.mapInArrow(lambda b: suffix._anchored(hot[:0], b), suffix.ANCHORS).where("state < 2").groupBy("gram").count().agg(F.max("count")).first()[0] >= 70
+    for most in (10, 1, 5_000):
+        found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup(docs, most).collect()}
+        assert found == without_repeats(texts)
+
+
 def test_packing_is_an_exact_round_trip(docs, empty, rows):
     pieces = packing(docs.dropDuplicates(["doc_id"])).collect()
     whole = WordIds(tokenizer_path()).whole
