@@ -5,6 +5,8 @@ Items are classed by the number of their shingles: class L holds sizes in (L/2,
 of the HASHES least values is the same. With containment 0.75 the Jaccard similarity of window and item is
 0.75 q / (q + 2 L - 0.75 q), at least 0.176 for L > LEAST, so that 64 hashes miss with a chance under 5e-6. Every
 pair that meets is decided by the exact share of the item's shingles that the document holds.
+
+An item of fewer than WORDS words is one run of that many words, looked up among all runs of as many words of a document.
 """
 
 from __future__ import annotations
@@ -36,7 +38,16 @@ class WindowIndex:
     def __init__(self, ids: list[int], texts: list[str], breaks: np.ndarray = K.IS_SPACE):
         self.breaks = breaks
         sets = shingle_table(texts, breaks)
-        kept = [i for i, s in enumerate(sets) if len(s)]
+        _, _, hashes, at = K.words(*K.utf8(pa.array(texts, pa.string())), breaks=breaks)
+        counts = np.diff(at)
+        #: By number of words: the runs of the short items in rising order, and the items' ids.
+        self.short: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for n in sorted(set(counts[(counts > 0) & (counts < WORDS)].tolist())):
+            runs, run_at = K.shingles(hashes, at, n)
+            own = np.flatnonzero(counts == n)
+            order = np.argsort(runs[run_at[own]], kind="stable")
+            self.short[n] = (runs[run_at[own]][order], [ids[i] for i in own[order]])
+        kept = [i for i, s in enumerate(sets) if len(s) and counts[i] >= WORDS]
         self.ids, self.sets = [ids[i] for i in kept], [sets[i] for i in kept]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = [max(LEAST, 1 << (len(s) - 1).bit_length()) for s in self.sets]
@@ -72,14 +83,33 @@ class WindowIndex:
                         p += 1
         return np.array(sorted(set(found)), np.int64).reshape(-1, 2)
 
+    def _holds_short(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """Distinct (text, words, place of the item in its class) of short items that the texts hold as a run."""
+        found = set()
+        for n, (runs, _) in self.short.items():
+            own, own_at = K.shingles(hashes, at, n)
+            place = np.searchsorted(runs, own)
+            hit = np.flatnonzero(runs[np.minimum(place, len(runs) - 1)] == own)
+            for i, text in zip(hit, np.searchsorted(own_at, hit, "right") - 1, strict=True):
+                p = place[i]
+                while p < len(runs) and runs[p] == own[i]:
+                    found.add((int(text), n, int(p)))
+                    p += 1
+        return sorted(found)
+
     def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of FOUND for batches with doc_id and text."""
         for batch in batches:
             for rows, buf, offsets in K.blocks(batch):
                 _, _, hashes, at = K.words(buf, offsets, breaks=self.breaks)
-                shingles, at = K.shingles(hashes, at, WORDS)
                 docs, items, shared, sizes = [], [], [], []
                 ids = rows.column("doc_id").to_pylist()
+                for text, n, p in self._holds_short(hashes, at):
+                    docs.append(ids[text])
+                    items.append(self.short[n][1][p])
+                    shared.append(1)
+                    sizes.append(1)
+                shingles, at = K.shingles(hashes, at, WORDS)
                 last, own = -1, np.zeros(0, K.U)
                 for text, item in self.meets(shingles, at).tolist():
                     if text != last:

@@ -17,8 +17,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document of ``docs`` (doc_id, text) and an item of ``benchmark`` (item_id, text) that it holds.
 
     A document holds an item if at least 75 in 100 of the item's distinct five-word shingles are among its own (words are
-    runs outside ``\\x20\\x09-\\x0D``, A-Z lower-cased). An item of fewer than five words is one shingle, met only by a
-    document of the same words. Null and empty texts on either side match nothing. Repeated rows give repeated pairs.
+    runs outside ``\\x20\\x09-\\x0D``, A-Z lower-cased). An item of fewer than five words is held where
+    its words stand in a row. Null and empty texts on either side match nothing. Repeated rows give repeated pairs.
     Other columns are ignored; an empty table gives no rows. Returns doc_id, item_id, n_shared, n_item, containment.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -106,7 +106,8 @@ def shingles(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     total = len(hashes)
     h = hashes.copy()
     for k in range(1, size):
-        h[: total - k] = h[: total - k] * U(SHINGLE) + hashes[k:]
+        n = max(total - k, 0)
+        h[:n] = h[:n] * U(SHINGLE) + hashes[k:]
     keep = np.zeros(total, bool)
     n_out = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     out_at = np.zeros(len(at), np.int64)

@@ -34,7 +34,7 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     """Pairs of a document of ``docs`` (doc_id, text; other columns are ignored) and a template it holds.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A document holds a template if at least 75 in
-    100 of the template's distinct five-word shingles are among its own, wherever they stand. Of templates with common
+    100 of the template's distinct five-word shingles are among its own, wherever they stand; a template of fewer words if they stand in a row. Of templates with common
     shingles (versions of a license) those with the highest containment stay. Null and empty texts hold none. Repeated rows give repeated pairs; an empty table gives none. ``templates`` is a fixed, short list.
     Returns doc_id, template_id (place in ``templates``), license, n_shared, n_template, containment.
     """

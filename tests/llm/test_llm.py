@@ -220,6 +220,19 @@ def test_decontamination_and_licenses(spark, docs, empty, rows):
     assert license_scan(empty).count() == 0
 
 
+def test_items_under_five_words_are_found_inside_texts(spark):
+    long = prose("en", 400).split()
+    texts = {1: " ".join([*long[:200], "Odd", "two", "words", *long[200:]]), 2: "two words", 3: "two", 4: None, 5: "words two odd two x words", 6: " ".join(long), 7: "one two words four"}
+    shorts = {1: "two words", 2: "odd two words", 3: "one TWO words four", 4: "absent", 5: "two", 6: "", 7: "two words"}
+    holds = lambda t, q: bool(q) and any(t[i : i + len(q)] == q for i in range(len(t)))
+    want = {(i, j) for i, t in texts.items() for j, q in shorts.items() if holds(split(lower(t)), split(lower(q)))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in contaminated(docs, spark.createDataFrame(list(shorts.items()), "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and {(1, 1), (1, 2), (1, 5), (1, 7)} <= want
+    bare = spark.createDataFrame([(1, prose("en", 80) + "\nAll rights reserved.\n" + prose("en", 80))], "doc_id long, text string")
+    assert [(r.license, r.containment) for r in license_scan(bare, (("proprietary", "All rights reserved."),)).collect()] == [("proprietary", 1.0)]
+
+
 def test_quality_rules(docs, empty, rows):
     found = {r.doc_id: r for r in quality_rules(docs).collect()}
     for i, t, _ in rows:
