@@ -10,17 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import gru
 from dossier.llm import kernels as K
-from dossier.llm.samples import bucket, excerpt, sampled
+from dossier.llm.samples import bucket, excerpt
 
 WINDOW, HIDDEN, BATCH = 64, 8, 2048
 #: Training documents at most, characters of each, passes and rows a step.
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 800, 384, 8, 256, 0.01, 11
 LEAST_STEPS = 150
+#: Training documents of each language at least, where it has them, whatever TRAIN_DOCS says; the most that a rare language's weigh.
+LEAST_OF_A_LANG, MOST_WEIGHT = 20, 10.0
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
 
@@ -72,7 +74,9 @@ class LanguageModel:
         return x
 
     def train(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Cross entropy of every byte's label with the document's language."""
+        """Cross entropy of every byte's label with the document's language; languages weigh alike up to MOST_WEIGHT."""
+        counts = np.bincount(labels, minlength=len(self.langs))
+        weight = np.minimum(counts.mean() / np.maximum(counts, 1), MOST_WEIGHT).astype(gru.F4)[labels]
         buf, offsets = K.utf8(pa.array(texts, pa.binary()))
         text, start, size = windows(buf, offsets)
         rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
@@ -87,7 +91,8 @@ class LanguageModel:
                 kept: dict = {}
                 d = self.softmax(self.logits(ids, mask, kept))
                 d[:, labels[text[rows]], np.arange(len(rows))] -= 1
-                d *= mask[:, None] / mask.sum()
+                weighed = mask * weight[text[rows]]
+                d *= weighed[:, None] / weighed.sum()
                 grads = {"o": d.sum(axis=(0, 2))[:, None]}
                 for way in "fb":
                     grads[f"o{way}"] = np.einsum("tlb,thb->lh", d, kept[f"h{way}"])
@@ -108,10 +113,27 @@ class LanguageModel:
         return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Training documents of each language: ``most`` in equal parts, what rare ones leave going to others, LEAST_OF_A_LANG at least."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(left // (len(counts) - k), LEAST_OF_A_LANG))
+        left = max(0, left - out[lang])
+    return out
+
+
 def language_model(docs: DataFrame, most: int = TRAIN_DOCS) -> LanguageModel | None:
-    """A model of the languages of ``docs`` (doc_id, text, lang), without those held out; None without labelled text."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id", 3) != 1))
-    found = sampled(rows, most).select("doc_id", "lang", excerpt("text", TRAIN_CHARS).alias("text")).orderBy("doc_id", "text", "lang").limit(most).collect()
+    """A model of all languages of ``docs`` (doc_id, text, lang), without those held out; None without labelled text."""
+    rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id", 3) != 1))
+    ids = rows.select("doc_id", "lang").distinct()
+    share = quotas({r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}, most)
+    if not share:
+        return None
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    own = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+    chosen = {(r.doc_id, r.lang) for r in ids.withColumn("place", place).where((F.col("place") <= max(share.values())) & (F.col("place") <= own)).collect()}
+    texts = rows.where(F.col("doc_id").isin([i for i, _ in chosen])).select("doc_id", "lang", excerpt("text", TRAIN_CHARS).alias("text"))
+    found = [r for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect() if (r.doc_id, r.lang) in chosen]
     if not found:
         return None
     langs = sorted({r.lang for r in found})

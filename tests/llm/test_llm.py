@@ -277,6 +277,16 @@ def test_language_id(docs, empty, rows):
     assert language_id(docs.withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
 
 
+def test_language_id_knows_rare_languages(spark):
+    draw = random.Random(4)
+    greek = lambda: " ".join("".join(draw.choices("αβγδεζηθικλμνξοπρστυφχψω", k=6)) for _ in range(25))
+    texts = [(i, prose("en" if i % 2 else "de", 25), "en" if i % 2 else "de") for i in range(9000)] + [(20000 + i, greek(), "el") for i in range(9)]
+    got = {r.doc_id: r for r in language_id(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    assert [got[20000 + i].lang_pred for i in range(9)] == ["el"] * 9
+    assert any(got[20000 + i].held_out for i in range(9))
+    assert sum(got[i].lang_pred == lang for i, _, lang in texts) > 0.98 * len(texts)
+
+
 def test_toxicity(spark, docs, empty, rows):
     made = [(i, prose("en", 40) + (" you vile rotten fool " if i % 2 else " ") + prose("en", 40), i % 2) for i in range(1000, 1300)]
     texts = spark.createDataFrame([(i, t) for i, t, _ in made] + [(1, None), (2, ""), (3, "...")], "doc_id long, text string")
