@@ -1,12 +1,13 @@
 """Near-duplicate classes by bottom-k sketches from one hash function.
 
-1. Per document the 64 smallest shingle hashes (its sketch), the set's size and a 128-bit hash of the set.
+1. Per document the 64 smallest shingle hashes (its sketch), the set's size and a hash of the set: 128 bits, of two
+   independent word hashes.
 2. Equal sets make one class at once; one document stands for it.
 3. Inverted lists of retained values, rarest first: two documents that share enough of their 32 smallest values must
    meet in a list of their rarest ones, so lists of values that many unrelated documents hold stay short.
 4. In a list, members are held against its leader, not against each other. Lists that then still hold several
    components give their members to an exact prefix filter on full sets, ordered by rarity.
-5. The union-sketch estimate filters; exact Jaccard on the full sets decides.
+5. The union-sketch estimate filters; exact Jaccard on the full sets decides, whose words are compared byte by byte.
 6. Components by hooking and pointer jumping over the links.
 """
 
@@ -20,50 +21,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
-from dossier.llm.scratch import written
+from dossier.llm.scratch import keyed, removed, written
 
 WORDS, PERCENT = 5, 75
 #: Retained values of a sketch, and how many of the smallest are listed.
 SKETCH, LISTED = 64, 32
-#: Two documents at 0.75 share 24 of 32 values on average; under 13 has a chance near 1e-6. So the rarest 20 suffice.
-SHARED = 13
-#: Least share of the union's 64 smallest values that both hold; at 0.75 the share is under 0.5 with a chance near 1e-6.
-LEAST_ESTIMATE = 0.5
+#: Two documents at 0.75 share 24 of 32 values on average; under 11 has a chance of 2.4e-7. So the rarest 22 suffice.
+SHARED = 11
+#: Least share of the union's 64 smallest values that both hold; at 0.75 the share is under 0.45 with a chance of 1e-7.
+LEAST_ESTIMATE = 0.45
 #: Rounds of links to leaders before the rest is compared.
 TURNS = 2
-#: Stands for a null doc_id: above all others, so it names no class that has another member.
-NULL_ID = (1 << 63) - 1
 #: Documents checked against one copy of a leader's set.
 PER_COPY = 512
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"
-
-
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each text, and their offsets."""
-    _, _, hashes, at = K.words(buf, offsets)
-    return K.distinct_sorted(*K.shingles(hashes, at, WORDS))
+SIGNATURE = "rep long, n_shingles long, set_a long, set_b long, sketch array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
-            values, at = shingle_sets(buf, offsets)
+            folded = K.FOLD[buf]
+            start, end, word_at = K.word_spans(folded, offsets)
+            one, at = K.shingles(K.word_hashes(folded, start, end), word_at, WORDS)
+            two, _ = K.shingles(K.word_hashes(folded, start, end, 1), word_at, WORDS)
+            values, at, others = K.distinct_sorted(one, at, two)
             counts = np.diff(at)
             a, b = np.zeros(len(values) + 1, K.U), np.zeros(len(values) + 1, K.U)
             np.cumsum(K.mix(values), out=a[1:])
-            np.cumsum(K.mix(values ^ K.U(K.SHINGLE)), out=b[1:])
+            np.cumsum(K.mix(others), out=b[1:])
             kept = np.arange(len(values)) - np.repeat(at[:-1], counts) < SKETCH
             kept_at = np.zeros(len(at), np.int64)
             np.cumsum(np.minimum(counts, SKETCH), out=kept_at[1:])
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id").cast(pa.int64()),
+                    rows.column("rep"),
                     pa.array(counts, pa.int64()),
                     pa.array((a[at[1:]] - a[at[:-1]]).view(np.int64)),
                     pa.array((b[at[1:]] - b[at[:-1]]).view(np.int64)),
                     K.lists(values[kept].view(np.int64), kept_at, pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+                names=["rep", "n_shingles", "set_a", "set_b", "sketch"],
             )
 
 
@@ -92,25 +89,40 @@ def _lists(reps: DataFrame) -> DataFrame:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, members): a text's words in order, A-Z lower-cased, one space between."""
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
-            values, at = shingle_sets(buf, offsets)
-            raw = [values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], names=["rep", "members"])
+            raw = buf.tobytes()
+            members = [b" ".join(raw[i:j].lower().split()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array(members, pa.binary())], names=["rep", "members"])
+
+
+def overlap(one: bytes, other: bytes) -> tuple[int, int]:
+    """Shingles that two members of _full_sets() share, and those that either has. Words count as equal by their bytes."""
+    buf = np.frombuffer(one + b" " + other, np.uint8)
+    start, end, at = K.word_spans(buf, np.array([0, len(one) + 1, len(buf)]))
+    n, m = int(at[1]), int(at[2] - at[1])
+    if min(n, m) < WORDS:
+        return (1, 1) if one == other and n else (0, max(1, n + m))  # a shorter sequence equals no five words
+    runs = word = K.interned(buf, start, end)[1].astype(K.U)
+    for k in range(1, WORDS):  # exact: a run's number beside the next word's number is renumbered
+        runs = np.unique((runs[:-1] << K.U(32)) | word[k:], return_inverse=True)[1].astype(K.U)
+    a, b = np.unique(runs[: n - WORDS + 1]), np.unique(runs[n:])
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both, len(a) + len(b) - both
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hub, salt), the hub's own first: holds one hub's set at a time."""
-    key, own = None, np.zeros(0, K.U)
+    key, own = None, b""
     for batch in batches:
         a, b = [], []
         for hub, salt, rep, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "rep", "members")), strict=True):
-            mine = np.frombuffer(raw, K.U)
             if rep == hub:
-                key, own = (hub, salt), mine
+                key, own = (hub, salt), raw
             elif key == (hub, salt):
-                both = len(np.intersect1d(own, mine, assume_unique=True))
-                if 100 * both >= PERCENT * (len(own) + len(mine) - both):
+                both, either = overlap(own, raw)
+                if 100 * both >= PERCENT * either:
                     a.append(hub)
                     b.append(rep)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -118,10 +130,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buf, offsets = K.utf8(batch.column("members"))
-        n = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(n)), n)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in ("rep", "n_shingles", "root")] + [pa.array(np.frombuffer(buf.tobytes(), np.int64))], names=["rep", "n_shingles", "root", "value"])
+        for rows, buf, offsets in K.blocks(batch, "members"):
+            _, _, hashes, at = K.words(buf, offsets, fold=False)
+            values, at = K.distinct_sorted(*K.shingles(hashes, at, WORDS))
+            row = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(at)))
+            yield pa.RecordBatch.from_arrays([rows.column(c).take(row) for c in ("rep", "n_shingles", "root")] + [pa.array(values.view(np.int64))], names=["rep", "n_shingles", "root", "value"])
 
 
 def _prefix_pairs(reps: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +171,8 @@ def components(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """(rep, root): the smallest node reachable over ``links`` (a, b). Every round joins on keys; nothing is collected."""
     edges = links.selectExpr("a AS u", "b AS v").unionByName(links.selectExpr("b AS u", "a AS v"))
     linked = written(edges.distinct(), f"{tag}-edges")
-    label = written(linked.select(F.col("u").alias("rep")).distinct().withColumn("root", F.col("rep")), f"{tag}-labels")
+    table = written(linked.select(F.col("u").alias("rep")).distinct().withColumn("root", F.col("rep")), f"{tag}-labels")
+    label = table
     while True:
         # the smallest label around a node, then the label of that label
         near = linked.join(label, linked.v == label.rep).groupBy("u").agg(F.min("root").alias("near"))
@@ -166,29 +180,32 @@ def components(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
         jump = hooked.select(F.col("rep").alias("root"), F.col("root").alias("further"))
         moved = written(hooked.join(jump, "root", "left").select("rep", "old", F.least("root", F.coalesce("further", "root")).alias("root")), f"{tag}-labels")
         label = moved.select("rep", "root")
+        removed(table)
+        table = moved
         if moved.where("root <> old").isEmpty():
             break
+    removed(linked)
     return nodes.join(label, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Class every document of ``docs`` (doc_id, text; other columns are ignored) with its near-duplicates.
+def classes(texts: DataFrame) -> DataFrame:
+    """(rep, n_shingles, root) of every row of ``texts`` (rep, text), where rep is a long that no two rows share.
 
-    Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; the set holds the distinct five-word shingles (the
-    whole sequence if shorter). Links: 100 * intersection >= 75 * union. Null and empty texts have an empty set and link
-    with nothing. A null doc_id is one document more, null in the result. Repeated doc_id count as one document each; they share a class if their texts link. Empty tables give no rows.
+    root is the smallest rep of the row's class: links are 100 * intersection >= 75 * union of the shingle sets.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    marks = written(texts.mapInArrow(_signatures, SIGNATURE), "sketches")
+    texts = texts.select("rep", "text")
+    sketched = written(texts.mapInArrow(_signatures, SIGNATURE), "sketches")
     same_set = ["n_shingles", "set_a", "set_b"]
-    classes = marks.where("n_shingles > 0").groupBy(*same_set).agg(F.min(F.struct("doc_id", "sketch")).alias("least"))
-    reps = written(classes.select(*same_set, F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")), "classes")
+    firsts = sketched.where("n_shingles > 0").groupBy(*same_set).agg(F.min(F.struct("rep", "sketch")).alias("least"))
+    reps = written(firsts.select(*same_set, F.col("least.rep").alias("rep"), F.col("least.sketch").alias("sketch")), "classes")
+    marks = written(sketched.drop("sketch"), "marks")
+    removed(sketched)
     lists = written(_lists(reps), "lists")
 
     # one full set of each document that shares a list with another
     shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
     wanted = lists.join(shared, "value").select("rep").distinct()
-    sets = written(texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "rep long, members binary"), "sets")
+    sets = written(texts.join(wanted, "rep", "left_semi").mapInArrow(_full_sets, "rep long, members binary"), "sets")
     sketches = reps.select("rep", "sketch")
     known = None
     roots = reps.select("rep", F.col("rep").alias("root"))
@@ -219,11 +236,36 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     open_reps = written(members.join(mixed, "value").select("rep", "n_shingles", "root").distinct(), "open")
     rest = written(filtered(_prefix_pairs(open_reps, sets)), "rest")
     known = known.unionByName(_confirm(rest, sets))
-    roots = components(reps.select("rep"), known, "last")
+    roots = written(components(reps.select("rep"), known, "last").join(reps.select("rep", *same_set), "rep").select(*same_set, "root"), "classed")
+    removed(reps, lists, sets, open_reps, rest)
 
-    of_set = reps.join(roots, "rep").select(*same_set, F.col("root").alias("component_id"))
     # few distinct sets may hold most documents: the join deals those anew (adaptive skew join)
-    empty = marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = marks.where("n_shingles > 0").select("doc_id", *same_set).join(of_set, same_set).select("doc_id", "n_shingles", "component_id")
-    named = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
-    return found.unionByName(empty).select(named("doc_id"), "n_shingles", named("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    empty = marks.where("n_shingles = 0").select("rep", "n_shingles", F.col("rep").alias("root"))
+    return marks.where("n_shingles > 0").join(roots, same_set).select("rep", "n_shingles", "root").unionByName(empty)
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """Class every row of ``docs`` (doc_id, text; other columns are ignored) with its near-duplicates.
+
+    Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; the set holds the distinct five-word shingles (the
+    whole sequence if shorter). Links: 100 * intersection >= 75 * union. Null and empty texts have an empty set and link
+    with nothing. Every row counts as a document of its own and gives one row, also where doc_id is null or repeated:
+    component_id is the smallest doc_id of the class (null if none has one); kept: doc_id = component_id, and where no
+    row of the class has a doc_id, one of them. An empty table gives no rows. Returns doc_id, n_shingles, component_id, kept.
+    """
+    rows, by_id = keyed(docs.select("doc_id", "text"), "rep")
+    found = classes(rows)
+    if by_id:
+        named = found.select("*", F.col("rep").alias("doc_id"), F.col("root").alias("component_id"))
+    else:
+        ids = rows.select("rep", F.col("doc_id").cast("long").alias("doc_id"))
+        roots = found.select("root").distinct().join(ids.withColumnRenamed("rep", "root"), "root").withColumnRenamed("doc_id", "component_id")
+        named = found.join(ids, "rep").join(roots, "root")
+    return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("rep") == F.col("root")).alias("kept"))
+
+
+def first_of_each_class(docs: DataFrame) -> DataFrame:
+    """One row of each class of near_dedup(), the first of those with the smallest doc_id, with its columns as they are."""
+    rows, _ = keyed(docs, "near_dedup_row")
+    gone = classes(rows.select(F.col("near_dedup_row").alias("rep"), "text")).where("rep <> root").select(F.col("rep").alias("near_dedup_row"))
+    return rows.join(gone, "near_dedup_row", "left_anti").select(docs.columns)

@@ -8,12 +8,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders of the written tables that may be removed, by the id of their DataFrame.
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of our own where it is unset (local runs)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset: a temporary one of our own, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -25,4 +32,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dossier/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that written() gave, once everything made of them has been written itself."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a column ``key``: a long for each row, no two alike, never null, in the order of doc_id with nulls last.
+
+    Where no doc_id is null or repeated it is doc_id itself (True). Else rows are numbered and written: those that share a
+    doc_id, or have none, stay rows of their own.
+    """
+    own = F.col("doc_id").cast("long")
+    clash = docs.select(own.alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if clash.isEmpty():
+        return docs.withColumn(key, own), True
+    place = f"{key}_place"
+    numbered = written(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    ordered = written(numbered.orderBy(own.asc_nulls_last(), place).withColumn(key, F.monotonically_increasing_id()).drop(place), "keyed")
+    removed(numbered)
+    return ordered, False

@@ -1,6 +1,7 @@
 """The operators against brute force on a small fixture with nulls, empties, copies, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from dossier.llm import suffix_dedup as suffix
 from dossier.llm.decontamination import contaminated
 from dossier.llm.language_id import language_id
 from dossier.llm.license_scan import TEMPLATES, license_scan
-from dossier.llm.near_dedup import near_dedup
+from dossier.llm.near_dedup import first_of_each_class, near_dedup, overlap
 from dossier.llm.packing import WordIds, hilbert_keys, packing, tokenizer_path
 from dossier.llm.quality_rules import quality_rules
 from dossier.llm.secret_scan import KINDS, assigned, base_spans, digest, redacted, secret_model, secret_scan
@@ -333,11 +334,61 @@ def test_pipeline_applies_its_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == last
 
 
-def test_null_ids(spark):
-    base = prose("en", 80)
-    docs = spark.createDataFrame([(None, base, "en"), (1, base, "en"), (None, None, None), (2, base + " more", "en")], "doc_id long, text string, lang string")
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup(docs).collect()) == [(0, 0, True), (0, 1, False), (1, 1, True), (2, 1, False)]
-    assert suffix_dedup(docs.where("doc_id IS NULL AND text IS NOT NULL OR doc_id = 1")).where("n_removed > 0").count() == 1
+def test_rows_without_an_id_of_their_own(spark):
+    """Null ids, one id on different texts, and repeated rows: each row is a document."""
+    base, other, third = prose("en", 80), prose("fr", 80), prose("de", 80)
+    rows = [(None, base), (1, base), (None, None), (2, base + " more"), (1, other), (5, other), (None, third), (None, other + " " + third), (7, prose("en", 90)), (7, prose("en", 91)), (9, third), (9, third), (-3, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", k, "r", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, rep long, row string, near_dedup_place int").repartition(3)
+    sets = [grams(split(lower(t))) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if i == j or (sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))) for i in range(len(rows))]
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    none = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is None, x[2] or 0)
+    found = near_dedup(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=none) == sorted(((rows[i][0], len(sets[i]), least[root[i]]) for i in range(len(rows))), key=none)
+    assert sum(r.kept for r in found) == sum(least[r] is None for r in set(root)) + sum(i is not None and i == least[root[k]] for k, (i, _) in enumerate(rows))
+    stay = first_of_each_class(docs)
+    assert stay.columns == docs.columns and sorted(root[r.rep] for r in stay.collect()) == sorted(set(root))
+
+    cut = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup(docs).collect()]
+    assert sorted(map(str, ((i, n) for i, n, _ in cut))) == sorted(map(str, ((i, len((t or "").encode())) for i, t in rows)))
+    order = [t for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda x: x[0])]  # those that share an id may come in any order
+    kept = sum(n - gone for _, n, gone in cut)
+    tail = [t or "" for i, t in rows if i is None]
+    assert kept in {total_left(order + list(p)) for p in itertools.permutations(tail)}
+
     for found in (quality_rules(docs), digest(secret_scan(docs)), language_id(docs), packing(docs).where("start = 0")):
-        assert found.where("doc_id IS NULL").count() == 2
+        assert found.where("doc_id IS NULL").count() == 4 and found.count() == len(rows)
     assert license_scan(docs).count() == 0
+
+
+def total_left(texts):
+    return sum(len(t.encode()) for t in texts) - sum(n for n, _ in without_repeats(enumerate(texts)).values())
+
+
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_hashes_stand_for_no_word(spark):
+    """Words that collide under every polynomial modulo 2**64 stay apart."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one + " b c d e"), (4, other + " b c d e"), (5, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    whole = WordIds(tokenizer_path()).whole
+    for i, t in ((1, one), (2, other)):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(r.ids for r in packing(docs).where(f"doc_id = {i}").orderBy("start").collect()) == ids
+    assert overlap(b"a b c d e f", b"x a b c d e") == (1, 3) and overlap(b"a b", b"a b") == (1, 1) and overlap(b"a b", b"a c")[0] == 0
+
+
+def test_equal_hashes_of_different_words_are_told_apart():
+    raw = b"one two one six two"
+    start, end, _ = K.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    first, ids = K.interned(np.frombuffer(raw, np.uint8), start, end, np.zeros(5, K.U))
+    assert [raw[start[first[i]] : end[first[i]]] for i in ids] == raw.split()
