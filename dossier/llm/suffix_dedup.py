@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
-from dossier.llm.scratch import written
+from dossier.llm.scratch import keyed, removed, written
 
 LENGTH, GRAM = 100, 16
 #: Anchors, or rows of surroundings, that a task sorts at once; a group is never cut.
@@ -329,7 +329,7 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _few(batches):
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
-        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for doc, text, spans in zip(batch.column("given_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode()
             kept, at, gone, runs, end = [], 0, 0, 0, -1
             for x in sorted((s["start"], s["stop"]) for s in spans or ()):
@@ -356,14 +356,17 @@ def suffix_dedup(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
     """Remove from every text of ``docs`` (doc_id, text; other columns are ignored) what repeats earlier bytes.
 
     Each byte goes that a 100-byte string covers which also starts earlier: in a smaller doc_id or earlier in the same
-    text. Null texts count as empty, a null doc_id as -1. doc_id must be unique: rows that share one count as overlaid copies of one text.
+    text. Null texts count as empty. Every row is a text of its own and gives one row, with its doc_id as it is: rows
+    that share a doc_id come after each other, those without one after all others. An empty table gives no rows.
     ``most``: rows of a gram that one task may hold. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character).
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")  # never null, so both joins below share one exchange
+    rows, _ = keyed(docs.select("doc_id", "text"), "row")
+    rows = rows.select(F.coalesce("row", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("given_id"))  # never null, so both joins below share one exchange
+    texts = rows.select("doc_id", "text")
     hot = crowded(texts, most)
     found = texts.mapInArrow(lambda b: _anchored(hot, b), ANCHORS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_second_digit, SPANS)
     found = written(found, "anchors")
-    dealt = texts.repartition("doc_id")
+    dealt = rows.repartition("doc_id")
     open_spans = _per_doc(found.where("kind = 1"), "at", "start", "stop", "gram")
     strings = dealt.join(open_spans, "doc_id").mapInArrow(_surroundings, "gram long, doc_id long, at int, start int, raw binary")
     later = strings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_last_digit, "doc_id long, start int, stop int")
