@@ -11,6 +11,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from dossier.llm.scratch import written
 
 SEQUENCE, END_ID = 2048, 1
 DIMENSIONS, BITS, SEED = 3, 10, 7
+#: Bytes of token ids that a partition of the curve has on average.
+PARTITION_BYTES = 32 << 20
 #: Words that a Python worker remembers; beyond it, it starts anew.
 MOST_WORDS = 500_000
 
@@ -43,7 +46,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Token ids of words that white space sets apart, remembered by hash.
+    """Token ids of words that white space sets apart, remembered by their bytes.
 
     The vocabulary's pre-tokenizer never joins across white space, so a text's ids are its words' ids in order.
     Words of plain letters go straight to the BPE model; anything else goes through the whole tokenizer.
@@ -62,7 +65,7 @@ class WordIds:
         self.letters = _byte_letters()
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.by_hash: dict[int, bytes] = {}
+        self.by_word: dict[bytes, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
@@ -86,19 +89,20 @@ class WordIds:
     def texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and their offsets by text."""
         raw = buf.tobytes()
-        start, end, hashes, at = K.words(buf, offsets, fold=b"<|" not in raw)
-        if not len(hashes):
+        plain = K.FOLD[buf] if b"<|" not in raw else buf  # A-Z make no difference, but in special tokens
+        start, end, at = K.word_spans(plain, offsets)
+        if not len(start):
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.by_hash) > MOST_WORDS:
-            self.by_hash.clear()
+        first, inverse = K.interned(plain, start, end)
+        if len(self.by_word) > MOST_WORDS:
+            self.by_word.clear()
             self.by_piece.clear()
-        known = self.by_hash
+        known, folded = self.by_word, plain.tobytes()
         found = []
-        for h, a, b in zip(unique.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
-            ids = known.get(h)
+        for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True):
+            ids = known.get(folded[a:b])
             if ids is None:
-                ids = known[h] = self.word(raw[a:b])
+                ids = known[folded[a:b]] = self.word(raw[a:b])
             found.append(ids)
         flat = np.frombuffer(b"".join(found), self.kind)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
@@ -149,8 +153,14 @@ def _curve(ids: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.clip(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def _tokens(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordIds(path)
+    known = word_ids(path)
     table = np.random.default_rng(SEED).standard_normal((known.size, DIMENSIONS))
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
@@ -218,6 +228,9 @@ def packing(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     wide = WordIds(path).kind.itemsize == 4
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _tokens(path, b), "doc_id long, curve long, doc_tokens long, raw binary")
-    tokens = written(made, "tokens")
-    dealt = tokens.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return dealt.mapInArrow(lambda b: _cut(wide, b), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    tokens = written(made.withColumn("n_row", F.monotonically_increasing_id()), "tokens")  # n_row parts rows of one doc_id among partitions
+    width = 4 if wide else 2
+    total = tokens.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("n")).first().n
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // PARTITION_BYTES))
+    dealt = tokens.repartitionByRange(parts, "curve", "doc_id", "n_row").sortWithinPartitions("curve", "doc_id", "n_row")
+    return dealt.drop("n_row").mapInArrow(lambda b: _cut(wide, b), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
