@@ -3,15 +3,15 @@
 Items are classed by the number of their shingles: class L holds sizes in (L/2, L]. A document is read in windows of
 2 L shingles that start every L, so that any run of L shingles lies in one window. A window meets an item where one
 of the HASHES least values is the same. With containment 0.75 the Jaccard similarity of window and item is
-0.75 q / (q + 2 L - 0.75 q), at least 0.176 for L > LEAST, so that 64 hashes miss with a chance under 5e-6. Every
-pair that meets is decided by the exact share of the item's shingles that the document holds.
+0.75 q / (q + 2 L - 0.75 q), at least 0.176, so that 64 hashes miss with a chance under 5e-6. A window of one class
+is two of the class below, so its least values come from those. Every pair that meets is decided by the exact share of the item's shingles that the document holds.
 
 An item of fewer than WORDS words is one run of that many words, looked up among all runs of as many words of a document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import pyarrow as pa
 from dossier.llm import kernels as K
 
 WORDS, PERCENT = 5, 75
-HASHES, LEAST = 64, 4
+HASHES = 64
 MULTIPLIERS = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=K.U) * K.U(2) + K.U(1)
 FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
@@ -49,39 +49,48 @@ class WindowIndex:
             self.short[n] = (runs[run_at[own]][order], [ids[i] for i in own[order]])
         kept = [i for i, s in enumerate(sets) if len(s) and counts[i] >= WORDS]
         self.ids, self.sets = [ids[i] for i in kept], [sets[i] for i in kept]
-        self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        sizes = [max(LEAST, 1 << (len(s) - 1).bit_length()) for s in self.sets]
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = [1 << (len(s) - 1).bit_length() for s in self.sets]
         for length in sorted(set(sizes)):
             own = np.array([i for i, n in enumerate(sizes) if n == length])
             least = np.stack([[(self.sets[i] * m).min() for i in own] for m in MULTIPLIERS])
             order = np.argsort(least, axis=1, kind="stable")
-            self.classes[length] = (np.take_along_axis(least, order, 1), own[order], own)
+            self.classes[length] = (np.take_along_axis(least, order, 1), own[order])
 
     def meets(self, shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (text, item) that share a least value in a window; shingles in the order of the text."""
-        found = []
+        if not self.classes or not len(shingles):
+            return np.zeros((0, 2), np.int64)
+        levels = []  # of each class up to the largest: the text of each run, its last runs, and where it starts among the runs of the class below
         sizes = np.diff(at)
-        for length, (least, item, _) in self.classes.items():
-            blocks_of = -(-sizes // length)
-            text = np.repeat(np.arange(len(sizes)), blocks_of)
-            if not len(text):
-                continue
-            first = np.cumsum(blocks_of) - blocks_of
-            start = at[:-1][text] + (np.arange(len(text)) - first[text]) * length
-            ends = np.zeros(len(text), bool)
-            ends[first[blocks_of > 0] + blocks_of[blocks_of > 0] - 1] = True
-            for k in range(HASHES):
-                low = np.minimum.reduceat(shingles * MULTIPLIERS[k], start)
+        length, starts = 1, None
+        while length <= max(self.classes):
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            last = np.ones(len(text), bool)
+            last[:-1] = text[1:] != text[:-1]
+            levels.append((length, text, last, starts))
+            first = np.cumsum(sizes) - sizes
+            sizes = (sizes + 1) // 2
+            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            starts = np.repeat(first, sizes) + 2 * inner
+            length *= 2
+        found = set()
+        for k in range(HASHES):
+            low = shingles * MULTIPLIERS[k]
+            for length, text, last, starts in levels:
+                low = low if starts is None else np.minimum.reduceat(low, starts)
+                if length not in self.classes:
+                    continue
+                least, item = self.classes[length]
                 window = low.copy()
-                window[:-1] = np.where(ends[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
+                window[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
                 place = np.searchsorted(least[k], window)
-                hit = np.flatnonzero(least[k][np.minimum(place, len(least[k]) - 1)] == window)
-                for i in hit:
+                for i in np.flatnonzero(least[k][np.minimum(place, len(least[k]) - 1)] == window).tolist():
                     p = place[i]
                     while p < len(least[k]) and least[k][p] == window[i]:
-                        found.append((text[i], item[k][p]))
+                        found.add((int(text[i]), int(item[k][p])))
                         p += 1
-        return np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return np.array(sorted(found), np.int64).reshape(-1, 2)
 
     def _holds_short(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """Distinct (text, words, place of the item in its class) of short items that the texts hold as a run."""
@@ -97,29 +106,34 @@ class WindowIndex:
                     p += 1
         return sorted(found)
 
-    def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of FOUND for batches with doc_id and text."""
+    def held(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item's id, shingles shared, shingles of the item) of all items that the texts hold."""
+        _, _, hashes, at = K.words(buf, offsets, breaks=self.breaks)
+        found = [(text, self.short[n][1][p], 1, 1) for text, n, p in self._holds_short(hashes, at)]
+        shingles, at = K.shingles(hashes, at, WORDS)
+        last, own = -1, np.zeros(0, K.U)
+        for text, item in self.meets(shingles, at).tolist():
+            if text != last:
+                last, own = text, np.sort(shingles[at[text] : at[text + 1]])
+            wanted = self.sets[item]
+            place = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            n = int((own[place] == wanted).sum())
+            if 100 * n >= PERCENT * len(wanted):
+                found.append((text, self.ids[item], n, len(wanted)))
+        return found
+
+    def scan(self, batches: Iterator[pa.RecordBatch], choose: Callable[[list[tuple[int, int, int, int]]], list[tuple[int, int, int, int]]] = list) -> Iterator[pa.RecordBatch]:
+        """Rows of FOUND for batches with doc_id and text. choose: which of the items that a block's texts hold stay."""
         for batch in batches:
             for rows, buf, offsets in K.blocks(batch):
-                _, _, hashes, at = K.words(buf, offsets, breaks=self.breaks)
-                docs, items, shared, sizes = [], [], [], []
                 ids = rows.column("doc_id").to_pylist()
-                for text, n, p in self._holds_short(hashes, at):
-                    docs.append(ids[text])
-                    items.append(self.short[n][1][p])
-                    shared.append(1)
-                    sizes.append(1)
-                shingles, at = K.shingles(hashes, at, WORDS)
-                last, own = -1, np.zeros(0, K.U)
-                for text, item in self.meets(shingles, at).tolist():
-                    if text != last:
-                        last, own = text, np.sort(shingles[at[text] : at[text + 1]])
-                    wanted = self.sets[item]
-                    place = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-                    n = int((own[place] == wanted).sum())
-                    if 100 * n >= PERCENT * len(wanted):
-                        docs.append(ids[text])
-                        items.append(self.ids[item])
-                        shared.append(n)
-                        sizes.append(len(wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, items, shared, sizes)], names=["doc_id", "item_id", "n_shared", "n_item"])
+                found = [(ids[text], *rest) for text, *rest in choose(self.held(buf, offsets))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 4, names=["doc_id", "item_id", "n_shared", "n_item"])
+
+    def without(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose text holds no item, with all their columns."""
+        for batch in batches:
+            for rows, buf, offsets in K.blocks(batch):
+                clean = np.ones(rows.num_rows, bool)
+                clean[[text for text, *_ in self.held(buf, offsets)]] = False
+                yield rows.filter(pa.array(clean))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
 from dossier.llm.containment import FOUND, WindowIndex, shingle_table
 
-# Public license statements, as (license, statement).
+# Public license texts and statements, as (license, text).
+_PERMISSION = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_BSD_FIRST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_LAST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -27,23 +31,41 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means."),
+    ("proprietary", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", f"{_BSD_FIRST} {_BSD_LAST}"),
+    ("BSD-3-Clause", f"{_BSD_FIRST} {_BSD_NAMES} {_BSD_LAST}"),
+    ("0BSD", f"{_PERMISSION}. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("ISC", f"{_PERMISSION}, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
+class BestOfKin:
+    """Of templates with common shingles (versions of a license) that one text holds, those with the highest containment stay."""
+
+    def __init__(self, texts: list[str]):
+        sets = [set(x.tolist()) for x in shingle_table(texts, K.IS_BREAK)]
+        self.kin = [{j for j in range(len(sets)) if j != i and sets[i] & sets[j]} for i in range(len(sets))]
+
+    def __call__(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        by_text: dict[int, dict[int, float]] = {}
+        for text, item, n, size in found:
+            by_text.setdefault(text, {})[item] = n / size
+        return [x for x in found if all(by_text[x[0]].get(k, 0.0) <= x[2] / x[3] for k in self.kin[x[1]])]
+
+
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """Pairs of a document of ``docs`` (doc_id, text; other columns are ignored) and a template it holds.
+    """Pairs of a row of ``docs`` (doc_id, text; other columns are ignored) and a template it holds.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A document holds a template if at least 75 in
     100 of the template's distinct five-word shingles are among its own, wherever they stand; a template of fewer words if they stand in a row. Of templates with common
-    shingles (versions of a license) those with the highest containment stay. Null and empty texts hold none. Repeated rows give repeated pairs; an empty table gives none. ``templates`` is a fixed, short list.
+    shingles (versions of a license) those with the highest containment stay, row by row. Null and empty texts hold none. Repeated rows give repeated pairs, those without a doc_id pairs without one; an empty table gives none. ``templates`` is a fixed, short list.
     Returns doc_id, template_id (place in ``templates``), license, n_shared, n_template, containment.
     """
-    index = WindowIndex(list(range(len(templates))), [t for _, t in templates], K.IS_BREAK)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index.scan, FOUND)
+    texts = [t for _, t in templates]
+    index, best = WindowIndex(list(range(len(texts))), texts, K.IS_BREAK), BestOfKin(texts)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: index.scan(b, best), FOUND)
     named = F.array(*(F.lit(name) for name, _ in templates))[F.col("item_id").cast("int")]
-    rows = found.select("doc_id", F.col("item_id").alias("template_id"), named.alias("license"), "n_shared", F.col("n_item").alias("n_template"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
-    sets = [set(x.tolist()) for x in shingle_table([t for _, t in templates], K.IS_BREAK)]
-    kin = F.array(*(F.array(*(F.lit(j).cast("long") for j in range(len(sets)) if j != i and sets[i] & sets[j])).cast("array<long>") for i in range(len(sets))))
-    best = F.collect_list(F.struct("template_id", "containment")).over(Window.partitionBy("doc_id"))  # as many as templates for a document
-    beaten = F.exists("others", lambda o: F.array_contains(kin[F.col("template_id").cast("int")], o["template_id"]) & (o["containment"] > F.col("containment")))
-    return rows.withColumn("others", best).where(~beaten).drop("others")
+    return found.select("doc_id", F.col("item_id").alias("template_id"), named.alias("license"), "n_shared", F.col("n_item").alias("n_template"), (F.col("n_shared") / F.col("n_item")).alias("containment"))

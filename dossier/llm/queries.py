@@ -86,6 +86,14 @@ def _shingled(name: str, source: str, key: str, words: str) -> str:
 {name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(x) >= 5 THEN list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS g FROM {name}_w)"""
 
 
+def _held(name: str, items: str, key: str, words: str, item_words: str) -> str:
+    """SQL of (doc_id, key, n_shared): items of fewer than five words that a document holds as a run of words."""
+    runs = f"list_transform(range(1, len(d.x) - len(i.x) + 2), lambda k: array_to_string(d.x[k:k + len(i.x) - 1], ' '))"
+    return f"""{name}_i AS (SELECT {key}, {item_words} AS x FROM {items}),
+{name}_d AS (SELECT doc_id, {words} AS x FROM documents),
+{name} AS (SELECT d.doc_id, i.{key}, 1::BIGINT AS n_shared FROM {name}_i i JOIN {name}_d d ON len(i.x) BETWEEN 1 AND 4 AND len(d.x) >= len(i.x) AND list_contains({runs}, array_to_string(i.x, ' ')))"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
@@ -99,15 +107,15 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
 
-DECONTAMINATION_SQL = f"""WITH {_shingled('s', 'documents', 'doc_id', _WORDS)}, {_shingled('q', 'benchmark', 'item_id', _WORDS)},
+DECONTAMINATION_SQL = f"""WITH {_shingled('s', 'documents', 'doc_id', _WORDS)}, {_shingled('q', 'benchmark', 'item_id', _WORDS)}, {_held('r', 'benchmark', 'item_id', _WORDS, _WORDS)},
 n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN q USING (g) GROUP BY ALL)
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN q USING (g) WHERE item_id NOT IN (SELECT item_id FROM r_i WHERE len(x) < 5) GROUP BY ALL UNION ALL FROM r)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item"""
 
 _TEMPLATES = "SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES)) + ") AS v(template_id, license, text)"
-LICENSE_SQL = f"""WITH t AS ({_TEMPLATES}), {_shingled('s', 'documents', 'doc_id', _TOKENS)}, {_shingled('q', 't', 'template_id', _TOKENS)},
+LICENSE_SQL = f"""WITH t AS ({_TEMPLATES}), {_shingled('s', 'documents', 'doc_id', _TOKENS)}, {_shingled('q', 't', 'template_id', _TOKENS)}, {_held('r', 't', 'template_id', _TOKENS, _TOKENS)},
 n AS (SELECT template_id, count(*) AS n_template FROM q GROUP BY ALL),
-m AS (SELECT doc_id, template_id, n_shared, n_template, n_shared / n_template::DOUBLE AS containment FROM (SELECT doc_id, template_id, count(*) AS n_shared FROM s JOIN q USING (g) GROUP BY ALL) JOIN n USING (template_id) WHERE 100 * n_shared >= 75 * n_template),
+m AS (SELECT doc_id, template_id, n_shared, n_template, n_shared / n_template::DOUBLE AS containment FROM (SELECT doc_id, template_id, count(*) AS n_shared FROM s JOIN q USING (g) WHERE template_id NOT IN (SELECT template_id FROM r_i WHERE len(x) < 5) GROUP BY ALL UNION ALL FROM r) JOIN n USING (template_id) WHERE 100 * n_shared >= 75 * n_template),
 kin AS (SELECT DISTINCT a.template_id AS a, b.template_id AS b FROM q a JOIN q b ON a.g = b.g AND a.template_id <> b.template_id)
 SELECT doc_id, m.template_id, license, n_shared, n_template, containment FROM m JOIN t USING (template_id)
 WHERE NOT EXISTS (SELECT 1 FROM m o JOIN kin ON kin.b = o.template_id WHERE kin.a = m.template_id AND o.doc_id = m.doc_id AND o.containment > m.containment)"""
