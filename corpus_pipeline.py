@@ -5,32 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.decontamination import contaminated
-from dossier.llm.near_dedup import near_dedup
+from dossier.llm.decontamination import decontaminated
+from dossier.llm.near_dedup import first_of_each_class
 from dossier.llm.packing import packing
 from dossier.llm.scratch import written
 from dossier.llm.secret_scan import redacted
-from dossier.llm.toxicity import toxicity
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ids; those with a null doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+from dossier.llm.toxicity import not_toxic
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network predicts to be toxic go."""
-    return _without(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1"))
+    return not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    return _without(docs, near_dedup(docs).where("NOT kept"))
+    """Of each class of near-duplicates one document stays, one with the smallest doc_id."""
+    return first_of_each_class(docs)
 
 
 def benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,3 +181,15 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityMo
     model = model or toxicity_model(docs, labels)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scored(model, b), SCORED)
     return found.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None) -> DataFrame:
+    """The rows of ``docs`` that toxicity() doesn't predict to be toxic, with all their columns."""
+    model = model or toxicity_model(docs, labels)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, offsets in K.blocks(batch):
+                yield rows.filter(pa.array(model.documents(buf, offsets) < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema) if model else docs
