@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
-from dossier.llm.samples import excerpt, sampled
+from dossier.llm.samples import sampled
 
 # The kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "markov")
@@ -22,17 +22,25 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGNED, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
-#: Candidates of the models, and the log-likelihood ratio a character and in all that makes one a secret.
-LEAST_CANDIDATE, LEAST_RATIO, LEAST_TOTAL = 20, 0.9, 24.0
-#: Documents, and characters of each, that the identifiers of the training set come from; random strings of each style.
-SAMPLE_DOCS, SAMPLE_CHARS, RANDOM_STRINGS, SEED = 400, 2_000, 2_000, 23
+#: Least length of what the models judge; the least log-likelihood ratio that makes a secret, see SecretModel.
+LEAST_CANDIDATE, LEAST_TOTAL = 16, 12.0
+#: Documents whose words train the chain of identifiers; random strings of each style; seed.
+SAMPLE_DOCS, RANDOM_STRINGS, SEED = 400, 2_000, 23
+# Alphabets of random strings.
+STYLES = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "url_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
+    "alphanumeric": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "small": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "hex": "0123456789abcdef",
+    "capital_hex": "0123456789ABCDEF",
+}
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,stop:int>>"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 _IN_TOKEN = np.zeros(256, bool)
 _IN_TOKEN[[ord(c) for c in ALPHABET]] = True
-_IN_HEX = np.zeros(256, bool)
-_IN_HEX[[ord(c) for c in "0123456789abcdef"]] = True
 
 
 def _bigrams(texts: list[str]) -> np.ndarray:
@@ -45,43 +53,57 @@ def _bigrams(texts: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
-    """Labelled positives: n strings each of base 64, letters with digits, capitals with digits, and hexadecimal digits."""
-    rng = np.random.default_rng(seed)
-    styles = (ALPHABET[:64], ALPHABET[:62], ALPHABET[:26] + "0123456789", "0123456789abcdef")
-    return ["".join(rng.choice(list(s), size)) for s in styles for size in rng.integers(20, 64, n)]
+def random_strings(style: str, n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
+    """Labelled positives: n random strings over an alphabet of STYLES."""
+    rng = np.random.default_rng([seed, list(STYLES).index(style)])
+    return ["".join(rng.choice(list(STYLES[style]), size)) for size in rng.integers(LEAST_CANDIDATE, 64, n)]
+
+
+def ordinary_words(docs: DataFrame) -> list[str]:
+    """Distinct token-like words of a bounded sample of whole documents, without those that a pattern finds and those that mix letters and digits over a candidate's length."""
+    texts = sampled(docs.select("doc_id", "text"), SAMPLE_DOCS)
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({CANDIDATE.pattern})"), 1)).alias("word")).where("length(word) > 2").distinct()
+    mixed = lambda w: len(w) >= LEAST_CANDIDATE and any(c.isdigit() for c in w) and any(c.isalpha() for c in w) and not re.fullmatch(r"(?:[A-Za-z]*[0-9]{0,6}[-_./=])*[A-Za-z]*[0-9]{0,6}", w)
+    return sorted(w for w in (r.word for r in found.collect()) if not base_spans(w) and not mixed(w)) or ["value", "name", "document"]
 
 
-def identifiers(docs: DataFrame) -> list[str]:
-    """Labelled negatives: token-like words of a bounded sample of documents, without those that a pattern finds; and their compounds."""
-    rows = sampled(docs.select("doc_id", "text"), SAMPLE_DOCS).select(excerpt("text", SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
-    words = sorted({w for r in rows for w in CANDIDATE.findall(r.text) if len(w) > 2 and not any(c.isdigit() for c in w)}) or ["value", "name", "document"]
-    rng = np.random.default_rng(SEED)
+def identifiers(words: list[str], seed: int = SEED) -> list[str]:
+    """Labelled negatives: the words, their compounds in the usual spellings, numbered names, plain numbers and dates."""
+    rng = np.random.default_rng(seed)
     pick = lambda: words[rng.integers(len(words))]
-    joined = [sep.join(pick() for _ in range(rng.integers(2, 5))) for sep in ("_", "-", ".", "/", "") for _ in range(400)]
-    numbered = [f"{pick()}{sep}{rng.integers(1, 3000)}" for sep in ("_", "-", "/", "=") for _ in range(100)]
-    return words + joined + numbered + [w.upper() for w in words[::7]]
+    joined = [sep.join(pick() for _ in range(rng.integers(2, 5))) for sep in ("_", "-", ".", "/", "") for _ in range(600)]
+    camel = ["".join(pick().capitalize() for _ in range(rng.integers(2, 5))) for _ in range(600)]
+    numbered = [f"{pick()}{sep}{rng.integers(1, 3000)}" for sep in ("_", "-", "/", "=", ".", "") for _ in range(200)]
+    numbers = ["".join(rng.choice(list("0123456789"), n)) for n in rng.integers(2, 24, 600)]
+    dates = [f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}" for _ in range(100)]
+    versions = [".".join(str(rng.integers(0, 256)) for _ in range(rng.integers(2, 5))) for _ in range(200)]
+    return words + joined + camel + numbered + numbers + dates + versions + [w.upper() for w in joined[::5]]
 
 
 class SecretModel:
-    """Log-likelihood ratio of two Markov chains: random strings against identifiers."""
+    """Log-likelihood ratio of Markov chains: the likeliest of random strings' chains, one for each style, against identifiers.
+
+    Every fourth identifier is kept from training and sets the threshold: a secret scores above all of them, and LEAST_TOTAL at least.
+    """
 
-    def __init__(self, random: list[str], ordinary: list[str]):
-        self.ratio = _bigrams(random) - _bigrams(ordinary)
+    def __init__(self, random: dict[str, list[str]], ordinary: list[str]):
+        fit = [w for i, w in enumerate(ordinary) if i % 4]
+        plain = _bigrams(fit)
+        self.ratios = np.stack([_bigrams(strings) - plain for strings in random.values()])
+        spared = [self.score(w) for w in ordinary[::4] if len(w) >= LEAST_CANDIDATE]
+        self.least = max([LEAST_TOTAL, *spared])
 
     def score(self, token: str) -> float:
         codes = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-        return float(self.ratio[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].sum())
+        return float(self.ratios[:, np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].sum(axis=1).max() - np.log(len(self.ratios)))
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Candidates that seem random and touch no span already taken."""
         found = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if b - a >= LEAST_CANDIDATE and all(b <= x or y <= a for x, y in taken):
-                ratio = self.score(m[0])
-                if ratio >= LEAST_TOTAL and ratio >= LEAST_RATIO * (b - a):
-                    found.append((a, b))
+            if b - a >= LEAST_CANDIDATE and all(b <= x or y <= a for x, y in taken) and self.score(m[0]) > self.least:
+                found.append((a, b))
         return found
 
 
@@ -94,15 +116,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _has_run(inside: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
-    """Of each text: has it ``least`` such bytes in a row?"""
+    """Of each text: has it ``least`` such bytes in a row? A run over two texts only adds a text to look at."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    long = start[end - start >= least]  # a run over two texts only adds a text to look at
+    long = end - start >= least
     out = np.zeros(len(offsets) - 1, bool)
-    for at in long:
-        first = np.searchsorted(offsets, at, "right") - 1
-        out[first] = True
-    for at, stop in zip(start[end - start >= least], end[end - start >= least], strict=True):
+    for at, stop in zip(start[long], end[long], strict=True):
         out[np.searchsorted(offsets, at, "right") - 1 : np.searchsorted(offsets, stop, "left")] = True
     return out
 
@@ -111,8 +130,8 @@ def _scan(model: SecretModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
     for batch in batches:
         for rows, buf, offsets in K.blocks(batch):
-            # cheap tests on bytes: only texts that can hold a span are decoded
-            look = _has_run(_IN_TOKEN[buf], offsets, min(LEAST_CANDIDATE, LEAST_ACCESS)) | _has_run(_IN_HEX[buf], offsets, LEAST_HEX)
+            # exact test on bytes: a span of any kind but assign is a run of LEAST_CANDIDATE token characters or more, and one of that kind holds ":" or "="
+            look = _has_run(_IN_TOKEN[buf], offsets, min(LEAST_CANDIDATE, LEAST_ACCESS, LEAST_HEX))
             marks = np.flatnonzero((buf == 58) | (buf == 61))
             look[np.searchsorted(offsets, marks, "right") - 1] = True
             out: list[list[dict]] = [[] for _ in range(rows.num_rows)]
@@ -126,7 +145,7 @@ def _scan(model: SecretModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def secret_model(docs: DataFrame) -> SecretModel:
-    return SecretModel(random_strings(), identifiers(docs))
+    return SecretModel({style: random_strings(style) for style in STYLES}, identifiers(ordinary_words(docs)))
 
 
 def secret_scan(docs: DataFrame, model: SecretModel | None = None) -> DataFrame:
