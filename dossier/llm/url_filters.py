@@ -1,4 +1,6 @@
-"""URL filters: host and path rules, then gradient-boosted trees on lexical features.
+"""URL filters: host and path rules, then gradient-boosted trees on lexical features, which judge what no rule fits.
+
+The trees are fitted to labelled URLs: those given, or else the URLs that a rule labels.
 
 Only DataFrame and MLlib operations; one pass over the URLs, no shuffle of them.
 """
@@ -11,15 +13,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.scratch import written
+
 #: (rule, verdict): a host, and what the path must start with.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-# Words in a host that label its URLs as unwanted for training.
-UNWANTED = ("spam", "pills", "casino", "poker", "viagra", "lottery", "porn", "xxx", "warez", "payday")
-#: Labelled URLs of each label that the trees are fitted to at most, those with the smallest hash of their url.
-MAX_LABELLED = 10_000
+#: Labelled URLs of each label that the trees are fitted to at most, those with the smallest hash of their url. One in
+#: HELD_OUT labelled URLs, by another hash, is never fitted to.
+MAX_LABELLED, HELD_OUT = 10_000, 5
 TREES, DEPTH, SEED = 12, 3, 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEXICAL = ("url_length", "host_length", "path_length", "path_depth", "host_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "suffix_rate", "suffix_support")
+LEXICAL = ("url_length", "host_length", "path_length", "path_depth", "host_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "suffix_rate", "suffix_support", "head_rate", "head_support")
 
 
 def host_and_path(pages: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def rule_columns(rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Co
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Adds the lexical features but for the suffix statistics, and ``suffix``, the host's last label."""
+    """Adds the lexical features but for the statistics, and what those are of: ``suffix``, the host's last label, and ``head``, the path's first part."""
     url = F.coalesce("url", F.lit(""))
     share = lambda c: F.when(F.length(c) > 0, F.length(F.regexp_replace(c, "[^0-9]+", "")) / F.length(c)).otherwise(0.0)
     letters = F.split(F.col("host"), "")
@@ -60,59 +63,76 @@ def lexical(pages: DataFrame) -> DataFrame:
             "query_length": F.length(query),
             "has_fragment": url.contains("#").cast("int"),
             "suffix": F.substring_index("host", ".", -1),
+            "head": F.regexp_extract("path", "^/([^/]*)", 1),
         }
     )
 
 
-def labelled_sample(pages: DataFrame, unwanted: tuple[str, ...] = UNWANTED, most: int = MAX_LABELLED) -> DataFrame:
-    """Distinct URLs labelled 1.0 where the host holds an unwanted word, else 0.0; of each label ``most`` at most, by hash.
+def labelled_by_rules(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """(url, label) of the distinct URLs that a rule fits: 1.0 where it blocks, else 0.0."""
+    verdict = rule_columns(rules)[1]
+    return host_and_path(pages.select("url")).select("url", verdict.alias("verdict")).where("verdict IS NOT NULL").select("url", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
 
-    Columns: url, host, path, label, weight (the labels weigh alike).
-    """
-    found = host_and_path(pages.select("url")).where("host <> ''").withColumn("label", F.col("host").rlike("|".join(unwanted)).cast("double")).distinct()
+
+def is_held_out() -> Column:
+    return F.crc32(F.encode("url", "utf-8")) % HELD_OUT == 0
+
+
+def training_sample(labelled: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """Of each label of ``labelled`` (url, label) ``most`` rows at most, by hash, without those held out; labels weigh alike."""
+    found = labelled.select("url", F.col("label").cast("double").alias("label")).where(F.col("url").isNotNull() & ~is_held_out())
     take = lambda label: found.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(most)
     both = take(1.0).unionByName(take(0.0))
-    sizes = both.groupBy("label").agg((1 / F.count(F.lit(1))).alias("weight"))  # two rows
-    return both.join(F.broadcast(sizes), "label").select("url", "host", "path", "label", (F.col("weight") * 1000).alias("weight"))
+    sizes = both.groupBy("label").agg((1000 / F.count(F.lit(1))).alias("weight"))  # two rows
+    return lexical(host_and_path(both.join(F.broadcast(sizes), "label")))
+
+
+def statistics(sample: DataFrame, part: str) -> DataFrame:
+    """Per value of ``part`` in the bounded sample: smoothed share of blocked URLs and log of the count."""
+    by = sample.groupBy(part).agg(F.sum("label").alias("n_block"), F.count(F.lit(1)).alias("n"))
+    return by.select(part, ((F.col("n_block") + 1) / (F.col("n") + 2)).alias(f"{part}_rate"), F.log1p(F.col("n")).alias(f"{part}_support"))
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Per suffix of the bounded sample: smoothed share of blocked URLs and log of the count."""
-    by = lexical(labelled).groupBy("suffix").agg(F.sum("label").alias("n_block"), F.count(F.lit(1)).alias("n"))
-    return by.select("suffix", ((F.col("n_block") + 1) / (F.col("n") + 2)).alias("suffix_rate"), F.log1p(F.col("n")).alias("suffix_support"))
+class UrlModel:
+    """Trees on the lexical features of labelled URLs, and the statistics of the sample's suffixes and path heads."""
 
+    def __init__(self, labelled: DataFrame):
+        sample = written(training_sample(labelled), "url-sample")
+        self.stats = [statistics(sample, part) for part in ("suffix", "head")]
+        self.trees: GBTClassificationModel | None = None
+        if sample.select("label").distinct().count() == 2:
+            rows = self._features(sample).select("features", "label", "weight").repartition(4)
+            self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, stepSize=0.3, weightCol="weight").fit(rows)
 
-def with_suffix(urls: DataFrame, stats: DataFrame) -> DataFrame:
-    """stats has as many rows as the labelled sample at most, so it may be broadcast."""
-    return urls.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_support": 0.0})
+    def _features(self, urls: DataFrame) -> DataFrame:
+        for stats, part in zip(self.stats, ("suffix", "head"), strict=True):
+            # as many rows as the labelled sample at most, so it may be broadcast
+            urls = urls.join(F.broadcast(stats), part, "left").fillna({f"{part}_rate": 0.5, f"{part}_support": 0.0})
+        return VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(urls)
 
+    def scored(self, urls: DataFrame) -> DataFrame:
+        """``urls`` (of lexical()) with ``score``: 0 to 1, higher where a block is likelier; 0.5 without labels of both kinds."""
+        if self.trees is None:
+            return urls.withColumn("score", F.lit(0.5))
+        return self.trees.transform(self._features(urls)).withColumn("score", vector_to_array("probability")[1])
 
-def fit(labelled: DataFrame) -> tuple[GBTClassificationModel | None, DataFrame]:
-    """Trees on the labelled URLs (None if they don't hold both labels), and the suffix statistics."""
-    stats = suffix_statistics(labelled)
-    if labelled.select("label").distinct().count() < 2:
-        return None, stats
-    rows = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(with_suffix(lexical(labelled), stats)).select("features", "label", "weight")
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, stepSize=0.3, weightCol="weight").fit(rows.repartition(4)), stats
+
+def held_out_accuracy(labelled: DataFrame) -> DataFrame:
+    """One row: n, accuracy, and the shares of blocked and of allowed URLs judged rightly, of the labelled URLs held out."""
+    rows = lexical(host_and_path(labelled.where(F.col("url").isNotNull() & is_held_out())))
+    right = ((F.col("score") > 0.5) == (F.col("label") == 1)).cast("double")
+    return UrlModel(labelled).scored(rows).agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.avg(F.when(F.col("label") == 1, right)).alias("blocked"), F.avg(F.when(F.col("label") == 0, right)).alias("allowed"))
 
 
 def url_filters(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url; other columns are ignored).
 
-    labelled: url, host, path, label, weight; labelled_sample() of the pages where None. A null url, and one without ``://``, has
+    labelled: url and label (1 block, 0 allow); labelled_by_rules() of the pages where None. A null url, and one without ``://``, has
     empty host and path, fits no rule and is judged by the trees. Without labels of both kinds all such rows are
     allowed, with score 0.5. Repeated rows give repeated results; an empty table gives none.
+    Returns page_id, host, path, rule, verdict, score.
     """
-    from dossier.llm.scratch import written
-
-    labelled = written(labelled_sample(pages) if labelled is None else labelled, "url-labels")
-    model, stats = fit(labelled)
+    model = UrlModel(labelled_by_rules(pages, rules) if labelled is None else labelled)
     rule, verdict = rule_columns(rules)
-    found = lexical(host_and_path(pages.select("page_id", "url"))).withColumns({"rule": rule, "by_rule": verdict})
-    if model is None:
-        scored = found.withColumn("score", F.lit(0.5))
-    else:
-        ready = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(with_suffix(found, stats))
-        scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
-    method = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "score")
+    scored = model.scored(lexical(host_and_path(pages.select("page_id", "url"))).withColumns({"rule": rule, "by_rule": verdict}))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
