@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A step reads one word: an embedding of the word (hashed) beside the mean embedding of its letter triples (hashed). A
-window of WINDOW words is pooled by attention and scored; windows start every STRIDE words, so they overlap and cover the
+A step reads one word: an embedding of the word, beside the mean embedding of its letter triples (hashed). Words of the
+vocabulary, those of several training documents, have a row each; all others share one. A row's first number stays what
+it starts as: by how many standard errors the shares of toxic and of other documents that hold the word differ. A window of WINDOW words is pooled by attention and scored; windows start every STRIDE words, so they overlap and cover the
 whole text. A document's score is its highest window's, in training as in use, since labels mark whole documents.
 """
 
@@ -16,23 +17,27 @@ from pyspark.sql import functions as F
 
 from dossier.llm import gru
 from dossier.llm import kernels as K
-from dossier.llm.samples import bucket, excerpt, sampled
+from dossier.llm.samples import bucket, sampled
 
 WINDOW, STRIDE, HIDDEN, BATCH = 32, 16, 12, 2048
-WORD_ROWS, TRIPLE_ROWS, WORD_DIM, TRIPLE_DIM = 1 << 14, 1 << 14, 8, 16
-#: Training documents of each label at most, characters of each, passes, documents a step.
-TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 1_200, 3_000, 8, 64, 0.01, 5
-LEAST_STEPS = 150
+TRIPLE_ROWS, WORD_DIM, TRIPLE_DIM = 1 << 13, 8, 8
+#: Training documents of each label at most, steps, documents a step and toxic ones of these.
+TRAIN_DOCS, STEPS, STEP, TOXIC_A_STEP, RATE, SEED = 1_200, 240, 48, 12, 0.01, 5
+#: Word hashes that near-copies are told by: of many copies each weighs its part.
+SKETCH = 16
+#: Documents that hold a word of the vocabulary at least; its words at most, the most widespread; share of embeddings zeroed in training; decay of the embeddings a step.
+LEAST_DOCS, MOST_WORDS, DROPPED, DECAY = 3, 1 << 16, 0.3, 0.002
 SCORED = "doc_id long, score double"
 
 
 class Words:
     """The distinct words of some texts with their hashed features, and the texts' windows."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray):
         start, end, hashes, at = K.words(buf, offsets, breaks=K.IS_BREAK)
         unique, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.row = (unique % K.U(WORD_ROWS)).astype(np.int64)
+        place = np.minimum(np.searchsorted(vocabulary, unique), max(len(vocabulary) - 1, 0))
+        self.row = np.where(vocabulary[place] == unique, place + 1, 0) if len(vocabulary) else np.zeros(len(unique), np.int64)
         # letter triples of each distinct word, with its borders as letters of their own
         a, n = start[first], (end - start)[first]
         self.of = np.repeat(np.arange(len(a)), n)
@@ -44,6 +49,8 @@ class Words:
         right = np.where(inner < np.repeat(n, n) - 1, value[buf[np.minimum(at_byte + 1, len(buf) - 1)]], K.U(2)) if len(at_byte) else here
         self.triple = (K.mix(left * K.U(3) + here * K.U(K.BASE) + right * K.U(K.SHINGLE)) % K.U(TRIPLE_ROWS)).astype(np.int64)
         self.head, self.share = np.cumsum(n) - n, (1 / np.maximum(n, 1)).astype(gru.F4)
+        #: In training: which words' two embeddings are seen.
+        self.seen: np.ndarray | None = None
         counts = np.diff(at)
         windows = np.where(counts > 0, np.maximum(-(-(counts - WINDOW) // STRIDE), 0) + 1, 0)
         self.text = np.repeat(np.arange(len(counts)), windows)
@@ -57,12 +64,31 @@ class Words:
         return self.word[np.minimum(self.start[rows] + t, len(self.word) - 1)], (t < self.size[rows]).astype(gru.F4)
 
 
+def copies(held: list[np.ndarray]) -> np.ndarray:
+    """Of each text, given its distinct word hashes: how many of the texts share half of its SKETCH smallest ones, itself included."""
+    sketch = np.full((len(held), SKETCH), K.U((1 << 64) - 1))
+    for i, h in enumerate(held):
+        sketch[i, : len(h)] = h[:SKETCH]
+    n = np.ones(len(held))
+    for i, h in enumerate(held):
+        own = h[:SKETCH]
+        if len(own):
+            place = np.minimum(np.searchsorted(own, sketch), len(own) - 1)
+            n[i] = max(1, ((own[place] == sketch).sum(axis=1) * 2 >= max(len(own), 2)).sum())
+    return n
+
+
 class ToxicityModel:
-    def __init__(self, seed: int = SEED):
+    def __init__(self, vocabulary: np.ndarray | None = None, marks: np.ndarray | None = None, seed: int = SEED):
+        """vocabulary: sorted word hashes; marks: the first number of their rows."""
         rng = np.random.default_rng(seed)
         small = lambda *shape, size=0.3: (rng.standard_normal(shape) * size).astype(gru.F4)
+        self.vocabulary = np.zeros(0, K.U) if vocabulary is None else vocabulary
         # embeddings start near 0: words that training never met then say little
-        self.p: gru.Params = {"word": small(WORD_ROWS, WORD_DIM, size=0.02), "triple": small(TRIPLE_ROWS, TRIPLE_DIM, size=0.1)}
+        self.p: gru.Params = {"word": small(len(self.vocabulary) + 1, WORD_DIM, size=0.02), "triple": small(TRIPLE_ROWS, TRIPLE_DIM, size=0.05)}
+        self.p["word"][:, 0] = 0
+        if marks is not None:
+            self.p["word"][1:, 0] = marks
         for d in "fb":
             self.p[f"w{d}"] = small(3 * HIDDEN, WORD_DIM + TRIPLE_DIM)
             self.p[f"u{d}"], self.p[f"c{d}"] = gru.gates(rng, HIDDEN)
@@ -71,7 +97,8 @@ class ToxicityModel:
     def features(self, words: Words) -> np.ndarray:
         """(word, feature)"""
         sums = np.add.reduceat(self.p["triple"][words.triple], words.head, axis=0) if len(words.head) else np.zeros((0, TRIPLE_DIM), gru.F4)
-        return np.concatenate([self.p["word"][words.row], sums * words.share[:, None]], axis=1)
+        x = np.concatenate([self.p["word"][words.row], sums * words.share[:, None]], axis=1)
+        return x if words.seen is None else x * np.repeat(words.seen, (WORD_DIM, TRIPLE_DIM), axis=1)
 
     def logits(self, inputs: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """A score for each window. inputs: by direction, the gates' input of each distinct word (3 hidden, word)."""
@@ -94,30 +121,58 @@ class ToxicityModel:
         x = self.features(words).T
         return {d: np.ascontiguousarray(self.p[f"w{d}"] @ x) for d in "fb"}
 
-    def train(self, texts: list[str], labels: np.ndarray) -> None:
-        """Logistic loss of each document's highest window; the labels weigh alike."""
+    @classmethod
+    def trained(cls, texts: list[str], labels: np.ndarray, steps: int = STEPS) -> ToxicityModel:
+        """Vocabulary and marks of the whole texts, then logistic loss of each document's highest window; the labels weigh alike."""
+        held = [np.unique(K.words(*K.utf8(pa.array([t], pa.string())), breaks=K.IS_BREAK)[2]) for t in texts]
+        weight = 1 / copies(held)
+        flat, by = np.concatenate(held), np.repeat(weight, [len(h) for h in held])
+        words, place = np.unique(flat, return_inverse=True)
+        n = np.bincount(place, by)
+        n_toxic = np.bincount(place, by * np.repeat(labels == 1, [len(h) for h in held]))
+        chosen = np.flatnonzero(n > LEAST_DOCS - 0.5)
+        chosen = np.sort(chosen[np.lexsort((words[chosen], -n[chosen]))[:MOST_WORDS]])
+        words, n, n_toxic = words[chosen], n[chosen], n_toxic[chosen]
+        n_1, n_0 = weight[labels == 1].sum(), weight[labels == 0].sum()
+        share = (n + 1) / (n_1 + n_0 + 2)
+        errors = (n_toxic / n_1 - (n - n_toxic) / n_0) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
+        model = cls(words, (np.sign(errors) * np.tanh(np.maximum(np.abs(errors) - 2, 0) / 4)).astype(gru.F4))
+        model.fit(texts, labels, weight, steps)
+        return model
+
+    def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int) -> None:
+        """Steps of STEP documents, TOXIC_A_STEP of them toxic, drawn by weight."""
         rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
-        weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
-        n_parts = max(1, len(texts) // STEP)
-        epochs = max(EPOCHS, -(-LEAST_STEPS // n_parts))
-        for epoch in range(epochs):
-            adam.rate = RATE * (1 - epoch / epochs)
-            for docs in np.array_split(rng.permutation(len(texts)), n_parts):
-                buf, offsets = K.utf8(pa.array([texts[i] for i in docs], pa.string()))
-                words = Words(buf, offsets)
-                if not len(words.text):
-                    continue
-                inputs = self.inputs(words)
-                scores = np.concatenate([self.logits(inputs, *words.grid(slice(i, i + BATCH))) for i in range(0, len(words.text), BATCH)])
-                order = np.lexsort((-scores, words.text))
-                best = order[np.concatenate([[True], words.text[order][1:] != words.text[order][:-1]])]
-                self._step(adam, words, inputs, best, labels[docs][words.text[best]], weight[docs][words.text[best]])
-
-    def _step(self, adam: gru.Adam, words: Words, inputs: dict, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        chance = [np.where(labels == y, weight, 0) / weight[labels == y].sum() for y in (0, 1)]
+        for step in range(steps):
+            adam.rate = RATE * (1 - step / steps)
+            docs = np.concatenate([rng.choice(len(texts), n, p=p) for n, p in zip((STEP - TOXIC_A_STEP, TOXIC_A_STEP), chance, strict=True)])
+            buf, offsets = K.utf8(pa.array([texts[i] for i in docs], pa.string()))
+            words = Words(buf, offsets, self.vocabulary)
+            if not len(words.text):
+                continue
+            words.seen = (rng.random((len(words.row), 2)) >= DROPPED).astype(gru.F4)
+            inputs = self.inputs(words)
+            scores = np.concatenate([self.logits(inputs, *words.grid(slice(i, i + BATCH))) for i in range(0, len(words.text), BATCH)])
+            order = np.lexsort((-scores, words.text))
+            best = order[np.concatenate([[True], words.text[order][1:] != words.text[order][:-1]])]
+            y = labels[docs][words.text[best]]
+            self.descend(adam, self.gradients(words, inputs, best, y))
+
+    def descend(self, adam: gru.Adam, g: gru.Params) -> None:
+        g["word"][:, 0] = 0
+        marks = self.p["word"][:, 0].copy()
+        adam.step(g)
+        self.p["word"] *= gru.F4(1 - DECAY)
+        self.p["triple"] *= gru.F4(1 - DECAY)
+        self.p["word"][:, 0] = marks
+
+    def gradients(self, words: Words, inputs: dict, rows: np.ndarray, y: np.ndarray) -> gru.Params:
+        """Of the mean logistic loss of the windows ``rows`` with labels y."""
         ids, mask = words.grid(rows)
         kept: dict = {}
         score = self.logits(inputs, ids, mask, kept)
-        d = (weight * (1 / (1 + np.exp(-score)) - y) / len(rows)).astype(gru.F4)[None]
+        d = ((1 / (1 + np.exp(-score)) - y) / len(rows)).astype(gru.F4)[None]
         h, a, e = kept["h"], kept["a"], kept["e"]
         g = {"o": d @ kept["pooled"].T, "bias": d.sum(keepdims=True)}
         d_pooled = self.p["o"].T @ d
@@ -134,13 +189,15 @@ class ToxicityModel:
             by_word = gru.scatter_rows((len(words.row), 3 * HIDDEN), ids.ravel(), d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN))
             g[f"w{way}"] = by_word.T @ x
             d_x += by_word @ self.p[f"w{way}"]
-        g["word"] = gru.scatter_rows((WORD_ROWS, WORD_DIM), words.row, d_x[:, :WORD_DIM])
+        if words.seen is not None:
+            d_x *= np.repeat(words.seen, (WORD_DIM, TRIPLE_DIM), axis=1)
+        g["word"] = gru.scatter_rows(self.p["word"].shape, words.row, d_x[:, :WORD_DIM])
         g["triple"] = gru.scatter_rows((TRIPLE_ROWS, TRIPLE_DIM), words.triple, (d_x[:, WORD_DIM:] * words.share[:, None])[words.of])
-        adam.step(g)
+        return g
 
     def documents(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of each text: that of its highest window; that of a window without signal if it has no word."""
-        words = Words(buf, offsets)
+        words = Words(buf, offsets, self.vocabulary)
         best = np.full(len(offsets) - 1, -np.inf)
         if len(words.text):
             inputs = self.inputs(words)
@@ -156,13 +213,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -
     chosen = [sampled(known.where(F.col("toxic") == y), most) for y in (1, 0)]
     marks = {r.doc_id: r.toxic for part in chosen for r in part.collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isin(list(marks)))
-    found = texts.select("doc_id", excerpt("text", TRAIN_CHARS).alias("text")).orderBy("doc_id", "text").limit(2 * most).collect()
+    found = texts.orderBy("doc_id", "text").limit(2 * most).collect()  # bounded in rows; whole texts
     y = np.array([marks[r.doc_id] for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    model = ToxicityModel()
-    model.train([r.text for r in found], y)
-    return model
+    return ToxicityModel.trained([r.text for r in found], y)
 
 
 def _scored(model: ToxicityModel | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -371,6 +371,60 @@ def test_toxicity(spark, docs, empty, rows):
     assert {r.score for r in toxicity(texts, labels.where("toxic = 1")).collect()} == {0.0}
 
 
+def slope(model, loss, name, at, step=1e-2):
+    """The loss's slope along one number of the model, from both sides."""
+    place = model.p[name]
+    was = place[at]
+    place[at] = was + step
+    high = loss()
+    place[at] = was - step
+    low = loss()
+    place[at] = was
+    return (high - low) / (2 * step)
+
+
+def close(model, loss, grads):
+    draw = np.random.default_rng(0)
+    for name, g in grads.items():
+        for _ in range(4):
+            at = tuple(draw.integers(0, n) for n in g.shape) if draw.random() < 0.5 else np.unravel_index(np.abs(g).argmax(), g.shape)
+            assert abs(slope(model, loss, name, at) - g[at]) < 2e-3 + 0.03 * abs(g[at]), (name, at)
+
+
+def test_gradients_of_the_language_network():
+    from dossier.llm.language_id import WINDOW, LanguageModel
+
+    draw = np.random.default_rng(1)
+    model = LanguageModel(["a", "b", "c"])
+    ids, labels = draw.integers(97, 110, (WINDOW, 5)), np.array([0, 1, 2, 1, 0])
+    mask = (np.arange(WINDOW)[:, None] < np.array([64, 3, 20, 1, 40])).astype("f4")
+
+    def loss():
+        p = model.softmax(model.logits(ids, mask))
+        return float((-np.log(p[:, labels, np.arange(5)]) * mask).sum() / mask.sum())
+
+    close(model, loss, model.gradients(ids, mask, labels))
+
+
+def test_gradients_of_the_attention_network():
+    import pyarrow as pa
+
+    from dossier.llm.toxicity import ToxicityModel, Words
+
+    texts = ["one two three four five", "two idiot three " * 9, "x", "five four two one"]
+    buf, offsets = K.utf8(pa.array(texts))
+    model = ToxicityModel(np.unique(K.words(buf, offsets)[2]), None)
+    model.p["word"][:] = np.random.default_rng(2).standard_normal(model.p["word"].shape) * 0.5
+    words = Words(buf, offsets, model.vocabulary)
+    rows, y = np.arange(len(words.text)), (np.arange(len(words.text)) % 2)
+
+    def loss():
+        z = model.logits(model.inputs(words), *words.grid(rows)).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    close(model, loss, model.gradients(words, model.inputs(words), rows, y))
+
+
 def test_kernels_know_words():
     texts = ["a B c\x0bd", "", "\t x ", None, "é"]
     import pyarrow as pa
