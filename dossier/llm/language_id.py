@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from dossier.llm import gru
 from dossier.llm import kernels as K
-from dossier.llm.samples import bucket, excerpt
+from dossier.llm.samples import bucket
 
 WINDOW, HIDDEN, BATCH = 64, 8, 2048
-#: Training documents at most, characters of each, passes and rows a step.
-TRAIN_DOCS, TRAIN_CHARS, EPOCHS, STEP, RATE, SEED = 800, 384, 8, 256, 0.01, 11
-LEAST_STEPS = 150
+#: Training documents at most, steps, windows a step, drawn from the whole texts.
+TRAIN_DOCS, STEPS, STEP, RATE, SEED = 800, 200, 256, 0.01, 11
 #: Training documents of each language at least, where it has them, whatever TRAIN_DOCS says; the most that a rare language's weigh.
 LEAST_OF_A_LANG, MOST_WEIGHT = 20, 10.0
 UNKNOWN = "und"
@@ -74,31 +73,30 @@ class LanguageModel:
         return x
 
     def train(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Cross entropy of every byte's label with the document's language; languages weigh alike up to MOST_WEIGHT."""
+        """Cross entropy of every byte's label with the document's language; languages weigh alike up to MOST_WEIGHT, and so do the documents of one."""
         counts = np.bincount(labels, minlength=len(self.langs))
-        weight = np.minimum(counts.mean() / np.maximum(counts, 1), MOST_WEIGHT).astype(gru.F4)[labels]
+        weight = np.minimum(counts.mean() / np.maximum(counts, 1), MOST_WEIGHT)[labels]
         buf, offsets = K.utf8(pa.array(texts, pa.binary()))
         text, start, size = windows(buf, offsets)
+        chance = (weight / np.maximum(np.bincount(text, minlength=len(texts)), 1))[text]  # a document's windows share its weight
         rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
-        n_parts = max(1, len(text) // STEP)
-        epochs = max(EPOCHS, -(-LEAST_STEPS // n_parts))
-        for epoch in range(epochs):
-            adam.rate = RATE * (1 - epoch / epochs)
-            for rows in np.array_split(rng.permutation(len(text)), n_parts):
-                if not len(rows):
-                    continue
-                ids, mask = grid(buf, start[rows], size[rows])
-                kept: dict = {}
-                d = self.softmax(self.logits(ids, mask, kept))
-                d[:, labels[text[rows]], np.arange(len(rows))] -= 1
-                weighed = mask * weight[text[rows]]
-                d *= weighed[:, None] / weighed.sum()
-                grads = {"o": d.sum(axis=(0, 2))[:, None]}
-                for way in "fb":
-                    grads[f"o{way}"] = np.einsum("tlb,thb->lh", d, kept[f"h{way}"])
-                    d_in, grads[f"u{way}"], grads[f"c{way}"] = gru.backward(self.p[f"o{way}"].T @ d, kept[way], mask, self.p[f"u{way}"])
-                    grads[f"x{way}"] = gru.scatter_rows((256, 3 * HIDDEN), ids.ravel(), d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN))
-                adam.step(grads)
+        for step in range(STEPS if len(text) else 0):
+            adam.rate = RATE * (1 - step / STEPS)
+            rows = rng.choice(len(text), STEP, p=chance / chance.sum())
+            adam.step(self.gradients(*grid(buf, start[rows], size[rows]), labels[text[rows]]))
+
+    def gradients(self, ids: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> gru.Params:
+        """Of the mean cross entropy of all bytes with their windows' labels."""
+        kept: dict = {}
+        d = self.softmax(self.logits(ids, mask, kept))
+        d[:, labels, np.arange(len(labels))] -= 1
+        d *= mask[:, None] / mask.sum()
+        grads = {"o": d.sum(axis=(0, 2))[:, None]}
+        for way in "fb":
+            grads[f"o{way}"] = np.einsum("tlb,thb->lh", d, kept[f"h{way}"])
+            d_in, grads[f"u{way}"], grads[f"c{way}"] = gru.backward(self.p[f"o{way}"].T @ d, kept[way], mask, self.p[f"u{way}"])
+            grads[f"x{way}"] = gru.scatter_rows((256, 3 * HIDDEN), ids.ravel(), d_in.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN))
+        return grads
 
     def documents(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(document, language): mean probabilities over all bytes; 0 for empty texts."""
@@ -132,7 +130,7 @@ def language_model(docs: DataFrame, most: int = TRAIN_DOCS) -> LanguageModel | N
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     own = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
     chosen = {(r.doc_id, r.lang) for r in ids.withColumn("place", place).where((F.col("place") <= max(share.values())) & (F.col("place") <= own)).collect()}
-    texts = rows.where(F.col("doc_id").isin([i for i, _ in chosen])).select("doc_id", "lang", excerpt("text", TRAIN_CHARS).alias("text"))
+    texts = rows.where(F.col("doc_id").isin([i for i, _ in chosen]))  # whole texts of so many rows
     found = [r for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect() if (r.doc_id, r.lang) in chosen]
     if not found:
         return None

@@ -17,8 +17,3 @@ def sampled(rows: DataFrame, most: int) -> DataFrame:
     ids = [r.doc_id for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     return rows.where(F.col("doc_id").isin(ids)) if ids else rows.limit(0)
 
-
-def excerpt(column: str, length: int) -> Column:
-    """A run of ``length`` characters of a text, at a place chosen by hash: fitting alone may use it, never scoring."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    return F.substr(text, F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - length, F.lit(1))).cast("int"), F.lit(length))
