@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ SEQUENCE, END_ID = 2048, 1
 DIMENSIONS, BITS, SEED = 3, 10, 7
 #: Bytes of token ids that a partition of the curve has on average.
 PARTITION_BYTES = 32 << 20
-#: Words that a Python worker remembers; beyond it, it starts anew.
-MOST_WORDS = 500_000
+#: Words that a Python worker remembers; beyond it, those not met again since the last time are forgotten.
+MOST_WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,20 +63,26 @@ class WordIds:
             parts = json.load(f)
         splitter = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(splitter).findall
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        #: Words met of late, and those met in the time before that.
         self.by_word: dict[bytes, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def piece(self, text: str) -> bytes:
-        found = self.by_piece.get(text)
+        """Ids of what the pre-tokenizer doesn't split: that is a word too, or a part of some."""
+        raw = text.encode()
+        found = self.by_word.get(raw) or self.before.get(raw)
         if found is None:
-            shown = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            found = self.by_piece[text] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+            shown = text if text.isascii() else raw.decode("latin-1").translate(self.letters)
+            found = self.by_word[raw] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters alone
+            return self.piece(raw.lower().decode())
         text = raw.decode("utf-8", "replace")
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).lower()
@@ -84,7 +91,7 @@ class WordIds:
             text, plain = text.lower(), text.isprintable()
         if plain and "<|" not in text:
             return b"".join(map(self.piece, self.pieces(text)))
-        return np.array(self.whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and their offsets by text."""
@@ -95,14 +102,14 @@ class WordIds:
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         first, inverse = K.interned(plain, start, end)
         if len(self.by_word) > MOST_WORDS:
-            self.by_word.clear()
-            self.by_piece.clear()
-        known, folded = self.by_word, plain.tobytes()
+            self.by_word, self.before = {}, self.by_word
+        known, before, folded = self.by_word, self.before, plain.tobytes()
         found = []
         for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True):
-            ids = known.get(folded[a:b])
+            key = folded[a:b]
+            ids = known.get(key)
             if ids is None:
-                ids = known[folded[a:b]] = self.word(raw[a:b])
+                ids = known[key] = before.get(key) or self.word(raw[a:b])
             found.append(ids)
         flat = np.frombuffer(b"".join(found), self.kind)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
