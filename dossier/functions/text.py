@@ -30,14 +30,15 @@ def tokens(text: Column) -> Column:
 
 
 def normalized(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
-    """``df`` with a column in a Unicode normal form, in Arrow batches: Spark has no such function."""
+    """``df`` with a column in a Unicode normal form, in Arrow batches: Spark has no such function. Only texts beyond ASCII travel."""
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+            yield batch.map(lambda x: x if x is None else unicodedata.normalize(form, x))
 
-    return df.withColumn(column, apply(F.col(column)))
+    wide = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    return df.withColumn(column, F.coalesce(apply(wide), F.col(column)))
 
 
 def script(text: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import text
 from dossier.operators import citation, classify, evidence, jurisdiction, lexical, respond, safety
 
 
@@ -27,9 +30,15 @@ def decide(questions: DataFrame, found: DataFrame, outputs: DataFrame) -> DataFr
     """
     sorted_out = jurisdiction.resolve(classify.classify(questions).withColumn("classified", F.col("jurisdiction_input"))).withColumnsRenamed({"state": "jurisdiction_state", "reason_code": "jurisdiction_reason"})
     packs = evidence.packs(found).select("query_id", "pack_id", F.col("n_items").alias("n_evidence"))
-    own = evidence.verify_items(found).select(F.col("query_id").alias("pack_id"), "evidence_id", "intact", (F.length("document_id") > 0).alias("well_formed"), F.lit(True).alias("pack_valid"))
+    asked = found.select("query_id", "query").distinct()
+    named = packs.join(asked, "query_id").select("query_id", "pack_id", F.lit(evidence.SCHEMA).alias("schema_version"), "query", F.lit(evidence.signature()).alias("config_signature"))
+    items = found.join(packs.select("query_id", "pack_id"), "query_id")
+    trusted = evidence.pack_validity(named, items).select("query_id", F.col("pack_problem").isNull().alias("pack_valid"))
+    blank = [text.is_blank(F.col(c)) for c in ("document_id", "source_family_id", "jurisdiction", "content_hash", "chunk_id")]
+    formed = ~reduce(lambda a, b: a | b, blank) & (F.size("block_ids") > 0) & (F.size("page_numbers") > 0)
+    own = evidence.verify_items(found).join(trusted, "query_id").select(F.col("query_id").alias("pack_id"), "evidence_id", "intact", formed.alias("well_formed"), "pack_valid")
     markers = citation.extract(outputs.select(F.col("query_id").alias("answer_id"), F.col("query_id").alias("pack_id"), "answer"))
     cited = citation.coverage(citation.validate(markers, own)).select(F.col("answer_id").alias("query_id"), F.col("n_unique_valid").alias("n_valid"), "integrity_rate", (F.col("n_invalid") + F.col("n_unresolved")).alias("n_failing_citations"))
-    joined = sorted_out.join(packs, "query_id", "left").join(outputs, "query_id", "left").join(cited, "query_id", "left")
+    joined = sorted_out.join(packs, "query_id", "left").join(trusted, "query_id", "left").join(outputs, "query_id", "left").join(cited, "query_id", "left")
     gated = safety.gates(respond.ground(joined))
     return safety.review_triggers(respond.deliver(gated))

@@ -44,15 +44,25 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str =
         wanted = _unit(np.array([r[vector_col] for r in held], float).reshape(len(held), width))
 
         def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, wanted: np.ndarray = wanted, width: int = width) -> Iterator[pa.RecordBatch]:
+            # the task's k best of each query so far (query, place); -1 stands for none
+            held, top = np.full((len(names), 0), -1, np.int64), np.full((len(names), 0), -np.inf)
             for batch in batches:
                 if not len(names) or not batch.num_rows:
                     continue
                 rows, ok = _matrix(batch.column(vector_col), width)
                 ids = batch.column(id_col).cast(pa.int64()).to_numpy(zero_copy_only=False)[ok]
-                scores = _unit(rows) @ wanted.T
-                for q in range(len(names)):
-                    order = np.lexsort((ids, -scores[:, q]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), names[q])), pa.array(ids[order]), pa.array(scores[order, q])], names=["query_id", id_col, "score"])
+                scores = wanted @ _unit(rows).T
+                if scores.shape[1] > k:  # what scores below the k-th of the batch is no candidate; ties with it are
+                    least = np.partition(scores, -k, axis=1)[:, -k]
+                    some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+                    scores, ids = scores[:, some], ids[some]
+                top = np.concatenate([top, scores], axis=1)
+                held = np.concatenate([held, np.broadcast_to(ids, scores.shape)], axis=1)
+                order = np.lexsort((held, -top), axis=1)[:, :k]
+                top, held = np.take_along_axis(top, order, 1), np.take_along_axis(held, order, 1)
+            n = held.shape[1]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(held.ravel()), pa.array(top.ravel())], names=["query_id", id_col, "score"])
 
         parts.append(vectors.select(id_col, vector_col).mapInArrow(best, f"query_id long, {id_col} long, score double"))
     found = reduce(DataFrame.unionByName, parts)

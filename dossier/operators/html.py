@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
-SCHEMA = "page_id long, sequence long, block_type string, heading_level int, text string, rows array<array<string>>, parent_section long, title string, simplified boolean"
+SCHEMA = "page_id long, sequence long, block_type string, heading_level string, text string, rows array<array<string>>, warnings array<string>, page_number int, block_id string, parent_section string, title string, simplified boolean, content_hash string"
 
 
 class PageReader(HTMLParser):
@@ -20,6 +21,8 @@ class PageReader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int | None, str, list[list[str]] | None]] = []
+        self.spanned: set[int] = set()  # places of tables whose cells span others
+        self.spans_here = False
         self.text: list[str] = []
         self.open = self.spans = self.simplified = False
         self.title: str | None = None
@@ -35,7 +38,8 @@ class PageReader(HTMLParser):
             self.blocks.append(("LIST", None, "", None))
         elif tag == "table":
             self.depth += 1
-            self.table = [] if self.depth == 1 else self.table
+            if self.depth == 1:
+                self.table, self.spans_here = [], False
         elif tag == "tr" and self.depth == 1:
             self.row = []
 
@@ -54,6 +58,8 @@ class PageReader(HTMLParser):
         elif tag == "table":
             if self.depth == 1:
                 self.blocks.append(("TABLE", None, "", self.table))
+                if self.spans_here:
+                    self.spanned.add(len(self.blocks))
             self.depth = max(0, self.depth - 1)
 
     def captured(self, tag: str, text: str) -> None:
@@ -61,6 +67,7 @@ class PageReader(HTMLParser):
             if self.row is not None:
                 self.row.append(text)
             self.simplified |= self.spans
+            self.spans_here |= self.spans
             self.spans = False
         elif tag == "title":
             self.title = text or None
@@ -80,11 +87,12 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 reader = PageReader()
                 reader.feed(html or "")
                 reader.close()
-                section = None
+                section, content = None, hashlib.sha256((html or "").encode()).hexdigest()
                 for n, (kind, level, text, rows) in enumerate(reader.blocks, 1):
-                    out.append((page, n, kind, level, text, rows, section, reader.title, reader.simplified))
-                    section = n if kind == "HEADING" else section
-            frame = pd.DataFrame(out, columns=["page_id", "sequence", "block_type", "heading_level", "text", "rows", "parent_section", "title", "simplified"])
-            yield frame.astype({"heading_level": "Int32", "parent_section": "Int64"})
+                    name = f"{page}:p1:b{n}"
+                    warnings = ["TABLE_STRUCTURE_SIMPLIFIED"] if n in reader.spanned else []
+                    out.append((page, n, kind, None if level is None else str(level), text, rows, warnings, 1, name, section, reader.title, reader.simplified, content))
+                    section = name if kind == "HEADING" else section
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return pages.select("page_id", "html").mapInPandas(read, SCHEMA)

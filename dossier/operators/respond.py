@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 from dossier.functions.ladders import first_match
 
-LANGUAGES = ("en", "hi", "ta")
+# Languages, the word for none, the reasons of abstentions and deliveries (below).
+LANGUAGES, UNSPECIFIED = ("en", "hi", "ta"), "UNSPECIFIED"
+NO_EVIDENCE, NO_CITATIONS = "NO_EVIDENCE_AVAILABLE", "NO_VALID_CITATIONS_PRODUCED"
+AS_IS, SAME_LANGUAGE = "LANGUAGE_UNSPECIFIED_NO_TRANSLATION_NEEDED", "SOURCE_MATCHES_REQUESTED_NO_TRANSLATION_NEEDED"
 
 
 def ground(outputs: DataFrame) -> DataFrame:
-    """Adds grounding_status and grounding_reason to outputs (n_evidence, success, answer, n_valid)."""
+    """Adds grounding_status and grounding_reason to outputs (n_evidence, success, answer, n_valid, and pack_valid if there).
+
+    An untrustworthy pack counts as one without evidence. Only abstentions have a reason: a failure of the provider is a
+    status of its own.
+    """
+    usable = F.coalesce("n_evidence", F.lit(0)) > 0
+    usable = usable & F.coalesce("pack_valid", F.lit(True)) if "pack_valid" in outputs.columns else usable
     reason = first_match(
         [
-            (F.coalesce("n_evidence", F.lit(0)) == 0, "NO_EVIDENCE"),
-            (F.col("success").isNull() | ~F.col("success") | F.col("answer").isNull(), "PROVIDER_FAILED"),
-            (F.coalesce("n_valid", F.lit(0)) == 0, "NO_VALID_CITATIONS"),
-        ]
+            (~usable, NO_EVIDENCE),
+            (~F.coalesce("success", F.lit(False)) | F.col("answer").isNull(), "GENERATION_FAILED"),
+            (F.coalesce("n_valid", F.lit(0)) == 0, NO_CITATIONS),
+        ],
+        "GROUNDED",
     )
-    done = outputs.withColumn("grounding_reason", reason)
-    return done.withColumn("grounding_status", F.when(F.col("grounding_reason").isNull(), "GROUNDED").when(F.col("grounding_reason") == "PROVIDER_FAILED", "GENERATION_FAILED").otherwise("ABSTAINED"))
+    abstained = reason.isin(NO_EVIDENCE, NO_CITATIONS)
+    return outputs.withColumns({"grounding_reason": F.when(abstained, reason), "grounding_status": F.when(abstained, "ABSTAINED").otherwise(reason)})
 
 
 def deliver(responses: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -30,14 +40,14 @@ def deliver(responses: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Dat
     provider), translation_ok. Only a delivered response carries a text.
     """
     c = F.col
-    none = c("requested_language").isNull() | (c("requested_language") == "unspecified")
+    none = c("requested_language").isNull() | (c("requested_language") == UNSPECIFIED)
     reason = first_match(
         [
             (~c("safety_status").eqNullSafe("SAFE_TO_PRESENT"), "SAFETY_NOT_SAFE_TO_PRESENT"),
             (~c("grounding_status").eqNullSafe("GROUNDED"), "GROUNDING_NOT_GROUNDED"),
             (~none & ~c("requested_language").isin(*languages), "UNSUPPORTED_LANGUAGE_REQUESTED"),
-            (none, "LANGUAGE_UNSPECIFIED"),
-            (c("requested_language") == c("source_language"), "SOURCE_MATCHES_REQUESTED"),
+            (none, AS_IS),
+            (c("requested_language") == c("source_language"), SAME_LANGUAGE),
             (c("translation").isNull(), "MISSING_TRANSLATION_PROVIDER"),
             (~c("translation_ok").eqNullSafe(True), "TRANSLATION_PROVIDER_FAILED"),
         ],
@@ -52,5 +62,5 @@ def deliver(responses: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Dat
         ],
         "DELIVERED",
     )
-    text = F.when(r.isin("LANGUAGE_UNSPECIFIED", "SOURCE_MATCHES_REQUESTED"), c("answer")).when(r == "TRANSLATION_SUCCEEDED", c("translation"))
+    text = F.when(r.isin(AS_IS, SAME_LANGUAGE), c("answer")).when(r == "TRANSLATION_SUCCEEDED", c("translation"))
     return responses.withColumn("delivery_reason", reason).withColumns({"delivery_status": status, "delivered_text": text})
