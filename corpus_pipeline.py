@@ -8,34 +8,39 @@ from pyspark.sql import functions as F
 from dossier.llm.decontamination import decontaminated
 from dossier.llm.near_dedup import first_of_each_class
 from dossier.llm.packing import packing
-from dossier.llm.scratch import written
+from dossier.llm.scratch import bounded_batches, written
 from dossier.llm.secret_scan import redacted
 from dossier.llm.toxicity import not_toxic
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network predicts to be toxic go."""
+    bounded_batches(spark)
     return not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one document stays, one with the smallest doc_id."""
+    bounded_batches(spark)
     return first_of_each_class(docs)
 
 
 def benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays, with n_chars counted anew."""
+    bounded_batches(spark)
     found = redacted(docs)
     return found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token sequences that the remaining documents fill."""
+    bounded_batches(spark)
     return packing(docs)
 
 

@@ -150,4 +150,15 @@ j AS (SELECT k.*, class_distance, coalesce(word_distance, 1.0) AS word_distance,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_distance <= {rules.MAX_CLASS_DISTANCE} AND (n_words < {rules.MIN_HISTOGRAM_WORDS} OR word_distance <= {rules.MAX_WORD_DISTANCE}) AS kept,
 round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM j"""
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+#: Every byte that a 100-byte string covers which also starts earlier, by listing all of them.
+SUFFIX_DEDUP_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS pos FROM d WHERE len(h) >= 200)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS place FROM w) WHERE place > 1),
+g AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g) GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone, count(*) AS spans FROM i GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, spans + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE b[k] END) + 1, 2 * ((CASE WHEN k = spans THEN len(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE b[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op10_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}

@@ -37,6 +37,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return found
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of ``rows`` rows at most from now on in this session, where it has Spark's 10,000 or more.
+
+    A batch of texts is held several times on its way to Python and back, in direct memory that the JVM frees late; so
+    that memory grows with the batch, up to the size of the heap once more.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) < 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables that written() gave, once everything made of them has been written itself."""
     for df in tables:
