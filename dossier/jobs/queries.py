@@ -266,7 +266,15 @@ def _lines_as_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.sections(blocks.text_blocks(docs))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) AS content_hash, list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t)), lambda t: t <> '') AS x FROM documents),
+b AS (SELECT doc_id, content_hash, generate_subscripts(x, 1) AS sequence, unnest(x) AS t FROM l),
+h AS (SELECT *, CASE WHEN length(t) > 120 OR regexp_matches(t, '[.,;:]$') THEN NULL
+  WHEN regexp_matches(t, '^[0-9]+(\\.[0-9]+)*[.)]?\\s+\\S') THEN least(6, 1 + len(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)*)', 1)) - len(replace(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)*)', 1), '.', '')))::VARCHAR
+  WHEN regexp_matches(t, '\\p{L}') AND t = upper(t) THEN 'UNKNOWN' END AS heading_level FROM b),
+n AS (SELECT *, sum((heading_level IS NOT NULL)::INT) OVER w AS section, max(CASE WHEN heading_level IS NOT NULL THEN sequence END) OVER (PARTITION BY doc_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY sequence ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, sequence, CASE WHEN heading_level IS NULL THEN 'PARAGRAPH' ELSE 'HEADING' END AS block_type, heading_level, t AS text, 1 AS page_number, doc_id || ':p1:b' || sequence AS block_id, content_hash, doc_id || ':p1:b' || head AS parent_section, section::BIGINT AS section FROM n"""
+)
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines_as_blocks(spark, sf_dir)
 
