@@ -124,12 +124,16 @@ def language_model(docs: DataFrame, most: int = TRAIN_DOCS) -> LanguageModel | N
     """A model of all languages of ``docs`` (doc_id, text, lang), without those held out; None without labelled text."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id", 3) != 1))
     ids = rows.select("doc_id", "lang").distinct()
-    share = quotas({r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}, most)
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}
+    share = quotas(counts, most)
     if not share:
         return None
+    by_lang = lambda x: F.create_map(*(F.lit(v) for pair in x.items() for v in pair))[F.col("lang")]
+    # those with the smallest hashes; what lies far above the wanted number's place needs no order
+    reach = {lang: (n + 8 * n**0.5 + 16) / counts[lang] for lang, n in share.items()}
+    low = ids.where(F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= by_lang(reach))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    own = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    chosen = {(r.doc_id, r.lang) for r in ids.withColumn("place", place).where((F.col("place") <= max(share.values())) & (F.col("place") <= own)).collect()}
+    chosen = {(r.doc_id, r.lang) for r in low.withColumn("place", place).where(F.col("place") <= by_lang(share)).collect()}
     texts = rows.where(F.col("doc_id").isin([i for i, _ in chosen]))  # whole texts of so many rows
     found = [r for r in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect() if (r.doc_id, r.lang) in chosen]
     if not found:
