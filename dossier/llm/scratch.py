@@ -10,9 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of the written tables that may be removed, by the id of their DataFrame.
-_paths: dict[int, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Where it is unset: a temporary one of our own, on a local master only."""
@@ -33,7 +30,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/dossier/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
-    _paths[id(found)] = path
+    found.written_path = path
     return found
 
 
@@ -51,7 +48,7 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
 def removed(*tables: DataFrame) -> None:
     """Delete tables that written() gave, once everything made of them has been written itself."""
     for df in tables:
-        path = _paths.pop(id(df), None)
+        path = vars(df).pop("written_path", None)
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
