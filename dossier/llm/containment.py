@@ -3,8 +3,9 @@
 Items are classed by the number of their shingles: class L holds sizes in (L/2, L]. A document is read in windows of
 2 L shingles that start every L, so that any run of L shingles lies in one window. A window meets an item where one
 of the HASHES least values is the same. With containment 0.75 the Jaccard similarity of window and item is
-0.75 q / (q + 2 L - 0.75 q), at least 0.176, so that 64 hashes miss with a chance under 5e-6. A window of one class
-is two of the class below, so its least values come from those. Every pair that meets is decided by the exact share of the item's shingles that the document holds.
+0.75 q / (q + 2 L - 0.75 q), at least 0.176, so that 64 hashes miss with a chance under 5e-6. A run of one class
+is two of the class below, so its least values come from those. Items of one or two shingles must be held whole, so one
+of their shingles is looked up among all of a document's. Every pair that meets is decided by the exact share of the item's shingles that the document holds.
 
 An item of fewer than WORDS words is one run of that many words, looked up among all runs of as many words of a document.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from dossier.llm import kernels as K
 
 WORDS, PERCENT = 5, 75
-HASHES = 64
+HASHES, LEAST = 64, 4
 MULTIPLIERS = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=K.U) * K.U(2) + K.U(1)
 FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
@@ -32,6 +33,13 @@ def shingle_table(texts: list[str], breaks: np.ndarray = K.IS_SPACE) -> list[np.
     return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """By lowest bits: does any key end so? Most values are told to be no key by it."""
+    out = np.zeros(1 << max(12, (4 * len(keys)).bit_length()), bool)
+    out[keys & K.U(len(out) - 1)] = True
+    return out
+
+
 class WindowIndex:
     """A bounded set of items, ready to be met by windows of documents."""
 
@@ -49,49 +57,64 @@ class WindowIndex:
             self.short[n] = (runs[run_at[own]][order], [ids[i] for i in own[order]])
         kept = [i for i, s in enumerate(sets) if len(s) and counts[i] >= WORDS]
         self.ids, self.sets = [ids[i] for i in kept], [sets[i] for i in kept]
-        self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = [1 << (len(s) - 1).bit_length() for s in self.sets]
-        for length in sorted(set(sizes)):
+        tiny = sorted((int(s[0]), i) for i, s in enumerate(self.sets) if len(s) < 3)
+        keys = np.array([x for x, _ in tiny], K.U)
+        self.tiny = keys, np.array([i for _, i in tiny], np.int64), _sieve(keys)
+        for length in sorted({n for n in sizes if n >= LEAST}):
             own = np.array([i for i, n in enumerate(sizes) if n == length])
             least = np.stack([[(self.sets[i] * m).min() for i in own] for m in MULTIPLIERS])
             order = np.argsort(least, axis=1, kind="stable")
-            self.classes[length] = (np.take_along_axis(least, order, 1), own[order])
+            least = np.take_along_axis(least, order, 1)
+            self.classes[length] = (least, own[order], np.stack([_sieve(row) for row in least]))
 
     def meets(self, shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (text, item) that share a least value in a window; shingles in the order of the text."""
-        if not self.classes or not len(shingles):
+        found: set[tuple[int, int]] = set()
+        if not len(shingles):
             return np.zeros((0, 2), np.int64)
-        levels = []  # of each class up to the largest: the text of each run, its last runs, and where it starts among the runs of the class below
-        sizes = np.diff(at)
-        length, starts = 1, None
-        while length <= max(self.classes):
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            last = np.ones(len(text), bool)
-            last[:-1] = text[1:] != text[:-1]
-            levels.append((length, text, last, starts))
-            first = np.cumsum(sizes) - sizes
-            sizes = (sizes + 1) // 2
-            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            starts = np.repeat(first, sizes) + 2 * inner
-            length *= 2
-        found = set()
+        self._look_up(shingles, *self.tiny, np.repeat(np.arange(len(at) - 1), np.diff(at)), found)
+        levels, length, sizes = [], min(self.classes, default=0), np.diff(at)
+        while self.classes and length <= max(self.classes):
+            runs = -(-sizes // length)
+            text = np.repeat(np.arange(len(runs)), runs)
+            first = np.cumsum(runs) - runs
+            last = np.zeros(len(text), bool)
+            last[(first + runs - 1)[runs > 0]] = True
+            inner = np.arange(len(text)) - first[text]
+            if not levels:  # where a run starts among the shingles
+                parts = at[:-1][text] + inner * length
+            else:  # the two runs of the class below, or the one that is left
+                below = levels[-1][2]
+                left = before[text] + 2 * inner
+                parts = left, np.where(below[left], left, np.minimum(left + 1, len(below) - 1))
+            levels.append((length, text, last, parts))
+            before, length = first, 2 * length
         for k in range(HASHES):
             low = shingles * MULTIPLIERS[k]
-            for length, text, last, starts in levels:
-                low = low if starts is None else np.minimum.reduceat(low, starts)
-                if length not in self.classes:
-                    continue
-                least, item = self.classes[length]
-                window = low.copy()
-                window[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
-                place = np.searchsorted(least[k], window)
-                for i in np.flatnonzero(least[k][np.minimum(place, len(least[k]) - 1)] == window).tolist():
-                    p = place[i]
-                    while p < len(least[k]) and least[k][p] == window[i]:
-                        found.add((int(text[i]), int(item[k][p])))
-                        p += 1
+            for i, (length, text, last, parts) in enumerate(levels):
+                low = np.minimum(low[parts[0]], low[parts[1]]) if i else np.minimum.reduceat(low, parts)
+                if length in self.classes:
+                    window = low.copy()
+                    window[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
+                    least, item, sieves = self.classes[length]
+                    self._look_up(window, least[k], item[k], sieves[k], text, found)
         return np.array(sorted(found), np.int64).reshape(-1, 2)
 
+    @staticmethod
+    def _look_up(values: np.ndarray, keys: np.ndarray, items: np.ndarray, sieve: np.ndarray, text: np.ndarray, found: set[tuple[int, int]]) -> None:
+        """Adds (text, item) of every value that is among the sorted keys."""
+        some = np.flatnonzero(sieve[values & K.U(len(sieve) - 1)])
+        if not len(some):
+            return
+        place = np.searchsorted(keys, values[some])
+        hit = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == values[some])
+        for i, p in zip(some[hit].tolist(), place[hit].tolist(), strict=True):
+            while p < len(keys) and keys[p] == values[i]:
+                found.add((int(text[i]), int(items[p])))
+                p += 1
+
     def _holds_short(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         """Distinct (text, words, place of the item in its class) of short items that the texts hold as a run."""
         found = set()
