@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from dossier.llm.decontamination import contaminated
 from dossier.llm.language_id import language_id
+from dossier.llm.lexical_search import lexical_search
 from dossier.llm.license_scan import TEMPLATES, license_scan
 from dossier.llm.near_dedup import near_dedup
 from dossier.llm.packing import packing
 from dossier.llm import quality_rules as rules
 from dossier.llm.quality_rules import quality_rules
 from dossier.llm.secret_scan import digest, secret_scan
+from dossier.llm.spelling import spelling
 from dossier.llm.suffix_dedup import suffix_dedup
 from dossier.llm.toxicity import toxicity
 from dossier.llm.url_filters import url_filters
@@ -66,6 +68,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling": op13_spelling,
 }
 
 
@@ -161,4 +173,25 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_
 sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, spans + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE b[k] END) + 1, 2 * ((CASE WHEN k = spans THEN len(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE b[k] END)))), '') END)) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op10_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+LEXICAL_SEARCH_SQL = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS x FROM documents), i AS (SELECT item_id, unnest({_TOKENS}) AS t FROM benchmark),
+c AS (SELECT count(*) AS n_docs, sum(len(x))::BIGINT AS total FROM d WHERE len(x) > 0),
+p AS (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(x) AS n, unnest(x) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))))::BIGINT AS score FROM i JOIN p USING (t) JOIN w USING (t), c GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+#: CRC-32 byte by byte with the polynomial's table; near words meet in a word less one letter, kept with its place.
+SPELLING_SQL = """WITH RECURSIVE crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{5,}')) AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM k, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+e AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON v.word = g.rest UNION SELECT v.word, g.word, g.n FROM g JOIN v ON v.word = g.rest),
+b AS (SELECT word, count(*) AS n_near, min(struct_pack(k := -other_n, w := other)) AS best FROM e GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 2 * n THEN best.w END AS form, CASE WHEN -best.k >= 2 * n THEN -best.k END AS form_n FROM v LEFT JOIN b USING (word)),
+chain(word, root, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(root, steps) AS root FROM chain GROUP BY word) USING (word)"""
+
+ORACLE_SQL: dict[str, str] = {"op12_lexical_search": LEXICAL_SEARCH_SQL, "op13_spelling": SPELLING_SQL, "op10_suffix_dedup": SUFFIX_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_DEDUP_SQL, "op4_license_scan": LICENSE_SQL, "op8_decontamination": DECONTAMINATION_SQL}
