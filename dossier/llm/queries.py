@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.decontamination import contaminated
+from dossier.llm.graph_search import graph_search
 from dossier.llm.language_id import language_id
 from dossier.llm.lexical_search import lexical_search
 from dossier.llm.license_scan import TEMPLATES, license_scan
@@ -68,6 +69,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph_search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_graph_search": op11_graph_search,
     "op12_lexical_search": op12_lexical_search,
     "op13_spelling": op13_spelling,
 }
