@@ -1,6 +1,7 @@
 """A bidirectional gated recurrent network in numpy: forward pass, backpropagation through time, Adam.
 
-Arrays are (time, feature, batch), so that gates are contiguous blocks. A masked position resets the state.
+Arrays are (time, feature, batch), so that gates are contiguous blocks. A masked position resets the state. Numbers are of
+the parameters' kind: fits in doubles repeat on other machines, where sums of 32 bits soon lead elsewhere.
 """
 
 from __future__ import annotations
@@ -22,20 +23,21 @@ def run(inputs: Callable[[int], np.ndarray], mask: np.ndarray, u: np.ndarray, b:
     """States (time, hidden, batch). inputs(t): the input's part of the three gates. keep: gets what backward() needs."""
     steps, batch = mask.shape
     hidden = u.shape[1]
-    half = np.ones((3 * hidden, 1), F4)
+    kind = u.dtype
+    half = np.ones((3 * hidden, 1), kind)
     half[: 2 * hidden] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
     uh, bh = u * half, b * half
-    out = np.empty((steps, hidden, batch), F4)
-    h = np.zeros((hidden, batch), F4)
+    out = np.empty((steps, hidden, batch), kind)
+    h = np.zeros((hidden, batch), kind)
     for t in range(steps - 1, -1, -1) if backwards else range(steps):
         x = inputs(t)
         g = uh @ h
         g += bh
-        zr = x[: 2 * hidden] * F4(0.5)
+        zr = x[: 2 * hidden] * kind.type(0.5)
         zr += g[: 2 * hidden]
         np.tanh(zr, out=zr)
-        zr *= F4(0.5)
-        zr += F4(0.5)
+        zr *= kind.type(0.5)
+        zr += kind.type(0.5)
         z, r = zr[:hidden], zr[hidden:]
         n = r * g[2 * hidden :]
         n += x[2 * hidden :]
@@ -53,9 +55,9 @@ def run(inputs: Callable[[int], np.ndarray], mask: np.ndarray, u: np.ndarray, b:
 def backward(d_out: np.ndarray, kept: list, mask: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradients of the gate inputs (time, 3 hidden, batch), of u and of b, from those of the states."""
     hidden = u.shape[1]
-    d_in = np.zeros((len(mask), 3 * hidden, mask.shape[1]), F4)
-    d_u, d_b = np.zeros_like(u), np.zeros((3 * hidden, 1), F4)
-    d_h = np.zeros((hidden, mask.shape[1]), F4)
+    d_in = np.zeros((len(mask), 3 * hidden, mask.shape[1]), u.dtype)
+    d_u, d_b = np.zeros_like(u), np.zeros((3 * hidden, 1), u.dtype)
+    d_h = np.zeros((hidden, mask.shape[1]), u.dtype)
     for t, h, z, r, n, g_n in reversed(kept):
         d = (d_h + d_out[t]) * mask[t]
         d_n = d * (1 - z) * (1 - n * n)
@@ -84,12 +86,12 @@ class Adam:
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.999**self.t)
-            self.params[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(F4)
+            self.params[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(self.params[k].dtype)
 
 
 def scatter_rows(shape: tuple[int, int], ids: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of ``values`` (rows) by id into a table."""
-    out = np.zeros(shape, F4)
+    out = np.zeros(shape, values.dtype)
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))

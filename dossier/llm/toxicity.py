@@ -27,6 +27,10 @@ TRAIN_DOCS, STEPS, STEP, TOXIC_A_STEP, RATE, SEED = 1_200, 240, 48, 12, 0.01, 5
 SKETCH = 16
 #: Documents that hold a word of the vocabulary at least; its words at most, the most widespread; share of embeddings zeroed in training; decay of the embeddings a step.
 LEAST_DOCS, MOST_WORDS, DROPPED, DECAY = 3, 1 << 16, 0.3, 0.002
+#: Share of the steps, the last ones, whose mean the parameters are.
+SETTLED = 0.25
+#: Parameters are multiples of this in training: what another order of sums changes is far less, and so is lost at each step.
+GRID = 2.0**-18
 SCORED = "doc_id long, score double"
 
 
@@ -48,7 +52,7 @@ class Words:
         left = np.where(inner > 0, value[buf[np.maximum(at_byte - 1, 0)]], K.U(1)) if len(at_byte) else here
         right = np.where(inner < np.repeat(n, n) - 1, value[buf[np.minimum(at_byte + 1, len(buf) - 1)]], K.U(2)) if len(at_byte) else here
         self.triple = (K.mix(left * K.U(3) + here * K.U(K.BASE) + right * K.U(K.SHINGLE)) % K.U(TRIPLE_ROWS)).astype(np.int64)
-        self.head, self.share = np.cumsum(n) - n, (1 / np.maximum(n, 1)).astype(gru.F4)
+        self.head, self.share = np.cumsum(n) - n, 1 / np.maximum(n, 1)
         #: In training: which words' two embeddings are seen.
         self.seen: np.ndarray | None = None
         counts = np.diff(at)
@@ -58,10 +62,10 @@ class Words:
         self.start = at[:-1][self.text] + k * STRIDE
         self.size = np.minimum(at[1:][self.text] - self.start, WINDOW)
 
-    def grid(self, rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    def grid(self, rows: np.ndarray | slice, kind: np.dtype = np.dtype(float)) -> tuple[np.ndarray, np.ndarray]:
         """Distinct word of every step (time, window), and the mask of steps that exist."""
         t = np.arange(WINDOW)[:, None]
-        return self.word[np.minimum(self.start[rows] + t, len(self.word) - 1)], (t < self.size[rows]).astype(gru.F4)
+        return self.word[np.minimum(self.start[rows] + t, len(self.word) - 1)], (t < self.size[rows]).astype(kind)
 
 
 def copies(held: list[np.ndarray]) -> np.ndarray:
@@ -82,7 +86,7 @@ class ToxicityModel:
     def __init__(self, vocabulary: np.ndarray | None = None, marks: np.ndarray | None = None, seed: int = SEED):
         """vocabulary: sorted word hashes; marks: the first number of their rows."""
         rng = np.random.default_rng(seed)
-        small = lambda *shape, size=0.3: (rng.standard_normal(shape) * size).astype(gru.F4)
+        small = lambda *shape, size=0.3: rng.standard_normal(shape) * size
         self.vocabulary = np.zeros(0, K.U) if vocabulary is None else vocabulary
         # embeddings start near 0: words that training never met then say little
         self.p: gru.Params = {"word": small(len(self.vocabulary) + 1, WORD_DIM, size=0.02), "triple": small(TRIPLE_ROWS, TRIPLE_DIM, size=0.05)}
@@ -91,13 +95,18 @@ class ToxicityModel:
             self.p["word"][1:, 0] = marks
         for d in "fb":
             self.p[f"w{d}"] = small(3 * HIDDEN, WORD_DIM + TRIPLE_DIM)
-            self.p[f"u{d}"], self.p[f"c{d}"] = gru.gates(rng, HIDDEN)
-        self.p |= {"att": small(HIDDEN, 2 * HIDDEN), "v": small(1, HIDDEN), "o": small(1, 2 * HIDDEN), "bias": np.full((1, 1), -1.0, gru.F4)}
+            self.p[f"u{d}"], self.p[f"c{d}"] = (a.astype(float) for a in gru.gates(rng, HIDDEN))
+        self.p |= {"att": small(HIDDEN, 2 * HIDDEN), "v": small(1, HIDDEN), "o": small(1, 2 * HIDDEN), "bias": np.full((1, 1), -1.0)}
+
+    @property
+    def kind(self) -> np.dtype:
+        """Doubles in training, 32 bits in use."""
+        return self.p["o"].dtype
 
     def features(self, words: Words) -> np.ndarray:
         """(word, feature)"""
-        sums = np.add.reduceat(self.p["triple"][words.triple], words.head, axis=0) if len(words.head) else np.zeros((0, TRIPLE_DIM), gru.F4)
-        x = np.concatenate([self.p["word"][words.row], sums * words.share[:, None]], axis=1)
+        sums = np.add.reduceat(self.p["triple"][words.triple], words.head, axis=0) if len(words.head) else np.zeros((0, TRIPLE_DIM), self.kind)
+        x = np.concatenate([self.p["word"][words.row], sums * words.share[:, None].astype(self.kind)], axis=1)
         return x if words.seen is None else x * np.repeat(words.seen, (WORD_DIM, TRIPLE_DIM), axis=1)
 
     def logits(self, inputs: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -122,8 +131,11 @@ class ToxicityModel:
         return {d: np.ascontiguousarray(self.p[f"w{d}"] @ x) for d in "fb"}
 
     @classmethod
-    def trained(cls, texts: list[str], labels: np.ndarray, steps: int = STEPS) -> ToxicityModel:
-        """Vocabulary and marks of the whole texts, then logistic loss of each document's highest window; the labels weigh alike."""
+    def trained(cls, texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> ToxicityModel:
+        """Vocabulary and marks of the whole texts, then logistic loss of each document's highest window; the labels weigh alike.
+
+        Fitted in doubles, so that other machines and numbers of threads give the same model, and then used in 32 bits.
+        """
         held = [np.unique(K.words(*K.utf8(pa.array([t], pa.string())), breaks=K.IS_BREAK)[2]) for t in texts]
         weight = 1 / copies(held)
         flat, by = np.concatenate(held), np.repeat(weight, [len(h) for h in held])
@@ -136,13 +148,15 @@ class ToxicityModel:
         n_1, n_0 = weight[labels == 1].sum(), weight[labels == 0].sum()
         share = (n + 1) / (n_1 + n_0 + 2)
         errors = (n_toxic / n_1 - (n - n_toxic) / n_0) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
-        model = cls(words, (np.sign(errors) * np.tanh(np.maximum(np.abs(errors) - 2, 0) / 4)).astype(gru.F4))
-        model.fit(texts, labels, weight, steps)
+        model = cls(words, (np.sign(errors) * np.round(np.tanh(np.maximum(np.abs(errors) - 2, 0) / 4) / GRID) * GRID), seed)
+        model.fit(texts, labels, weight, steps, seed)
+        model.p = {k: v.astype(gru.F4) for k, v in model.p.items()}
         return model
 
-    def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int) -> None:
-        """Steps of STEP documents, TOXIC_A_STEP of them toxic, drawn by weight."""
-        rng, adam = np.random.default_rng(SEED), gru.Adam(self.p, RATE)
+    def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int, seed: int = SEED) -> None:
+        """Steps of STEP documents, TOXIC_A_STEP of them toxic, drawn by weight; the mean of the last SETTLED of the steps stays."""
+        rng, adam = np.random.default_rng(seed), gru.Adam(self.p, RATE)
+        mean, n_mean = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         chance = [np.where(labels == y, weight, 0) / weight[labels == y].sum() for y in (0, 1)]
         for step in range(steps):
             adam.rate = RATE * (1 - step / steps)
@@ -151,28 +165,37 @@ class ToxicityModel:
             words = Words(buf, offsets, self.vocabulary)
             if not len(words.text):
                 continue
-            words.seen = (rng.random((len(words.row), 2)) >= DROPPED).astype(gru.F4)
+            words.seen = (rng.random((len(words.row), 2)) >= DROPPED).astype(self.kind)
             inputs = self.inputs(words)
-            scores = np.concatenate([self.logits(inputs, *words.grid(slice(i, i + BATCH))) for i in range(0, len(words.text), BATCH)])
+            scores = np.concatenate([self.logits(inputs, *words.grid(slice(i, i + BATCH), self.kind)) for i in range(0, len(words.text), BATCH)])
             order = np.lexsort((-scores, words.text))
             best = order[np.concatenate([[True], words.text[order][1:] != words.text[order][:-1]])]
             y = labels[docs][words.text[best]]
             self.descend(adam, self.gradients(words, inputs, best, y))
+            if step >= steps * (1 - SETTLED):
+                n_mean += 1
+                for k, v in self.p.items():
+                    mean[k] += v
+        if n_mean:
+            self.p |= {k: v / n_mean for k, v in mean.items()}
 
     def descend(self, adam: gru.Adam, g: gru.Params) -> None:
         g["word"][:, 0] = 0
         marks = self.p["word"][:, 0].copy()
         adam.step(g)
-        self.p["word"] *= gru.F4(1 - DECAY)
-        self.p["triple"] *= gru.F4(1 - DECAY)
+        self.p["word"] *= self.kind.type(1 - DECAY)
+        self.p["triple"] *= self.kind.type(1 - DECAY)
         self.p["word"][:, 0] = marks
+        for v in self.p.values():
+            np.round(v / GRID, out=v)
+            v *= GRID
 
     def gradients(self, words: Words, inputs: dict, rows: np.ndarray, y: np.ndarray) -> gru.Params:
         """Of the mean logistic loss of the windows ``rows`` with labels y."""
-        ids, mask = words.grid(rows)
+        ids, mask = words.grid(rows, self.kind)
         kept: dict = {}
         score = self.logits(inputs, ids, mask, kept)
-        d = ((1 / (1 + np.exp(-score)) - y) / len(rows)).astype(gru.F4)[None]
+        d = ((1 / (1 + np.exp(-score)) - y) / len(rows)).astype(self.kind)[None]
         h, a, e = kept["h"], kept["a"], kept["e"]
         g = {"o": d @ kept["pooled"].T, "bias": d.sum(keepdims=True)}
         d_pooled = self.p["o"].T @ d
@@ -182,7 +205,7 @@ class ToxicityModel:
         g["v"] = np.einsum("thb,tb->h", a, d_e)[None]
         g["att"] = np.einsum("tab,thb->ah", d_a, h)
         d_h = e[:, None] * d_pooled[None] + self.p["att"].T @ d_a
-        d_x = np.zeros((len(words.row), WORD_DIM + TRIPLE_DIM), gru.F4)
+        d_x = np.zeros((len(words.row), WORD_DIM + TRIPLE_DIM), self.kind)
         x = self.features(words)
         for k, way in enumerate("fb"):
             d_in, g[f"u{way}"], g[f"c{way}"] = gru.backward(d_h[:, k * HIDDEN : (k + 1) * HIDDEN], kept[way], mask, self.p[f"u{way}"])
@@ -203,13 +226,17 @@ class ToxicityModel:
             inputs = self.inputs(words)
             for i in range(0, len(words.text), BATCH):
                 part = slice(i, i + BATCH)
-                np.maximum.at(best, words.text[part], self.logits(inputs, *words.grid(part)))
+                np.maximum.at(best, words.text[part], self.logits(inputs, *words.grid(part, self.kind)))
         return 1 / (1 + np.exp(-np.where(np.isfinite(best), best, np.minimum(float(self.p["bias"][0, 0]), -1.0))))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> ToxicityModel | None:
-    """A model of ``labels`` (doc_id, toxic), without those held out; None unless both labels have a text."""
+    """A model of ``labels`` (doc_id, toxic), without those held out; None unless both labels have a text.
+
+    Ids that are labelled both ways teach nothing; every text of an id that repeats has its label.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & (bucket("doc_id", 5) != 0))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
     chosen = [sampled(known.where(F.col("toxic") == y), most) for y in (1, 0)]
     marks = {r.doc_id: r.toxic for part in chosen for r in part.collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isin(list(marks)))

@@ -358,6 +358,30 @@ def test_language_id_knows_rare_languages(spark):
     assert sum(got[i].lang_pred == lang for i, _, lang in texts) > 0.98 * len(texts)
 
 
+def test_toxicity_fit_repeats_whatever_the_order_of_sums(monkeypatch):
+    """Noise of the size that other kernels and threads make leaves the model as it is."""
+    from dossier.llm.toxicity import ToxicityModel
+
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words, 40)) + (" vile nasty" if i % 4 == 0 else "") for i in range(80)]
+    labels = np.array([int(i % 4 == 0) for i in range(80)])
+    one = ToxicityModel.trained(texts, labels, steps=60)
+    plain, noise = ToxicityModel.gradients, np.random.default_rng(0)
+    monkeypatch.setattr(ToxicityModel, "gradients", lambda *a: {k: v * (1 + 1e-15 * noise.standard_normal(v.shape)) for k, v in plain(*a).items()})
+    two = ToxicityModel.trained(texts, labels, steps=60)
+    assert max(float(np.abs(v - two.p[k]).max()) for k, v in one.p.items()) < 1e-6
+
+
+def test_toxicity_leaves_out_ids_labelled_both_ways(spark):
+    from dossier.llm.toxicity import toxicity_model
+
+    docs = spark.createDataFrame([(i, f"vile text {i}" if i % 2 else f"kind text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(i, 1) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity_model(docs, labels) is None
+    assert toxicity_model(docs, labels.where("toxic = doc_id % 2")) is not None
+
+
 def test_toxicity(spark, docs, empty, rows):
     made = [(i, prose("en", 40) + (" you vile rotten fool " if i % 2 else " ") + prose("en", 40), i % 2) for i in range(1000, 1300)]
     texts = spark.createDataFrame([(i, t) for i, t, _ in made] + [(1, None), (2, ""), (3, "...")], "doc_id long, text string")
