@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import identity
+from dossier.functions.shared import shared_dir
 from dossier.functions.text import script
 from dossier.jobs import refresh
 from dossier.operators import admission, blocks, chunks, citation, classify, dense, embed, evidence, fusion, html, jurisdiction, lexical, observe, prompts, records, reports, respond, review, safety
+from dossier.sources import vector_store
 from dossier.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +151,85 @@ def metric_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.regressions(means(10), means(5)).withColumns({"candidate_value": F.round("candidate_value", 9), "active_value": F.round("active_value", 9)})
 
 
+# ---- the vector index on disk
+
+
+def _stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = F.sha2(F.col("vec_id").cast("string"), 256).alias("content_hash")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), hashed, F.col("embedding").alias("vector"), "label")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> vector_store.VectorIndex:
+    path = shared_dir(spark)
+    vector_store.build(_stored_vectors(spark, sf_dir), path, "table", 64, shard=300)
+    return vector_store.load(spark, path, "table", 64)
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {NEAREST} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, verified, loaded, and searched in all cells."""
+    found = _indexed(spark, sf_dir).search(_vector_queries(spark, sf_dir), 10, model="table")
+    return found.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT vec_id AS query_id, true AS enough FROM embeddings WHERE vec_id = 0 UNION ALL SELECT NULL, true")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the cells against all: is the own vector of query 0 found first, and are 9 in 10 of the ten nearest?"""
+    store = _indexed(spark, sf_dir)
+    asked = _vector_queries(spark, sf_dir)
+    all_cells, some = (store.search(asked, 10, probes) for probes in (None, store.meta["n_cells"] * 2 // 3))
+    hits = all_cells.join(some.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    share = hits.agg(F.lit(None).cast("long").alias("query_id"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    return some.where("query_id = 0 AND rank = 1").select("query_id", (F.col("chunk_id") == 0).alias("enough")).unionByName(share)
+
+
+@query("SELECT sha256('dense-index-v1|table|64|True|dense-index-config:v1.0.0:type=CELLS|' || string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) || '|' || string_agg(sha256(vec_id::VARCHAR), ',' ORDER BY vec_id)) AS signature, count(*) AS n_vectors, least(floor(sqrt(count(*))), 4096)::INTEGER AS n_cells, 1 AS n_shards FROM embeddings")
+def vector_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meta row of an index of one shard."""
+    path = shared_dir(spark)
+    vector_store.build(_stored_vectors(spark, sf_dir), path, "table", 64)
+    return spark.read.parquet(f"{path}/meta").select("signature", "n_vectors", "n_cells", "n_shards")
+
+
+@query(
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 7) AS lost, count(*) FILTER (vec_id % 250 = 3) AS bad FROM embeddings)
+SELECT 'lost' AS damage, 'COUNT_MISMATCH' AS problem, (n - lost) || ' vectors, ' || n || ' in meta' AS detail FROM c
+UNION ALL SELECT 'lost', 'SIGNATURE_MISMATCH', 'the chunks no longer give the signature in meta' UNION ALL SELECT 'lost', 'SHARD_MISMATCH', 'shard 0'
+UNION ALL SELECT 'changed', 'SIGNATURE_MISMATCH', 'the chunks no longer give the signature in meta' UNION ALL SELECT 'changed', 'SHARD_MISMATCH', 'shard 0'
+UNION ALL SELECT 'cut', 'DIMENSION_MISMATCH', bad || ' vectors are not of 64 numbers' FROM c
+UNION ALL SELECT 'undefined', 'NON_FINITE', bad || ' vectors hold a null, infinite or undefined number' FROM c
+UNION ALL SELECT 'twice', 'DUPLICATE_ID', bad || ' ids come more than once' FROM c UNION ALL SELECT 'twice', 'COUNT_MISMATCH', (n + bad) || ' vectors, ' || n || ' in meta' FROM c
+UNION ALL SELECT 'twice', 'SIGNATURE_MISMATCH', 'the chunks no longer give the signature in meta' UNION ALL SELECT 'twice', 'SHARD_MISMATCH', 'shard 0'
+UNION ALL SELECT 'unfinished', 'META_MISSING', 'the folder has no meta, or its build didn''t end'"""
+)
+def vector_index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the table, sound and damaged in six ways."""
+    sound = shared_dir(spark)
+    vector_store.build(_stored_vectors(spark, sf_dir), sound, "table", 64)
+    bad = F.col("chunk_id") % 250 == 3
+    changes = {
+        "none": lambda d: d,
+        "lost": lambda d: d.where("chunk_id % 100 <> 7"),
+        "changed": lambda d: d.withColumn("content_hash", F.when(bad, "0").otherwise(F.col("content_hash"))),
+        "cut": lambda d: d.withColumn("vector", F.when(bad, F.slice("vector", 1, 63)).otherwise(F.col("vector"))),
+        "undefined": lambda d: d.withColumn("vector", F.when(bad, F.transform("vector", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("vector"))),
+        "twice": lambda d: d.unionByName(d.where(bad)),
+        "unfinished": lambda d: d,
+    }
+    found = []
+    for name, change in changes.items():
+        path = shared_dir(spark)
+        for part in ("vectors", "cells", "shards", *(() if name == "unfinished" else ("meta",))):
+            df = spark.read.parquet(f"{sound}/{part}")
+            (change(df) if part == "vectors" else df).write.parquet(f"{path}/{part}")
+        found.append(vector_store.faults(spark, path, "table", 64).select(F.lit(name).alias("damage"), "problem", "detail"))
+    return reduce(DataFrame.unionByName, found)
+
+
 # ---- admission, identity, structure
 
 PROVENANCE = """p AS (SELECT doc_id, text, 'SF-0' || (1 + doc_id % 9) AS source_family_id,
