@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from dossier.jobs.queries import ORACLE_SQL, QUERIES
+from dossier.jobs.record_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
