@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.jobs.queries import BM25_INPUT, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _items, _signals, query, table
-from dossier.operators import evidence, jurisdiction, lexical
+from dossier.functions.shared import Files, shared_dir, written
+from dossier.jobs import refresh
+from dossier.jobs.queries import BM25_INPUT, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _candidates, _items, _signals, query, table
+from dossier.operators import admission, evidence, jurisdiction, lexical
 from dossier.operators import strict_json as lines
+from dossier.sources import releases, snapshots
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -121,3 +124,58 @@ def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     read = lines.from_lines(out.withColumn("json", changed), "component_report")
     return read.select("component", "problem", F.element_at("record.results", 1)["value"].alias("value"), F.col("record.report_id").alias("report_id"))
+
+
+# ---- release
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as questions; relevant is what the best document of each held, by BM25 over whole documents."""
+    asked = _benchmark(spark, sf_dir)
+    best = lexical.bm25_topk(asked, table(spark, sf_dir, "documents"), 1)
+    return asked, best.select("query_id", F.col("doc_id").cast("string").alias("document_id"))
+
+
+@query(
+    f"""WITH {BM25_INPUT}, {_bm25_sql('a', 1.5, 0.75, 1)}, best AS (SELECT DISTINCT doc_id FROM a), n AS (SELECT count(*) AS n, count(*) FILTER (doc_id IN (FROM best)) AS n_best FROM documents WHERE length(trim(text)) > 0)
+SELECT * FROM (SELECT unnest([
+ {{'step': 'first', 'status': 'RELEASED', 'reason': NULL, 'stages': 5, 'n_candidates': n, 'active': 'first'}},
+ {{'step': 'invalid', 'status': 'REJECTED', 'reason': 'VALIDATION_FAILED', 'stages': 1, 'n_candidates': n + 1, 'active': 'first'}},
+ {{'step': 'worse', 'status': 'REJECTED', 'reason': 'EVALUATION_FAILED', 'stages': 3, 'n_candidates': n - n_best, 'active': 'first'}},
+ {{'step': 'dry', 'status': 'DRY_RUN_COMPLETE', 'reason': NULL, 'stages': 3, 'n_candidates': n, 'active': 'first'}},
+ {{'step': 'damaged', 'status': 'REJECTED', 'reason': 'BACKUP_FAILED', 'stages': 4, 'n_candidates': n + 1, 'active': 'first'}},
+ {{'step': 'second', 'status': 'RELEASED', 'reason': NULL, 'stages': 5, 'n_candidates': n + 1, 'active': 'second'}},
+ {{'step': 'rollback', 'status': 'RELEASED', 'reason': NULL, 'stages': 0, 'n_candidates': n, 'active': 'first'}}], recursive := true) FROM n)"""
+)
+def corpus_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release workspace over all documents: a first release, candidates that fail in three stages, a second one, a rollback."""
+    root, registry = shared_dir(spark), admission.families(spark)
+    docs = written(_candidates(spark, sf_dir), f"{shared_dir(spark)}/candidates")
+    asked, relevant = (written(x, f"{shared_dir(spark)}/judged") for x in _judged(spark, sf_dir))
+    extra = docs.orderBy("document_id").limit(1).withColumns({"document_id": F.lit("added"), "text": F.lit("0")})
+    more, names, rows = docs.unionByName(extra), {}, []
+
+    def step(name: str, candidates: DataFrame, **settings: bool) -> refresh.Refresh:
+        done = refresh.run(spark, candidates, registry, asked, relevant, root=root, lock_version="1", **settings)
+        if done.status == "RELEASED":
+            names[done.snapshot_id] = name
+        rows.append((name, done.status, done.reason, len(done.stages), done.stages[0][2], names.get(releases.read(spark, root).active_snapshot_id)))
+        return done
+
+    first = step("first", docs)
+    step("invalid", docs.unionByName(docs.orderBy("document_id").limit(1)))
+    step("worse", docs.join(relevant.select("document_id").distinct(), "document_id", "left_anti"))
+    step("dry", docs, dry_run=True)
+    # a folder of the second release's name that holds only half of it
+    other = shared_dir(spark)
+    chunks = written(refresh.indexed(more), f"{other}/chunks")
+    second = snapshots.create(more.select("document_id", "text"), f"{other}/whole", "document_id", chunks)
+    for part in ("documents", "chunks", "manifest"):
+        held = spark.read.parquet(f"{other}/whole/{part}")
+        (held.where("document_id <> 'added'") if part == "documents" else held).write.parquet(f"{root}/snapshots/{second}/{part}")
+    step("damaged", more)
+    Files(spark, root).delete(f"snapshots/{second}")
+    step("second", more)
+    back = releases.rollback(spark, root, first.snapshot_id, "1")
+    rows.append(("rollback", "RELEASED", None, 0, docs.count(), names[back.active_snapshot_id]))
+    return spark.createDataFrame(rows, "step string, status string, reason string, stages int, n_candidates long, active string")
