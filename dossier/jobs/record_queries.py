@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.shared import Files, shared_dir, written
-from dossier.jobs import refresh
+from dossier.jobs import corpus, refresh
 from dossier.jobs.queries import BM25_INPUT, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _candidates, _items, _signals, query, table
 from dossier.operators import admission, evidence, jurisdiction, lexical
 from dossier.operators import strict_json as lines
@@ -179,3 +179,51 @@ def corpus_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = releases.rollback(spark, root, first.snapshot_id, "1")
     rows.append(("rollback", "RELEASED", None, 0, docs.count(), names[back.active_snapshot_id]))
     return spark.createDataFrame(rows, "step string, status string, reason string, stages int, n_candidates long, active string")
+
+
+# ---- the pinned corpus
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A manifest and a raw file of every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    path = F.concat("document_id", F.lit(".txt"))
+    record = F.struct(
+        "document_id", F.lit("SF-01").alias("source_family_id"), F.lit("INDIA").alias("jurisdiction"), F.lit(False).alias("synthetic"), F.sha2("text", 256).alias("content_hash"), F.lit("ADMIT").alias("admission_status"), path.alias("path"),
+    )
+    manifests = docs.select(F.concat(F.lit("m/"), "document_id", F.lit(".json")).alias("manifest_path"), F.to_json(record).alias("json"), "doc_id")
+    return manifests, docs.select(path.alias("path"), F.lit(".txt").alias("extension"), F.col("text").cast("binary").alias("content"), "doc_id")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id::VARCHAR AS document_id, coalesce(text, '') AS t, doc_id % 12 AS k FROM documents)
+SELECT document_id, CASE WHEN length(t) = 0 OR k BETWEEN 6 AND 8 THEN 'INGESTION' WHEN k = 9 THEN 'CHUNKS' WHEN k = 10 THEN 'INDEX' ELSE 'MANIFEST' END AS layer,
+CASE WHEN k = 1 THEN 'MANIFEST_MISSING' WHEN k = 2 THEN 'MANIFEST_MALFORMED' WHEN k = 3 THEN 'MANIFEST_TWICE' WHEN k = 4 THEN 'NOT_PINNED' WHEN k = 5 THEN 'PIN_MISMATCH' WHEN k = 6 OR length(t) = 0 THEN 'FILE_NOT_FOUND' WHEN k = 7 THEN 'CONTENT_HASH_MISMATCH' WHEN k = 8 THEN 'INVALID_ADMISSION_STATE' WHEN k = 9 THEN 'CHUNK_COUNT_MISMATCH' ELSE 'SIGNATURE_MISMATCH' END AS problem
+FROM d WHERE length(trim(t)) > 0 AND k BETWEEN 1 AND 10
+UNION ALL SELECT document_id, 'MANIFEST', 'MANIFEST_TWICE' FROM d WHERE length(trim(t)) > 0 AND k = 3"""
+)
+def corpus_build_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinned corpus of all documents with text, of which ten in twelve are damaged in one way each."""
+    manifests, raw = (x.where("length(trim(json)) > 0") if "json" in x.columns else x.where("length(trim(CAST(content AS STRING))) > 0") for x in _manifests(spark, sf_dir))
+    manifests = manifests.join(raw.select("doc_id"), "doc_id", "left_semi")
+    registry, k = admission.families(spark), F.col("doc_id") % 12
+    pins = written(corpus.first_pins(manifests.drop("doc_id"), raw.drop("doc_id"), registry), f"{shared_dir(spark)}/pins")
+    json = F.when(k == 2, F.regexp_replace("json", '"synthetic":false', '"synthetic":0')).when(k == 8, F.regexp_replace("json", "ADMIT", "REJECT")).otherwise(F.col("json"))
+    bad_manifests = manifests.where(k != 1).withColumn("json", json)
+    bad_manifests = bad_manifests.unionByName(bad_manifests.where(k == 3))
+    bad_files = raw.where(k != 6).withColumn("content", F.when(k == 7, F.concat(F.col("content").cast("string"), F.lit(" ")).cast("binary")).otherwise(F.col("content")))
+    n = F.col("document_id").cast("long") % 12
+    bad_pins = pins.where(n != 4).withColumns({"jurisdiction": F.when(n == 5, "INTERNATIONAL").otherwise(F.col("jurisdiction")), "n_chunks": F.when(n == 9, F.col("n_chunks") + 1).otherwise(F.col("n_chunks")), "signature": F.when(n == 10, F.sha2("signature", 256)).otherwise(F.col("signature"))})
+    return corpus.build(bad_manifests.drop("doc_id"), bad_files.drop("doc_id"), bad_pins, registry).problems.select("document_id", "layer", "problem")
+
+
+@query("SELECT 'VALIDATED' AS status, count(*) AS n_documents, 0::BIGINT AS n_problems, 0::BIGINT AS n_without_provenance, 0::BIGINT AS n_over_budget FROM documents WHERE length(trim(coalesce(text, ''))) > 0")
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus, sound: its documents, and what was observed as its chunks were written."""
+    manifests, raw = _manifests(spark, sf_dir)
+    raw = raw.where("length(trim(CAST(content AS STRING))) > 0")
+    manifests, registry = manifests.join(raw.select("doc_id"), "doc_id", "left_semi").drop("doc_id"), admission.families(spark)
+    pins = written(corpus.first_pins(manifests, raw.drop("doc_id"), registry), f"{shared_dir(spark)}/pins")
+    found = corpus.build(manifests, raw.drop("doc_id"), pins, registry).sound()
+    one = found.chunks.agg(F.count_distinct("document_id").alias("n_documents")).withColumns({k: F.lit(found.counts[k]).cast("long") for k in ("n_without_provenance", "n_over_budget")})
+    return one.select(F.lit("VALIDATED").alias("status"), "n_documents", F.lit(found.problems.count()).alias("n_problems"), "n_without_provenance", "n_over_budget")
