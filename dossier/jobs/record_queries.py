@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.shared import Files, shared_dir, written
-from dossier.jobs import corpus, refresh
+from dossier.jobs import corpus, providers, refresh
 from dossier.jobs.queries import BM25_INPUT, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _candidates, _items, _signals, query, table
 from dossier.operators import admission, evidence, jurisdiction, lexical
 from dossier.operators import strict_json as lines
@@ -227,3 +230,36 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corpus.build(manifests, raw.drop("doc_id"), pins, registry).sound()
     one = found.chunks.agg(F.count_distinct("document_id").alias("n_documents")).withColumns({k: F.lit(found.counts[k]).cast("long") for k in ("n_without_provenance", "n_over_budget")})
     return one.select(F.lit("VALIDATED").alias("status"), "n_documents", F.lit(found.problems.count()).alias("n_problems"), "n_without_provenance", "n_over_budget")
+
+
+# ---- providers
+
+
+class Echo:
+    """A provider that can be foretold: the hash of its input, and no answer to inputs of some lengths unless ``whole``."""
+
+    output = "string"
+
+    def __init__(self, model: str, whole: bool):
+        self.name, self.model, self.whole = "echo", model, whole
+
+    def load(self) -> Callable[[Sequence[str]], Sequence[object]]:
+        def call(texts: Sequence[str]) -> list[object]:
+            return [providers.CallFailed("too busy") if not self.whole and len(t) % 7 == 3 else hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+        return call
+
+
+@query("SELECT doc_id AS id, 1 AS n_first, CASE WHEN length(text) % 7 = 3 THEN 2 ELSE 1 END AS n_asked, text IS NOT NULL AS success, sha256(text) AS output, CASE WHEN text IS NULL THEN 'NULL_INPUT' END AS failure_reason FROM documents")
+def provider_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents given to a provider: half of them first, then all, then those that failed; how often each was asked."""
+    path = shared_dir(spark)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("input"))
+    busy = Echo("one", False)
+    providers.answered(rows.where(F.col("input").contains("e")), busy, path, size=400)
+    providers.answered(rows, busy, path, size=400)  # asks for the rest alone
+    first = spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_first"))
+    first = written(first, f"{shared_dir(spark)}/first")
+    last = providers.answered(rows, Echo("one", True), path, again=True)
+    times = spark.read.parquet(path).where("failure_reason IS NULL OR failure_reason <> 'NULL_INPUT' OR turn = 1").groupBy("id").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n_asked"))
+    return last.join(first, "id").join(times, "id", "left").select("id", "n_first", F.coalesce("n_asked", F.lit(1)).alias("n_asked"), "success", "output", "failure_reason")
