@@ -26,6 +26,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LEAST_CANDIDATE, LEAST_TOTAL = 16, 12.0
 #: Documents whose words train the chain of identifiers; random strings of each style; seed.
 SAMPLE_DOCS, RANDOM_STRINGS, SEED = 400, 2_000, 23
+#: Share of identifiers that may be taken for secrets; letters of a word of the sample at most: longer ones are no names.
+FALSE_ALARMS, LONGEST_WORD = 0.001, 64
 # Alphabets of random strings.
 STYLES = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -60,49 +62,59 @@ def random_strings(style: str, n: int = RANDOM_STRINGS, seed: int = SEED) -> lis
 
 
 def ordinary_words(docs: DataFrame) -> list[str]:
-    """Distinct token-like words of a bounded sample of whole documents, without those that a pattern finds and those that mix letters and digits over a candidate's length."""
+    """Distinct token-like words of a bounded sample of whole documents.
+
+    Without those that a pattern finds, those over LONGEST_WORD, and those of a candidate's length that mix letters and
+    digits otherwise than names with numbers do: the sample isn't labelled, and may hold secrets.
+    """
     texts = sampled(docs.select("doc_id", "text"), SAMPLE_DOCS)
-    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({CANDIDATE.pattern})"), 1)).alias("word")).where("length(word) > 2").distinct()
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({CANDIDATE.pattern})"), 1)).alias("word")).where(F.length("word").between(3, LONGEST_WORD)).distinct()
     mixed = lambda w: len(w) >= LEAST_CANDIDATE and any(c.isdigit() for c in w) and any(c.isalpha() for c in w) and not re.fullmatch(r"(?:[A-Za-z]*[0-9]{0,6}[-_./=])*[A-Za-z]*[0-9]{0,6}", w)
     return sorted(w for w in (r.word for r in found.collect()) if not base_spans(w) and not mixed(w)) or ["value", "name", "document"]
 
 
 def identifiers(words: list[str], seed: int = SEED) -> list[str]:
-    """Labelled negatives: the words, their compounds in the usual spellings, numbered names, plain numbers and dates."""
+    """Labelled negatives: the words, their compounds in the usual spellings, names with numbers at their end and inside, plain numbers and dates."""
     rng = np.random.default_rng(seed)
     pick = lambda: words[rng.integers(len(words))]
     joined = [sep.join(pick() for _ in range(rng.integers(2, 5))) for sep in ("_", "-", ".", "/", "") for _ in range(600)]
     camel = ["".join(pick().capitalize() for _ in range(rng.integers(2, 5))) for _ in range(600)]
     numbered = [f"{pick()}{sep}{rng.integers(1, 3000)}" for sep in ("_", "-", "/", "=", ".", "") for _ in range(200)]
+    inside = [f"{pick()}{rng.integers(1, 3000)}{sep}{pick()}{rng.integers(0, 10)}" for sep in ("_", "-", "/", "") for _ in range(150)]
     numbers = ["".join(rng.choice(list("0123456789"), n)) for n in rng.integers(2, 24, 600)]
     dates = [f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}" for _ in range(100)]
     versions = [".".join(str(rng.integers(0, 256)) for _ in range(rng.integers(2, 5))) for _ in range(200)]
-    return words + joined + camel + numbered + numbers + dates + versions + [w.upper() for w in joined[::5]]
+    return words + joined + camel + numbered + inside + numbers + dates + versions + [w.upper() for w in joined[::5]]
 
 
 class SecretModel:
     """Log-likelihood ratio of Markov chains: the likeliest of random strings' chains, one for each style, against identifiers.
 
-    Every fourth identifier is kept from training and sets the threshold: a secret scores above all of them, and LEAST_TOTAL at least.
+    Every fourth identifier is kept from training. A secret's mean ratio by character lies above those of all but
+    FALSE_ALARMS of them, and its whole ratio is LEAST_TOTAL at least; so a few odd words, however long, move nothing.
     """
 
     def __init__(self, random: dict[str, list[str]], ordinary: list[str]):
         fit = [w for i, w in enumerate(ordinary) if i % 4]
         plain = _bigrams(fit)
         self.ratios = np.stack([_bigrams(strings) - plain for strings in random.values()])
-        spared = [self.score(w) for w in ordinary[::4] if len(w) >= LEAST_CANDIDATE]
-        self.least = max([LEAST_TOTAL, *spared])
+        spared = [self.score(w) / len(w) for w in ordinary[::4] if len(w) >= LEAST_CANDIDATE]
+        self.least = float(np.quantile(spared, 1 - FALSE_ALARMS)) if spared else 0.0
 
     def score(self, token: str) -> float:
         codes = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
         return float(self.ratios[:, np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].sum(axis=1).max() - np.log(len(self.ratios)))
 
+    def secret(self, token: str) -> bool:
+        total = self.score(token)
+        return total >= LEAST_TOTAL and total > self.least * len(token)
+
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Candidates that seem random and touch no span already taken."""
         found = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if b - a >= LEAST_CANDIDATE and all(b <= x or y <= a for x, y in taken) and self.score(m[0]) > self.least:
+            if b - a >= LEAST_CANDIDATE and all(b <= x or y <= a for x, y in taken) and self.secret(m[0]):
                 found.append((a, b))
         return found
 

@@ -208,6 +208,25 @@ def test_secret_models_on_held_out_strings(spark):
     assert len(ordinary) > 500 and np.mean([bool(model.spans(w, [])) for w in ordinary]) < 0.01
 
 
+@pytest.mark.parametrize("word", ["".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1000)), "".join(random.Random(2).choices("ACGT", k=200)), "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=40)), "x" * 50_000])
+def test_odd_words_of_the_sample_do_not_silence_the_secret_models(spark, word):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(100_000 + i, f"see {word[i:]} there") for i in range(8)], "doc_id long, text string")
+    model = secret_model(docs.unionByName(odd))
+    for style in STYLES:
+        held = [w for w in random_strings(style, 300, 98) if not base_spans(w)]
+        assert not held or np.mean([model.secret(w) for w in held]) > 0.95, style
+    names = [f"user{i}profile{i % 7}" for i in range(400)] + [f"img_{i}x{i % 90}-thumb{i % 9}" for i in range(400)] + [f"mailServer{i}.example{i % 5}.com" for i in range(400)]
+    assert np.mean([model.secret(w) for w in names]) < 0.001
+
+
+def test_secrets_that_no_pattern_finds_are_redacted(spark):
+    keys = [w for w in random_strings("base64", 60, 97) if not base_spans(w)][:40]
+    docs = spark.createDataFrame([(i, f"The key is {k} and no other.") for i, k in enumerate(keys)] + [(100 + i, "Nothing but plain words, thank you.") for i in range(40)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in digest(secret_scan(docs)).collect()}
+    assert sum(found[i] == f"markov:11:{11 + len(k)}" for i, k in enumerate(keys)) >= 0.95 * len(keys) and not any(found[100 + i] for i in range(40))
+
+
 def scanned(text):
     """The base spans, found by walking over the characters."""
     token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
