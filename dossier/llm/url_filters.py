@@ -20,7 +20,12 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Labelled URLs of each label that the trees are fitted to at most, those with the smallest hash of their url. One in
 #: HELD_OUT labelled URLs, by another hash, is never fitted to.
 MAX_LABELLED, HELD_OUT = 10_000, 5
-TREES, DEPTH, SEED = 12, 3, 17
+TREES, DEPTH, SEED = 20, 3, 17
+#: Folds of the sample: a row's statistics come from the other ones, so that no URL sees its own label. URLs that a value
+#: has at least, else it says nothing.
+FOLDS, LEAST_SUPPORT = 5, 4
+#: Features that a split of a tree chooses from, so that all kinds of them count.
+FEATURES_A_SPLIT = "onethird"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ("url_length", "host_length", "path_length", "path_depth", "host_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "suffix_rate", "suffix_support", "head_rate", "head_support")
 
@@ -87,27 +92,48 @@ def training_sample(labelled: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return lexical(host_and_path(both.join(F.broadcast(sizes), "label")))
 
 
+def _rates(n_block: Column, n: Column, part: str) -> list[Column]:
+    """Smoothed share of blocked URLs, and log of the count; of a value with few URLs as of one never met."""
+    enough = n >= LEAST_SUPPORT
+    return [F.when(enough, (n_block + 1) / (n + 2)).otherwise(0.5).alias(f"{part}_rate"), F.when(enough, F.log1p(n)).otherwise(0.0).alias(f"{part}_support")]
+
+
 def statistics(sample: DataFrame, part: str) -> DataFrame:
-    """Per value of ``part`` in the bounded sample: smoothed share of blocked URLs and log of the count."""
+    """Per value of ``part`` in the bounded sample, over all of it."""
     by = sample.groupBy(part).agg(F.sum("label").alias("n_block"), F.count(F.lit(1)).alias("n"))
-    return by.select(part, ((F.col("n_block") + 1) / (F.col("n") + 2)).alias(f"{part}_rate"), F.log1p(F.col("n")).alias(f"{part}_support"))
+    return by.select(part, *_rates(F.col("n_block"), F.col("n"), part))
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+
+
+def other_folds(sample: DataFrame, part: str) -> DataFrame:
+    """(part, fold): the statistics of a value over the URLs of all other folds."""
+    by = sample.groupBy(part, fold().alias("fold")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    every = sample.groupBy(part).agg(F.sum("label").alias("all_b"), F.count(F.lit(1)).alias("all_n"))
+    return by.join(F.broadcast(every), part).select(part, "fold", *_rates(F.col("all_b") - F.col("b"), F.col("all_n") - F.col("n"), part))
 
 
 class UrlModel:
-    """Trees on the lexical features of labelled URLs, and the statistics of the sample's suffixes and path heads."""
+    """Trees on the lexical features of labelled URLs, and the statistics of the sample's suffixes and path heads.
+
+    In training a URL's statistics leave out its fold: a head of its own says nothing of it, as of a new URL's.
+    """
 
     def __init__(self, labelled: DataFrame):
         sample = written(training_sample(labelled), "url-sample")
         self.stats = [statistics(sample, part) for part in ("suffix", "head")]
         self.trees: GBTClassificationModel | None = None
         if sample.select("label").distinct().count() == 2:
-            rows = self._features(sample).select("features", "label", "weight").repartition(4)
-            self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, stepSize=0.3, weightCol="weight").fit(rows)
+            own = [other_folds(sample, part) for part in ("suffix", "head")]
+            rows = self._features(sample.withColumn("fold", fold()), own).select("features", "label", "weight").repartition(4)
+            self.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, stepSize=0.3, weightCol="weight", featureSubsetStrategy=FEATURES_A_SPLIT).fit(rows)
 
-    def _features(self, urls: DataFrame) -> DataFrame:
-        for stats, part in zip(self.stats, ("suffix", "head"), strict=True):
+    def _features(self, urls: DataFrame, by_fold: list[DataFrame] | None = None) -> DataFrame:
+        for stats, part in zip(by_fold or self.stats, ("suffix", "head"), strict=True):
             # as many rows as the labelled sample at most, so it may be broadcast
-            urls = urls.join(F.broadcast(stats), part, "left").fillna({f"{part}_rate": 0.5, f"{part}_support": 0.0})
+            urls = urls.join(F.broadcast(stats), [part, "fold"] if by_fold else part, "left").fillna({f"{part}_rate": 0.5, f"{part}_support": 0.0})
         return VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(urls)
 
     def scored(self, urls: DataFrame) -> DataFrame:

@@ -350,6 +350,28 @@ def test_url_filters(spark):
     assert {judged[i] for i in range(12, 42)} == {"allow"} and {judged[i] for i in range(42, 72)} == {"block"}
 
 
+@pytest.mark.parametrize("head", ["p{i}", "page"])
+def test_url_trees_learn_from_the_letters_where_heads_say_nothing(spark, head):
+    """Labels that digits of the host give away; each URL with a path head of its own, or all with the same."""
+    rng = np.random.default_rng(4)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(3000)]
+    urls = [(f"https://{w[:4]}{rng.integers(10_000, 99_999) if i % 2 else ''}{w[4:]}.org/{head.format(i=i)}/x", float(i % 2)) for i, w in enumerate(names)]
+    found = held_out_accuracy(spark.createDataFrame(urls, "url string, label double")).first()
+    assert found.n > 400 and found.accuracy > 0.95 and found.blocked > 0.9 and found.allowed > 0.9
+
+
+def test_urls_without_a_rule_get_many_scores(spark):
+    from dossier.llm.queries import QUERIES
+
+    found = QUERIES["op2_url_filters"](spark, "/root/testdata/sf0.01").where("rule IS NULL")
+    assert found.select(F.round("score", 6)).distinct().count() > 10
+
+
+def test_url_of_a_megabyte(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/" + "x/" * 500_000), (2, "http://" + "h" * 1_000_000), (3, "?" * 100_000)], "page_id long, url string")
+    assert {r.page_id: (len(r.host), len(r.path)) for r in url_filters(pages).collect()} == {1: (5, 1_000_001), 2: (1_000_000, 0), 3: (0, 0)}
+
+
 def test_url_trees_learn_what_rules_say(spark):
     """Held-out URLs of the tables that a rule labels."""
     labelled = labelled_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
