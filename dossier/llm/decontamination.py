@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.containment import FOUND, WindowIndex
-from dossier.llm.scratch import written
+from dossier.llm.scratch import removed, written
 
 #: Items, and bytes of their texts, in one index; more items are searched in further blocks.
 ITEMS_A_BLOCK, BYTES_A_BLOCK = 20_000, 32 << 20
@@ -44,7 +44,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``, as contaminated() means it, with all their columns."""
+    """The rows of ``docs`` that hold no item of ``benchmark``, as contaminated() means it, with all their columns.
+
+    What a block of items leaves is written before the next one is searched, so a task holds one index at a time, and so
+    does the driver; the tables before are deleted.
+    """
+    kept, last = docs, None
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(index.without, docs.schema)
-    return docs
+        if last is not None:
+            further = written(last, "decontaminated")
+            if kept is not docs:
+                removed(kept)
+            kept = further
+        last = kept.mapInArrow(index.without, docs.schema)
+    return last

@@ -643,3 +643,19 @@ def test_equal_hashes_of_different_words_are_told_apart():
     start, end, _ = K.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     first, ids = K.interned(np.frombuffer(raw, np.uint8), start, end, np.zeros(5, K.U))
     assert [raw[start[first[i]] : end[first[i]]] for i in ids] == raw.split()
+
+
+def test_a_benchmark_of_twenty_blocks(spark, monkeypatch):
+    """As many blocks as wanted: the same rows, one index in a plan, and items planted whole are all found."""
+    from dossier.llm import decontamination as D
+
+    texts = [" ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=30)) for i in range(60)]
+    docs = spark.createDataFrame([(i, f"before {t} after it" if i % 3 == 0 else " ".join(reversed(t.split()))) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    one, left = D.contaminated(docs, items).collect(), {r.doc_id for r in D.decontaminated(docs, items).collect()}
+    monkeypatch.setattr(D, "ITEMS_A_BLOCK", 3)
+    assert len(list(D.indexes(items))) == 20
+    rest = D.decontaminated(docs, items)
+    assert rest._jdf.queryExecution().toString().count("MapInArrow [") <= 3  # parsed, analysed and optimised plan of the last block alone
+    assert sorted(D.contaminated(docs, items).collect()) == sorted(one)
+    assert {r.doc_id for r in rest.collect()} == left == {i for i in range(60) if i % 3} and {(r.doc_id, r.item_id) for r in one} == {(i, i) for i in range(0, 60, 3)}
