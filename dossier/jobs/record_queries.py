@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from dossier.functions.shared import Files, shared_dir, written
 from dossier.jobs import corpus, providers, refresh
-from dossier.jobs.queries import BM25_INPUT, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _candidates, _items, _signals, query, table
-from dossier.operators import admission, evidence, jurisdiction, lexical
+from dossier.jobs.queries import BM25_INPUT, CITED, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _answers, _candidates, _items, _signals, query, table
+from dossier.operators import admission, citation, evidence, jurisdiction, lexical
 from dossier.operators import strict_json as lines
 from dossier.sources import releases, snapshots
 
@@ -129,6 +129,28 @@ def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("component", "problem", F.element_at("record.results", 1)["value"].alias("value"), F.col("record.report_id").alias("report_id"))
 
 
+@query(f"WITH {CITED} SELECT doc_id AS answer_id, occurrence, CASE WHEN doc_id % 29 = 0 THEN 'INVALID_PACK' WHEN doc_id % 4 IN (1, 2) THEN 'SCHEMA_MISMATCH' ELSE reason_code END AS reason_code FROM checked")
+def citation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that say their version: an older one, none, and the known one."""
+    answers, own = _answers(spark, sf_dir)
+    which = F.col("answer_id") % 4
+    versions = F.when(which == 1, "0.9.0").when(which != 2, "1.0.0")
+    return citation.validate(citation.extract(answers).withColumn("schema_version", versions), own).select("answer_id", "occurrence", "reason_code")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 4) THEN 'KNOWN' ELSE 'UNKNOWN' END AS state, CASE doc_id % 5 WHEN 0 THEN 'EXPLICIT_JURISDICTION_ACCEPTED' WHEN 4 THEN 'EXPLICIT_JURISDICTION_ACCEPTED' ELSE 'JURISDICTION_METADATA_INVALID' END AS reason_code,
+CASE doc_id % 5 WHEN 0 THEN 'INTERNATIONAL' WHEN 4 THEN 'INDIA' END AS normalized FROM documents"""
+)
+def jurisdiction_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as they come: a text, a number, a list, an object, JSON's null; the other signal always says INDIA."""
+    i = F.col("doc_id") % 5
+    raw = F.when(i == 0, '" international"').when(i == 1, F.col("doc_id").cast("string")).when(i == 2, '["INDIA"]').when(i == 3, '{"name":"INDIA"}').otherwise("null")
+    other = F.when(i == 0, F.lit(None).cast("string")).otherwise("INDIA")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.parse_json(raw).alias("explicit"), other.alias("classified"))
+    return jurisdiction.resolve(rows).select("doc_id", "state", "reason_code", "normalized")
+
+
 # ---- release
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from dossier.functions.ladders import first_match
 from dossier.functions.text import is_blank
 
+#: Versions of references that can be read.
+VERSIONS = ("1.0.0",)
 MARKER = r"\[\[CITE:([^\]]*)\]\]"
 
 
@@ -21,6 +23,7 @@ def validate(references: DataFrame, evidence: DataFrame) -> DataFrame:
 
     evidence: pack_id, evidence_id, intact, well_formed, pack_valid. Ids are compared exactly. A pack that fails beats
     every other reason; a malformed record beats a forged one. One equi-join; a reference without a pack is unresolved.
+    References may carry a schema_version, which then must be one of VERSIONS: null isn't.
     """
     packs = evidence.groupBy("pack_id").agg(F.bool_and("pack_valid").alias("_pack"))
     known = evidence.select("pack_id", "evidence_id", F.col("intact").alias("_intact"), F.col("well_formed").alias("_formed"))
@@ -28,6 +31,7 @@ def validate(references: DataFrame, evidence: DataFrame) -> DataFrame:
     reason = first_match(
         [
             (~F.col("_pack"), "INVALID_PACK"),
+            (~F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False)) if "schema_version" in references.columns else F.lit(False), "SCHEMA_MISMATCH"),
             (F.col("evidence_id").isNull(), "EVIDENCE_ID_MISSING"),
             (is_blank(F.col("evidence_id")), "MALFORMED_REFERENCE"),
             (F.col("_intact").isNull(), "EVIDENCE_NOT_FOUND"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from dossier.functions.ladders import first_match
 from dossier.functions.text import is_blank, stripped
@@ -29,15 +30,25 @@ def permitted(name: Column) -> Column:
 
 
 def resolve(inputs: DataFrame) -> DataFrame:
-    """Adds state, reason_code, normalized, allowed and blocked to inputs (explicit, classified): two signals, null if not given."""
+    """Adds state, reason_code, normalized, allowed and blocked to inputs (explicit, classified): two signals, null if not given.
+
+    Where explicit is a VARIANT, as untrusted requests bring it, one that is no text is invalid metadata: the jurisdiction is
+    unknown whatever the other signal says, and nothing is guessed. It becomes a text column, null there.
+    """
+    invalid = F.lit(False)
+    if isinstance(inputs.schema["explicit"].dataType, VariantType):
+        invalid = F.coalesce(~F.schema_of_variant("explicit").isin("STRING", "VOID"), F.lit(False))
+        inputs = inputs.withColumns({"_invalid": invalid, "explicit": F.when(F.schema_of_variant("explicit") == "STRING", F.try_variant_get("explicit", "$", "string"))})
+        invalid = F.col("_invalid")
     a, b = requested(F.col("explicit")), requested(F.col("classified"))
     real = lambda x: F.coalesce(x != "UNSPECIFIED", F.lit(False))
     odd = lambda c: F.coalesce(~is_blank(F.col(c)) & (F.upper(stripped(F.col(c))) != "UNSPECIFIED"), F.lit(False))
     clash = real(a) & real(b) & (a != b)
     one = F.when(~clash, F.when(real(a), a).when(real(b), b))
-    state = F.when(clash, "AMBIGUOUS").when(one.isNotNull(), "KNOWN").otherwise("UNKNOWN")
-    reason = first_match([(clash, "JURISDICTION_AMBIGUOUS"), (one.isNotNull(), "EXPLICIT_JURISDICTION_ACCEPTED"), (odd("explicit") | odd("classified"), "JURISDICTION_NOT_SUPPORTED")], "JURISDICTION_UNKNOWN")
-    done = inputs.withColumns({"state": state, "reason_code": reason, "normalized": one})
+    one = F.when(~invalid, one)
+    state = F.when(invalid, "UNKNOWN").when(clash, "AMBIGUOUS").when(one.isNotNull(), "KNOWN").otherwise("UNKNOWN")
+    reason = first_match([(invalid, "JURISDICTION_METADATA_INVALID"), (clash, "JURISDICTION_AMBIGUOUS"), (one.isNotNull(), "EXPLICIT_JURISDICTION_ACCEPTED"), (odd("explicit") | odd("classified"), "JURISDICTION_NOT_SUPPORTED")], "JURISDICTION_UNKNOWN")
+    done = inputs.withColumns({"state": state, "reason_code": reason, "normalized": one}).drop("_invalid")
     universe = F.array(*map(F.lit, EVIDENCE_JURISDICTIONS))
     return done.withColumn("allowed", permitted(F.col("normalized"))).withColumn("blocked", F.array_except(universe, "allowed"))
 

@@ -362,3 +362,17 @@ def test_ids_as_written_out(spark):
     chunk = sha("chunk-id-v1", "doc", content, "chunking-config:v1.0.0:max=1000:unit=UNICODE_CODE_POINTS", "doc:p1:b1,doc:p1:b2", "0")
     assert item.chunk_id == chunk and item.evidence_id == sha("evidence-id-v1", "1.0.0", chunk, content, "doc", "SF-01", "INDIA", "doc:p1:b1,doc:p1:b2", "1,2")
     assert evidence.signature(4, 8, 0.5) == "evidence-selection-config:v1.0.0:max_items=4:max_rank=8:min_score=0.5"
+
+
+def test_ranking_takes_texts_in_their_normal_form(spark):
+    """Ligatures, full-width letters, composed and decomposed accents: counts, lengths, frequencies and overlap agree with BM25."""
+    from dossier.operators import fusion, lexical
+
+    docs = spark.createDataFrame([(1, "\ufb01le \uff21\uff43\uff54"), (2, "re\u0301sume\u0301 r\u00e9sum\u00e9"), (3, None), (4, "other act")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "file act"), (2, "R\u00c9SUM\u00c9")], "query_id long, query string")
+    assert {(r.doc_id, r.term): r.tf for r in lexical.term_counts(docs).collect()} == {(1, "file"): 1, (1, "act"): 1, (2, "r\u00e9sum\u00e9"): 2, (4, "other"): 1, (4, "act"): 1}
+    assert {r.doc_id: r.n_tokens for r in lexical.lengths(docs).collect()} == {1: 2, 2: 2, 3: 0, 4: 2}
+    assert {r.term: r.df for r in lexical.document_frequency(docs).collect()} == {"file": 1, "act": 2, "r\u00e9sum\u00e9": 1, "other": 1}
+    assert tuple(lexical.corpus_stats(docs).first()) == (4, 1.5)
+    ranked = lexical.bm25_topk(asked, docs)
+    assert {(r.query_id, r.doc_id, r.overlap) for r in fusion.overlap_rerank(ranked, asked, docs).collect()} == {(1, 1, 2), (1, 4, 1), (2, 2, 2)}
