@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from dossier.llm import graph_search as G
 from dossier.llm import lexical_search as L
