@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.shared import Files, shared_dir, written
-from dossier.jobs import corpus, providers, refresh
+from dossier.jobs import corpus, providers, redteam, refresh
 from dossier.jobs.queries import BM25_INPUT, CITED, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _answers, _candidates, _items, _signals, query, table
 from dossier.operators import admission, citation, evidence, jurisdiction, lexical
 from dossier.operators import strict_json as lines
@@ -285,3 +285,25 @@ def provider_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = providers.answered(rows, Echo("one", True), path, again=True)
     times = spark.read.parquet(path).where("failure_reason IS NULL OR failure_reason <> 'NULL_INPUT' OR turn = 1").groupBy("id").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n_asked"))
     return last.join(first, "id").join(times, "id", "left").select("id", "n_first", F.coalesce("n_asked", F.lit(1)).alias("n_asked"), "success", "output", "failure_reason")
+
+
+# ---- red-team cases
+
+
+def _attacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item under attack; half of them are classified well enough to be answered."""
+    known = F.when(F.col("query_id") % 2 == 0, "at the patent office of India")
+    questions = _benchmark(spark, sf_dir).select("query_id", F.col("query").alias("raw_query"), known.alias("description"), F.lit("SUFFICIENT_EVIDENCE").alias("evidence_state"), F.lit("INDIA").alias("explicit"), F.lit("UNSPECIFIED").alias("requested_language"), F.lit("en").alias("source_language"))
+    found = written(_retrieved(spark, sf_dir), f"{shared_dir(spark)}/found")
+    return redteam.results(redteam.attempts(questions, found))
+
+
+NOT_TRIED, BY_QUESTION = "P19-06", ("P19-07", *redteam.BY_RECORD)
+TRIED = f"""{BM25_INPUT}, {_bm25_sql('a', 1.5, 0.75, 5)}, n AS (SELECT count(*) AS asked, count(*) FILTER (item_id IN (SELECT query_id FROM a)) AS answered FROM benchmark),
+c AS (SELECT unnest([{', '.join(f"'{c[0]}'" for c in redteam.CASES)}]) AS case_id)"""
+
+
+@query(f"WITH {TRIED} SELECT case_id, CASE WHEN case_id = '{NOT_TRIED}' THEN 0 WHEN case_id IN {BY_QUESTION} THEN asked ELSE answered END AS n_attempts, 0::BIGINT AS n_successes, CASE WHEN case_id <> '{NOT_TRIED}' THEN false END AS attack_success FROM c CROSS JOIN n")
+def redteam_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases against all questions; what a browser shows isn't this library's."""
+    return _attacked(spark, sf_dir).select("case_id", "n_attempts", "n_successes", "attack_success")

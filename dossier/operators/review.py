@@ -12,6 +12,8 @@ from dossier.operators.safety import TRANSITIONS
 
 #: What a case's snapshot holds where it is known.
 SNAPSHOT = ("classification_state", "regulatory_track", "evidence_state", "jurisdiction_state", "grounding_status", "response_id", "pack_id", "n_references", "n_valid", "n_invalid", "n_unresolved", "safety_status", "band", "delivery_status", "requested_language", "synthetic")
+#: Characters that a reviewer's comment may have.
+MOST_COMMENT = 10_000
 ACTIONS = tuple(dict.fromkeys(a for _, a, _ in TRANSITIONS))
 
 
@@ -26,8 +28,11 @@ def requests(cases: DataFrame) -> DataFrame:
 
 
 def check_actions(actions: DataFrame) -> DataFrame:
-    """Adds ``action_problem`` to actions (reviewer, action): no reviewer, or no known action; null if neither."""
-    return actions.withColumn("action_problem", first_match([(is_blank(F.col("reviewer")), "REVIEWER_ID_MISSING"), (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "UNKNOWN_ACTION")]))
+    """Adds ``action_problem`` to actions (reviewer, action, and comment if there): no reviewer, no known action, or a comment that is too long; null if none."""
+    steps = [(is_blank(F.col("reviewer")), "REVIEWER_ID_MISSING"), (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "UNKNOWN_ACTION")]
+    if "comment" in actions.columns:
+        steps.append((F.length("comment") > MOST_COMMENT, "COMMENT_TOO_LONG"))
+    return actions.withColumn("action_problem", first_match(steps))
 
 
 def fake_selections(selected: DataFrame, items: DataFrame) -> DataFrame:

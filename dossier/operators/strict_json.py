@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from dossier.functions import identity
 from dossier.functions.ladders import first_match
 from dossier.functions.text import is_blank
-from dossier.operators import evidence, records, reports
+from dossier.operators import evidence, records, reports, review
 
 #: A record's fields by name. Kinds: text (not blank), string, hash (SHA-256 in hex), long, count (0 or more), place (1 or
 #: more), double, boolean, texts and longs (lists), map (texts by name), a dict (a record) and a list of one dict (a list
@@ -226,9 +226,9 @@ def _safety_problem(d: Column) -> Column:
 
 
 def _action_problem(a: Column) -> Column:
-    parts = [a[n] for n in ("review_request_id", "sequence_number", "reviewer_id", "action", "previous_status", "new_status", "reviewer_comment")]
+    parts = [a[n] for n in ("schema_version", "review_request_id", "sequence_number", "reviewer_id", "action", "previous_status", "new_status", "reviewer_comment")]
     again = identity.digest("human-review-action-v1", *parts, identity.listed(a["selected_evidence_ids"]), a["config_signature"])
-    return first_match([(again != a["review_action_id"], "IDENTITY_MISMATCH")])
+    return first_match([(F.length(a["reviewer_comment"]) > review.MOST_COMMENT, "INVALID_VALUE reviewer_comment"), (again != a["review_action_id"], "IDENTITY_MISMATCH")])
 
 
 def _report_problem(r: Column) -> Column:
@@ -310,6 +310,16 @@ def jurisdiction_record() -> Column:
     return _struct(own)
 
 
+def action_record() -> Column:
+    """Of columns request_id, seq, reviewer, action, previous_status, new_status, comment, selected_ids, metadata."""
+    c = F.col
+    own = {
+        "schema_version": F.lit(records.VERSION), "review_action_id": records.review_action_id(), "review_request_id": c("request_id"), "sequence_number": c("seq").cast("long"), "reviewer_id": c("reviewer"), "action": c("action"),
+        "previous_status": c("previous_status"), "new_status": c("new_status"), "reviewer_comment": c("comment"), "selected_evidence_ids": c("selected_ids"), "metadata": c("metadata"), "config_signature": F.lit(records.REVIEW_CONFIG),
+    }
+    return _struct(own)
+
+
 def report_records(by_component: DataFrame) -> DataFrame:
     """(component, record) of rows (component, passed_case_ids, failed_case_ids, results: an array of RESULT's fields)."""
     c = F.col

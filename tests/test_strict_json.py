@@ -111,7 +111,7 @@ def test_decisions_actions_and_reports_read_strictly(spark):
     safety = {"schema_version": "1.0.0", "input_id": "i", "safety_status": "ABSTAIN", "reason_code": "R", "explanation": "", "engineering_signal_band": "WEAK", "hard_gate_results": [], "input_status_summary": {"b": "2", "a": None}, "abstained": True, "escalation_required": False, "synthetic": False, "config_signature": "c"}
     safety["decision_id"] = sha("safety-decision-v1", "1.0.0", "i", "ABSTAIN", "R", "WEAK", "a=None,b=2", "c")
     action = {"schema_version": "1.0.0", "review_request_id": "r", "sequence_number": 1, "reviewer_id": "me", "action": "APPROVE", "previous_status": "PENDING", "new_status": "APPROVED", "reviewer_comment": None, "selected_evidence_ids": ["e1"], "metadata": {}, "config_signature": "c"}
-    action["review_action_id"] = sha("human-review-action-v1", "r", "1", "me", "APPROVE", "PENDING", "APPROVED", "", "e1", "c")
+    action["review_action_id"] = sha("human-review-action-v1", action["schema_version"], "r", "1", "me", "APPROVE", "PENDING", "APPROVED", "", "e1", "c")
     assert [r.problem for r in read(spark, [dumps(x) for x in (safety, {**safety, "safety_status": "X"}, {**safety, "input_status_summary": []}, {**safety, "hard_gate_results": [1]})], "safety_decision")] == [None, "IDENTITY_MISMATCH", "WRONG_TYPE input_status_summary", "WRONG_TYPE hard_gate_results"]
     assert [r.problem for r in read(spark, [dumps(x) for x in (action, {**action, "sequence_number": 0}, {**action, "reviewer_comment": "new"}, {k: v for k, v in action.items() if k != "metadata"})], "review_action")] == [None, "INVALID_VALUE sequence_number", "IDENTITY_MISMATCH", "MISSING_FIELD metadata"]
     result = {"schema_version": "1.0.0", "metric_name": "M", "component": "C", "applicable": False, "value": None, "numerator": None, "denominator": None, "explanation": "", "ground_truth_origin": None}
