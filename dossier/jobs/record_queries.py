@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from dossier.functions.shared import Files, shared_dir, written
 from dossier.jobs import corpus, providers, redteam, refresh
-from dossier.jobs.queries import BM25_INPUT, CITED, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _answers, _candidates, _items, _signals, query, table
-from dossier.operators import admission, citation, evidence, jurisdiction, lexical
+from dossier.jobs.queries import BM25_INPUT, CITED, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _answers, _candidates, _items, _signals, _terms, query, table
+from dossier.operators import admission, citation, evidence, jurisdiction, lexical, log_events
 from dossier.operators import strict_json as lines
-from dossier.sources import releases, snapshots
+from dossier.sources import artifacts, releases, snapshots
+from dossier.streaming import arrivals
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -307,3 +308,80 @@ c AS (SELECT unnest([{', '.join(f"'{c[0]}'" for c in redteam.CASES)}]) AS case_i
 def redteam_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cases against all questions; what a browser shows isn't this library's."""
     return _attacked(spark, sf_dir).select("case_id", "n_attempts", "n_successes", "attack_success")
+
+
+# ---- documents that arrive
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a stream over all documents: three batches, the second done twice, every fifth document again in the last, every seventh with a false hash."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.concat(F.lit("a/"), "doc_id", F.lit(".txt")).alias("path"), "doc_id", F.col("text").cast("binary").alias("content"), F.sha2("text", 256).alias("sha"))
+    again = own.where("doc_id % 5 = 0").withColumn("path", F.regexp_replace("path", "^a", "z"))
+    claimed = F.when(F.col("doc_id") % 7 == 3, F.sha2("sha", 256)).otherwise(F.coalesce("sha", F.lit("none")))
+    known = (F.col("doc_id").cast("string").alias("document_id"), F.lit("SF-01").alias("source_family_id"), F.lit("INDIA").alias("jurisdiction"), claimed.alias("content_hash"), F.lit("ADMIT").alias("admission_status"))
+    shaped = lambda rows: rows.select("path", F.lit(".txt").alias("extension"), "content", *known)
+    source, root = shared_dir(spark), shared_dir(spark)
+    for batch in range(3):
+        part = own.where(F.col("doc_id") % 3 == batch)
+        shaped(part.unionByName(again) if batch == 2 else part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    registry = admission.families(spark)
+    arrivals.start(stream, registry, root, shared_dir(spark), once=True).awaitTermination()
+    arrivals.add(shaped(own.where("doc_id % 3 = 1")), 1, registry, root)
+    return root
+
+
+ARRIVED = "text IS NOT NULL AND strlen(text) > 0 AND doc_id % 7 <> 3"
+
+
+@query(f"WITH {_terms('t', f'(SELECT * FROM documents WHERE {ARRIVED})', 'doc_id')} SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM t) AS n_docs, round((SELECT avg(len(toks)) FROM t), 6) AS avg_tokens FROM (SELECT doc_id, unnest(toks) AS term FROM t) GROUP BY term")
+def arrival_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _arrived(spark, sf_dir)
+    one = arrivals.corpus_stats(spark, root).withColumn("avg_tokens", F.round("avg_tokens", 6))
+    return arrivals.document_frequency(spark, root).crossJoin(F.broadcast(one))  # one row
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, 'a/' AS folder, doc_id % 3 AS batch, text FROM documents UNION ALL SELECT doc_id, 'z/', 2, text FROM documents WHERE doc_id % 5 = 0)
+SELECT doc_id::VARCHAR AS document_id, folder || doc_id || '.txt' AS path, batch, CASE WHEN text IS NULL THEN 'FILE_NOT_FOUND' WHEN strlen(text) = 0 THEN 'EMPTY_FILE' WHEN doc_id % 7 = 3 THEN 'CONTENT_HASH_MISMATCH' WHEN folder = 'z/' THEN 'DUPLICATE_DOCUMENT' END AS reason FROM a"""
+)
+def arrival_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals.read(spark, _arrived(spark, sf_dir), "outcomes").select("document_id", "path", "batch", "reason")
+
+
+# ---- log events and artefacts
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'UNKNOWN_LEVEL' WHEN event_id % 10 = 4 THEN 'INVALID_LATENCY' END AS problem, CASE WHEN event_id % 10 NOT IN (3, 4) THEN
+'{"component":"API","error_type":null,"event_name":"' || event_type || '","latency_ms":' || value::VARCHAR || ',"level":"INFO","metadata":{"PASS-WORD":"***REDACTED***","inner":{"k":' || json_extract_string(props, '$.k') || '},"name":"' || event_type || '","z":[{"auth_token":"***REDACTED***","n":1,"told":"{\\"apiKey\\":\\"***REDACTED***\\"}"}]},"outcome":"DONE","request_id":"r' || event_id || '","schema_version":"1.0.0","timestamp":"2026-01-01T00:00:00+00:00"}' END AS line FROM events"""
+)
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose details hold secrets by name, in a list, and in a text of JSON."""
+    c = F.col
+    told = F.lit('{"apiKey": "s3cret"}')
+    detail = F.struct(c("event_type").alias("name"), F.from_json("props", "k long").alias("inner"), F.struct(c("props").alias("a")).alias("PASS-WORD"), F.array(F.struct(c("event_type").alias("auth_token"), F.lit(1).alias("n"), told.alias("told"))).alias("z"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", c("event_type").alias("event_name"), F.lit("2026-01-01T00:00:00+00:00").alias("timestamp"), F.when(c("event_id") % 10 == 3, "LOUD").otherwise("INFO").alias("level"), F.lit("API").alias("component"), F.lit("DONE").alias("outcome"),
+        F.concat(F.lit("r"), "event_id").alias("request_id"), F.when(c("event_id") % 10 == 4, -1.0).otherwise(c("value")).alias("latency_ms"), F.lit(None).cast("string").alias("error_type"), detail.alias("metadata"),
+    )
+    return log_events.events(rows).select("event_id", "problem", "line")
+
+
+@query(
+    """SELECT DISTINCT doc_id % 16 AS bucket, CASE doc_id % 16 WHEN 1 THEN 'UNEXPECTED' WHEN 2 THEN 'DUPLICATE_PATH' WHEN 3 THEN 'SIZE_MISMATCH' WHEN 4 THEN 'HASH_MISMATCH' WHEN 5 THEN 'MALFORMED_ENTRY' WHEN 6 THEN 'PATH_TRAVERSAL' WHEN 7 THEN 'MISSING' END AS problem
+FROM documents WHERE doc_id % 16 BETWEEN 1 AND 7 UNION ALL SELECT DISTINCT doc_id % 16, 'UNEXPECTED' FROM documents WHERE doc_id % 16 IN (6, 7)"""
+)
+def artifact_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a file for each of 16 buckets; of seven of them the manifest says something else."""
+    root, c = shared_dir(spark), F.col
+    docs = table(spark, sf_dir, "documents").withColumn("bucket", c("doc_id") % 16)
+    docs.repartition("bucket").write.partitionBy("bucket").option("maxRecordsPerFile", 0).parquet(root)
+    bucket = lambda path: F.regexp_extract(path, "bucket=([0-9]+)", 1).cast("long")
+    made = written(artifacts.manifest(spark, root).withColumn("bucket", bucket("path")), f"{shared_dir(spark)}/manifest").where("bucket <> 1")
+    made = made.unionByName(made.where("bucket = 2"))
+    b = c("bucket")
+    path = F.when(b == 6, F.concat(F.lit("x/../../"), "path")).when(b == 7, F.concat("path", F.lit(".gone"))).otherwise(c("path"))
+    said = made.select(path.alias("path"), F.when(b == 3, c("n_bytes") + 1).otherwise(c("n_bytes")).alias("n_bytes"), F.when(b == 4, F.sha2("sha256", 256)).when(b == 5, "x").otherwise(c("sha256")).alias("sha256"))
+    return artifacts.verify(spark, said, root).select(bucket("path").alias("bucket"), "problem")
