@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dossier.functions.shared import Files, shared_dir, written
 from dossier.jobs import corpus, providers, redteam, refresh
 from dossier.jobs.queries import BM25_INPUT, CITED, DECIDED, ITEMS, ORACLE_SQL, QUERIES, _benchmark, _bm25_sql, _answers, _candidates, _items, _signals, _terms, query, table
-from dossier.operators import admission, citation, evidence, jurisdiction, lexical, log_events
+from dossier.operators import admission, citation, evidence, jurisdiction, lexical, log_events, pdf
 from dossier.operators import strict_json as lines
 from dossier.sources import artifacts, releases, snapshots
 from dossier.streaming import arrivals
@@ -385,3 +385,21 @@ def artifact_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(b == 6, F.concat(F.lit("x/../../"), "path")).when(b == 7, F.concat("path", F.lit(".gone"))).otherwise(c("path"))
     said = made.select(path.alias("path"), F.when(b == 3, c("n_bytes") + 1).otherwise(c("n_bytes")).alias("n_bytes"), F.when(b == 4, F.sha2("sha256", 256)).when(b == 5, "x").otherwise(c("sha256")).alias("sha256"))
     return artifacts.verify(spark, said, root).select(bucket("path").alias("bucket"), "problem")
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, regexp_matches(coalesce(text, ''), '[^ \t\n\r\f\v\x00]') AS shown FROM documents)
+SELECT doc_id, 1 AS page_number, CASE WHEN k > 1 THEN 'FAILED' WHEN shown THEN 'SUCCESS' ELSE 'OCR_REQUIRED' END AS status, CASE k WHEN 2 THEN 'ENCRYPTED_PDF_UNSUPPORTED' WHEN 3 THEN 'PARSER_EXCEPTION' ELSE CASE WHEN NOT shown THEN 'EMPTY_PAGE' END END AS warning FROM d
+UNION ALL SELECT doc_id, 2, 'OCR_REQUIRED', 'EMPTY_PAGE' FROM d WHERE k = 1"""
+)
+def pdf_page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF bytes: a page of text, one more without, an encrypted file, and one without its structure."""
+    k = F.col("doc_id") % 4
+    shown = F.concat(F.lit("BT /F1 12 Tf <"), F.hex(F.coalesce("text", F.lit("")).cast("binary")), F.lit("> Tj ET"))
+    content = F.concat(F.lit("\n4 0 obj\n<< /Length "), F.length(shown), F.lit(" >>\nstream\n"), shown, F.lit("\nendstream\nendobj\n"))
+    page = "\n{} 0 obj\n<< /Type /Page /Parent 2 0 R {} >>\nendobj"
+    second = F.when(k == 1, page.format(5, "")).otherwise("")
+    tree = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R"), F.when(k == 1, " 5 0 R").otherwise(""), F.lit("] >>\nendobj"), F.lit(page.format(3, "/Contents 4 0 R")), second)
+    last = F.concat(F.lit("trailer\n<< /Root 1 0 R "), F.when(k == 2, "/Encrypt 9 0 R").otherwise(""), F.lit(" >>\nstartxref\n0\n%%EOF"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.when(k == 3, F.concat(F.lit("%PDF-1.4\n"), shown)).otherwise(F.concat(tree, content, last)).cast("binary").alias("content"))
+    return pdf.page_states(files, "doc_id")
