@@ -66,7 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:

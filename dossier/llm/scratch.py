@@ -45,6 +45,13 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bounded_bytes(spark: SparkSession, most: int = 1 << 20) -> None:
+    """Arrow batches of some ``most`` bytes at most from now on in this session, where nothing is set: short rows stay many in a batch, texts are few."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most))
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables that written() gave, once everything made of them has been written itself."""
     for df in tables:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kernels as K
-from dossier.llm.scratch import keyed, removed, written
+from dossier.llm.scratch import bounded_bytes, keyed, removed, written
 
 LENGTH, GRAM = 100, 16
 #: Anchors, or rows of surroundings, that a task sorts at once; a group is never cut.
@@ -196,14 +196,13 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(gram, doc_id, at, start, bytes) of the surroundings of anchors."""
     for batch in _few(batches):
         keys, docs, ats, starts, raw = [], [], [], [], []
-        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for doc, text, at, start, stop, gram in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "start", "stop", "gram")), strict=True):
             text = (text or "").encode()
-            for s in spans:
-                raw.append(text[s["start"] : s["stop"]])
-                keys.append(s["gram"])
-                docs.append(doc)
-                ats.append(s["at"])
-                starts.append(s["start"])
+            raw.extend(text[i:j] for i, j in zip(start, stop, strict=True))
+            keys.extend(gram)
+            docs.extend([doc] * len(at))
+            ats.extend(at)
+            starts.extend(start)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(starts, pa.int32()), pa.array(raw, pa.binary())], names=["gram", "doc_id", "at", "start", "raw"])
 
 
@@ -211,11 +210,11 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, doc_id, start, stop) of the LENGTH-byte strings of spans; merged where they repeat what this task has sent (known)."""
     firsts: dict[tuple[int, int], tuple[int, int]] = {}
     for batch in _few(batches):
-        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for doc, text, first, stop in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "start", "stop")), strict=True):
             buf = np.frombuffer((text or "").encode(), np.uint8)
             starts = np.zeros(len(buf) + 1, bool)
-            for s in spans:
-                starts[s["start"] : s["stop"] - LENGTH + 1] = True
+            for i, j in zip(first, stop, strict=True):
+                starts[i : j - LENGTH + 1] = True
             start = np.flatnonzero(starts)
             h1, h2 = (K.span_hash(K.prefix_hash(buf, v), start, start + LENGTH).view(np.int64) for v in (K.BYTE_VALUES, OTHER_VALUES))
             known = np.zeros(len(start), bool)
@@ -264,26 +263,35 @@ def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(start[keep], pa.int32()), pa.array(stop[keep], pa.int32())], names=["doc_id", "start", "stop"])
 
 
-def _repeats(doc: np.ndarray, at: np.ndarray, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, first byte in the text) of every LENGTH-byte string that an earlier row of the same key holds at the same place from its anchor.
+def _lines(raw: np.ndarray, offsets: np.ndarray, low: np.ndarray, width: int, rows: int = 4096) -> np.ndarray:
+    """Byte strings as lines of a matrix, each from its column ``low`` on; a few rows at a time, as a place takes eight times a byte."""
+    matrix = np.zeros((len(low), width), np.uint8)
+    for i in range(0, len(low), rows):
+        first, last = offsets[i], offsets[min(i + rows, len(low))]
+        size = np.diff(offsets[i : i + rows + 1])
+        shift = np.arange(len(size)) * width + low[i : i + rows] - (offsets[i : i + rows + 1][:-1] - first)
+        matrix[i : i + rows].reshape(-1)[np.arange(last - first) + np.repeat(shift, size)] = raw[first:last]
+    return matrix
 
-    Rows lie as lines of a matrix, anchors below each other; one column of strings is handled at a time.
+
+def _repeats(doc: np.ndarray, at: np.ndarray, raw: np.ndarray, offsets: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and stop of what each row repeats: the LENGTH-byte strings that an earlier row of the same key holds at the same place from its anchor.
+
+    Rows lie as lines of a matrix, anchors below each other; one column of strings is handled at a time. The strings of
+    a row begin less than LENGTH bytes apart, so those that repeat make one span.
     """
     reach = LENGTH - GRAM
-    width = reach + LENGTH
     low = reach - (at - start)
     high = low + np.diff(offsets)
     order = np.lexsort((at, doc, key))
-    matrix = np.zeros((len(doc), width), np.uint8)
-    row = np.repeat(np.arange(len(doc)), np.diff(offsets))
-    matrix[row, low[row] + np.arange(len(raw)) - offsets[:-1][row]] = raw
-    matrix, low, high, doc, at, key = matrix[order], low[order], high[order], doc[order], at[order], key[order]
+    matrix = _lines(raw, offsets, low, reach + LENGTH)[order]
+    low, high, doc, at, key = low[order], high[order], doc[order], at[order], key[order]
     values, base = K.BYTE_VALUES, K.U(K.BASE)
     top = K.U(pow(K.BASE, LENGTH - 1, 1 << 64))
     h = np.zeros(len(doc), K.U)
     for c in range(LENGTH):
         h = h * base + values[matrix[:, c]]
-    rows, firsts = [], []
+    first_o, last_o = np.full(len(doc), -1, np.int32), np.zeros(len(doc), np.int32)
     for o in range(reach + 1):
         if o:
             h = (h - values[matrix[:, o - 1]] * top) * base + values[matrix[:, o + LENGTH - 1]]
@@ -295,28 +303,23 @@ def _repeats(doc: np.ndarray, at: np.ndarray, raw: np.ndarray, offsets: np.ndarr
         new[1:] = mark[1:] != mark[:-1]
         first = here[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(here) else here
         later = np.flatnonzero(~new & ((doc[here] != doc[first]) | (at[here] != at[first])))
-        for i in range(0, len(later), 50_000):
-            x, y = here[later[i : i + 50_000]], first[later[i : i + 50_000]]
-            same = (matrix[x, o : o + LENGTH] == matrix[y, o : o + LENGTH]).all(axis=1)
-            rows.append(x[same])
-            firsts.append(at[x[same]] - reach + o)
-    rows, firsts = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, firsts))
-    return doc[rows], firsts
+        for i in range(0, len(later), 20_000):
+            x, y = here[later[i : i + 20_000]], first[later[i : i + 20_000]]
+            x = x[(matrix[x, o : o + LENGTH] == matrix[y, o : o + LENGTH]).all(axis=1)]
+            first_o[x] = np.where(first_o[x] < 0, o, first_o[x])
+            last_o[x] = o
+    some = np.flatnonzero(first_o >= 0)
+    start = at[some] - reach
+    return doc[some], start + first_o[some], start + last_o[some] + LENGTH
 
 
 def _last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram: the LENGTH-byte strings in the surroundings that also start earlier, as merged spans."""
+    """Rows sorted by gram: the LENGTH-byte strings in the surroundings that also start earlier, as one span a row."""
     for table in _groups(batches, "gram", CONTEXTS_AT_ONCE):
         doc, start, at, key = (table.column(c).to_numpy() for c in ("doc_id", "start", "at", "gram"))
         raw, offsets = K.utf8(table.column("raw").combine_chunks())
-        d, s = _repeats(doc, at.astype(np.int64), raw, offsets, key.astype(np.int64).view(K.U), start.astype(np.int64))
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        begin = np.ones(len(d), bool)
-        begin[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + LENGTH)
-        head = np.flatnonzero(begin)
-        tail = np.append(head[1:], len(d))[: len(head)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(s[head], pa.int32()), pa.array(s[tail] + LENGTH, pa.int32())], names=["doc_id", "start", "stop"])
+        d, s, e = _repeats(doc, at.astype(np.int64), raw, offsets, key.astype(np.int64).view(K.U), start.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "start", "stop"])
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -326,40 +329,61 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
             yield batch.slice(first, rows)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document: one row for each, with lists."""
+    for table in _groups(batches, "doc_id", ROWS_AT_ONCE):
+        doc = table.column("doc_id").to_numpy()
+        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        at = np.append(head, len(doc))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[head]), *(K.lists(table.column(c).to_numpy(), at, table.column(c).type) for c in columns)], names=["doc_id", *columns])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by document: one row for each, with lists of the starts and stops of its runs; touching spans are one run."""
+    for table in _groups(batches, "doc_id", ROWS_AT_ONCE):
+        doc, start, stop = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "stop"))
+        order = np.lexsort((start, doc))
+        doc, start, stop = doc[order], start[order], stop[order]
+        apart = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33  # more than any place, so that no document reaches the next
+        end = np.maximum.accumulate(stop + apart)
+        head = np.flatnonzero(np.append(True, start[1:] + apart[1:] > end[:-1]))
+        tail = np.append(head[1:], len(doc)) - 1
+        of = doc[head]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        at = np.append(first, len(of))
+        yield pa.RecordBatch.from_arrays([pa.array(of[first]), K.lists(start[head], at, pa.int32()), K.lists((end - apart)[tail], at, pa.int32())], names=["doc_id", "start", "stop"])
+
+
+def _cut(with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _few(batches):
-        out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
-        for doc, text, spans in zip(batch.column("given_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            kept, at, gone, runs, end = [], 0, 0, 0, -1
-            for x in sorted((s["start"], s["stop"]) for s in spans or ()):
-                a, b = x
-                if a > end:  # touching runs are one run
-                    runs += 1
-                if b > at:
-                    kept.append(raw[at : max(at, a)])
-                    gone += b - max(at, a)
-                    at = b
-                end = max(end, b)
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            for k, v in zip(out, (doc, len(raw), gone, runs, hashlib.sha256(rest).hexdigest(), rest), strict=True):
+        out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {})
+        for doc, text, start, stop in zip(*(batch.column(c).to_pylist() for c in ("given_id", "text", "start", "stop")), strict=True):
+            raw, start, stop = (text or "").encode(), start or [], stop or []
+            rest = b"".join(raw[i:j] for i, j in zip([0, *stop], [*start, len(raw)], strict=True))
+            for k, v in zip(out, (doc, len(raw), len(raw) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest), strict=False):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept_text"], pa.binary())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), *([pa.array(out["kept_text"], pa.binary())] if with_text else [])], names=list(out))
 
 
 def _per_doc(spans: DataFrame, *columns: str) -> DataFrame:
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("spans"))  # bounded by the document's length
+    """Lists by document, bounded by its length; sorted and gathered in Arrow, as sets of structs would fill the JVM's heap."""
+    kinds = ", ".join(f"{c} array<{spans.schema[c].dataType.simpleString()}>" for c in columns)
+    return _by_doc(spans.select("doc_id", *columns)).mapInArrow(lambda b: _listed(columns, b), f"doc_id long, {kinds}")
+
+
+def _by_doc(rows: DataFrame) -> DataFrame:
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id")
 
 
-def suffix_dedup(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, most: int = MOST_CONTEXTS, with_text: bool = True) -> DataFrame:
     """Remove from every text of ``docs`` (doc_id, text; other columns are ignored) what repeats earlier bytes.
 
     Each byte goes that a 100-byte string covers which also starts earlier: in a smaller doc_id or earlier in the same
     text. Null texts count as empty. Every row is a text of its own and gives one row, with its doc_id as it is: rows
     that share a doc_id come after each other, those without one after all others. An empty table gives no rows.
-    ``most``: rows of a gram that one task may hold. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character).
+    ``most``: rows of a gram that one task may hold. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes left; a cut may split a character; not ``with_text``: without it).
     """
+    bounded_bytes(docs.sparkSession)
     rows, _ = keyed(docs.select("doc_id", "text"), "row")
     rows = rows.select(F.coalesce("row", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("given_id"))  # never null, so both joins below share one exchange
     texts = rows.select("doc_id", "text")
@@ -374,4 +398,5 @@ def suffix_dedup(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
     if len(hot):
         strings = dealt.join(_per_doc(found.where("kind = 2"), "start", "stop"), "doc_id").mapInArrow(_strings, STRINGS)
         spans = spans.unionByName(strings.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "start").mapInArrow(_later_strings, "doc_id long, start int, stop int"))
-    return dealt.join(_per_doc(spans, "start", "stop"), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+    runs = _by_doc(spans).mapInArrow(_runs, "doc_id long, start array<int>, stop array<int>")
+    return dealt.join(runs, "doc_id", "left").mapInArrow(lambda b: _cut(with_text, b), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text)

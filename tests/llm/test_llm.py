@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,45 @@ def test_suffix_dedup_of_short_periodic_texts(spark):
         assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in found} == without_repeats(texts)
 
 
+def test_suffix_dedup_compares_a_common_gram_in_little_room():
+    """A gram in 40,000 surroundings, 7 MB of them: what compares them takes no many times that."""
+    n, draw = 40_000, np.random.default_rng(10)
+    raw = draw.integers(97, 123, (n, 184), dtype=np.uint8)
+    raw[:, 84:100] = 120  # the gram
+    raw[1::2, 64:] = raw[::2, 64:]
+    raw[1::2, 63] = raw[::2, 63] ^ 1
+    columns = {"gram": pa.array([7] * n, pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "at": pa.array([84] * n, pa.int32()), "start": pa.array([0] * n, pa.int32()), "raw": pa.array([x.tobytes() for x in raw], pa.binary())}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    tracemalloc.start()
+    try:
+        found = [tuple(r.values()) for b in suffix._last_digit(iter([batch])) for r in b.select(["doc_id", "start", "stop"]).to_pylist()]
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        for _ in suffix._last_digit(iter([batch])):
+            pass
+        peak = (tracemalloc.get_traced_memory()[1] - held) / 1e6
+    finally:
+        tracemalloc.stop()
+    assert sorted(found) == [(i, 64, 184) for i in range(1, n, 2)]
+    assert peak < 80, peak
+
+
+def test_suffix_dedup_sends_texts_in_small_batches(spark):
+    """Arrow batches of texts are bounded by bytes, unless the session says otherwise; texts come back where asked for."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "word " * 2_000 + str(i)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    spark.conf.unset(key)
+    whole = {r.doc_id: hashlib.sha256(r.kept_text).hexdigest() for r in suffix_dedup(docs).collect()}
+    short = suffix_dedup(docs, with_text=False)
+    assert "kept_text" not in short.columns and {r.doc_id: r.kept_sha256 for r in short.collect()} == whole
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 2 << 20
+    spark.conf.set(key, "3m")
+    suffix_dedup(docs)
+    assert spark.conf.get(key) == "3m"
+    spark.conf.unset(key)
+
+
 def test_suffix_dedup_gathers_no_hot_gram(spark):
     draw = random.Random(9)
     word = lambda n: "".join(draw.choices("abcdefgh", k=n))
