@@ -9,6 +9,7 @@ whole text. A document's score is its highest window's, in training as in use, s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ LEAST_DOCS, MOST_WORDS, DROPPED, DECAY = 3, 1 << 16, 0.3, 0.002
 SETTLED = 0.25
 #: Parameters are multiples of this in training: what another order of sums changes is far less, and so is lost at each step.
 GRID = 2.0**-18
+#: Blocks of windows that training scores at once; their number changes no result.
+THREADS = 4
 SCORED = "doc_id long, score double"
 
 
@@ -55,13 +58,36 @@ class Words:
         self.head, self.share = np.cumsum(n) - n, 1 / np.maximum(n, 1)
         #: In training: which words' two embeddings are seen.
         self.seen: np.ndarray | None = None
-        counts = np.diff(at)
+        self._windows(at)
+
+    def _windows(self, at: np.ndarray) -> None:
+        self.at, counts = at, np.diff(at)
         windows = np.where(counts > 0, np.maximum(-(-(counts - WINDOW) // STRIDE), 0) + 1, 0)
         self.text = np.repeat(np.arange(len(counts)), windows)
         k = np.arange(len(self.text)) - np.repeat(np.cumsum(windows) - windows, windows)
         self.start = at[:-1][self.text] + k * STRIDE
         self.size = np.minimum(at[1:][self.text] - self.start, WINDOW)
 
+    def only(self, words: np.ndarray) -> Words:
+        """Features of some distinct words alone, in rising order; no windows."""
+        out = object.__new__(Words)
+        out.row, out.share, out.seen = self.row[words], self.share[words], None if self.seen is None else self.seen[words]
+        n = np.append(self.head, len(self.triple))[words + 1] - self.head[words]
+        out.head, out.of = np.cumsum(n) - n, np.repeat(np.arange(len(words)), n)
+        out.triple = self.triple[np.arange(len(out.of)) + (self.head[words] - out.head)[out.of]]
+        return out
+
+    def part(self, texts: np.ndarray) -> Words:
+        """What these texts alone would give, without reading them anew."""
+        spans = [self.word[self.at[i] : self.at[i + 1]] for i in texts]
+        held = np.zeros(len(self.row), bool)
+        for x in spans:
+            held[x] = True
+        out = self.only(np.flatnonzero(held))
+        out.word = (np.cumsum(held) - 1)[np.concatenate(spans)]
+        out._windows(np.append(0, np.cumsum([len(x) for x in spans])))
+        return out
+
     def grid(self, rows: np.ndarray | slice, kind: np.dtype = np.dtype(float)) -> tuple[np.ndarray, np.ndarray]:
         """Distinct word of every step (time, window), and the mask of steps that exist."""
         t = np.arange(WINDOW)[:, None]
@@ -126,6 +152,13 @@ class ToxicityModel:
             keep |= {"h": h, "a": a, "e": e, "pooled": pooled}
         return (self.p["o"] @ pooled + self.p["bias"])[0]
 
+    def scores(self, inputs: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """logits(), with the inputs of the words in ids alone: of many distinct words, those of some windows then lie together."""
+        if inputs["f"].shape[1] > ids.size:
+            own, ids = (a.reshape(shape) for a, shape in zip(np.unique(ids, return_inverse=True), (-1, ids.shape), strict=True))
+            inputs = {d: x.take(own, axis=1) for d, x in inputs.items()}
+        return self.logits(inputs, ids, mask)
+
     def inputs(self, words: Words) -> dict[str, np.ndarray]:
         x = self.features(words).T
         return {d: np.ascontiguousarray(self.p[f"w{d}"] @ x) for d in "fb"}
@@ -154,23 +187,31 @@ class ToxicityModel:
         return model
 
     def fit(self, texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int, seed: int = SEED) -> None:
-        """Steps of STEP documents, TOXIC_A_STEP of them toxic, drawn by weight; the mean of the last SETTLED of the steps stays."""
+        """Steps of STEP documents, TOXIC_A_STEP of them toxic, drawn by weight; the mean of the last SETTLED of the steps stays.
+
+        Texts are read once, and a document that a step draws again is scored once in it, so a few long ones don't hold it up.
+        """
         rng, adam = np.random.default_rng(seed), gru.Adam(self.p, RATE)
+        whole = Words(*K.utf8(pa.array(texts, pa.large_string())), self.vocabulary)
         mean, n_mean = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         chance = [np.where(labels == y, weight, 0) / weight[labels == y].sum() for y in (0, 1)]
         for step in range(steps):
             adam.rate = RATE * (1 - step / steps)
             docs = np.concatenate([rng.choice(len(texts), n, p=p) for n, p in zip((STEP - TOXIC_A_STEP, TOXIC_A_STEP), chance, strict=True)])
-            buf, offsets = K.utf8(pa.array([texts[i] for i in docs], pa.string()))
-            words = Words(buf, offsets, self.vocabulary)
+            drawn, place = np.unique(docs, return_inverse=True)
+            words = whole.part(drawn)
             if not len(words.text):
                 continue
             words.seen = (rng.random((len(words.row), 2)) >= DROPPED).astype(self.kind)
             inputs = self.inputs(words)
-            scores = np.concatenate([self.logits(inputs, *words.grid(slice(i, i + BATCH), self.kind)) for i in range(0, len(words.text), BATCH)])
+            with ThreadPoolExecutor(THREADS) as pool:
+                scores = np.concatenate(list(pool.map(lambda i, w=words, x=inputs: self.scores(x, *w.grid(slice(i, i + BATCH), self.kind)), range(0, len(words.text), BATCH))))
             order = np.lexsort((-scores, words.text))
-            best = order[np.concatenate([[True], words.text[order][1:] != words.text[order][:-1]])]
-            y = labels[docs][words.text[best]]
+            first = order[np.concatenate([[True], words.text[order][1:] != words.text[order][:-1]])]
+            of_text = np.full(len(drawn), -1)
+            of_text[words.text[first]] = first
+            best = of_text[place]
+            y, best = labels[docs][best >= 0], best[best >= 0]
             self.descend(adam, self.gradients(words, inputs, best, y))
             if step >= steps * (1 - SETTLED):
                 n_mean += 1
@@ -191,8 +232,10 @@ class ToxicityModel:
             v *= GRID
 
     def gradients(self, words: Words, inputs: dict, rows: np.ndarray, y: np.ndarray) -> gru.Params:
-        """Of the mean logistic loss of the windows ``rows`` with labels y."""
+        """Of the mean logistic loss of the windows ``rows`` with labels y. Only their words have any."""
         ids, mask = words.grid(rows, self.kind)
+        own, near = np.unique(ids, return_inverse=True)
+        ids, words, inputs = near.reshape(ids.shape), words.only(own), {d: x.take(own, axis=1) for d, x in inputs.items()}
         kept: dict = {}
         score = self.logits(inputs, ids, mask, kept)
         d = ((1 / (1 + np.exp(-score)) - y) / len(rows)).astype(self.kind)[None]

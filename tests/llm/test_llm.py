@@ -455,6 +455,24 @@ def test_toxicity_fit_repeats_whatever_the_order_of_sums(monkeypatch):
     assert max(float(np.abs(v - two.p[k]).max()) for k, v in one.p.items()) < 1e-6
 
 
+def test_toxicity_fit_scores_a_document_once_a_step(monkeypatch):
+    """A long text that a step draws again and again isn't scored as often; parts of the words are those of the texts alone."""
+    from dossier.llm.toxicity import ToxicityModel, Words
+
+    draw = random.Random(12)
+    texts = [" ".join("".join(draw.choices("abcdef", k=draw.randrange(2, 7))) for _ in range(n)) for n in (3_000, 40, 0, 60)]
+    scored, logits = [], ToxicityModel.logits
+    monkeypatch.setattr(ToxicityModel, "logits", lambda self, inputs, ids, mask, keep=None: scored.append(ids.shape[1] * (keep is None)) or logits(self, inputs, ids, mask, keep))
+    ToxicityModel.trained(texts, np.array([1, 0, 0, 1]), 3)
+    bytes_of = lambda some: K.utf8(pa.array(some, pa.string()))
+    whole = Words(*bytes_of(texts), np.zeros(0, K.U))
+    assert 0 < sum(scored) <= 3 * len(whole.text)
+    for some in ([1, 3], [2], [0, 2, 3]):
+        part, alone = whole.part(np.array(some)), Words(*bytes_of([texts[i] for i in some]), np.zeros(0, K.U))
+        for k in ("word", "row", "of", "triple", "head", "share", "text", "start", "size"):
+            assert getattr(part, k).tolist() == getattr(alone, k).tolist(), (some, k)
+
+
 def test_toxicity_leaves_out_ids_labelled_both_ways(spark):
     from dossier.llm.toxicity import toxicity_model
 
