@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.jobs import queries
-from dossier.operators import lexical
+from dossier.operators import fusion, lexical
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,15 @@ def test_queries_score_the_documents_once(spark, name):
     """What is left to do when a query returns reads the written ranking; it was scored once, or twice, in the query's own plan."""
     found = plan(queries.QUERIES[name](spark, SF))
     assert "documents.parquet" not in found and "MapInArrow" not in found and "ArrowEvalPython" not in found
+
+
+def test_reranking_shuffles_no_text_but_the_candidates(spark, texts, asked):
+    ranked = lexical.bm25_topk(asked, texts, 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else the small tables of a test are sent whole anyway
+    try:
+        found = plan(fusion.overlap_rerank(ranked, asked, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    semi = [x for x in found.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
