@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.identity import digest, listed
+from dossier.functions.text import number
 from dossier.operators import observe
 
 VERSION = "1.0.0"
@@ -31,7 +32,9 @@ def operations(requests: DataFrame, latencies: DataFrame, metrics: DataFrame, ci
         observe.abstentions(decisions).withColumnRenamed("n", "n_decisions"),
     ]
     one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
-    mark = lambda head, *names: F.concat_ws(":", F.lit(head), *(F.col(n).cast("string") for n in names))
+    # a total is printed as Python prints it: Spark's own text of a double has an exponent from 1e7 on
+    shown = lambda n: number(F.col(n)) if n == "latency_total" else F.col(n).cast("string")
+    mark = lambda head, *names: F.concat_ws(":", F.lit(head), *map(shown, names))
     report_id = digest("observability-report-v1", VERSION, F.col("n_requests"), mark("lat", "latency_n", "latency_total"), mark("ret", "n_queries"), mark("cit", "n_references", "n_rejected"), mark("abs", "n_abstain", "n_escalate", "n_safe_to_present"))
     return one.withColumn("report_id", report_id)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from dossier.functions import identity
 from dossier.functions.ladders import first_match
-from dossier.functions.text import is_blank
+from dossier.functions.text import is_blank, number
 from dossier.operators import evidence, records, reports, review
 
 #: A record's fields by name. Kinds: text (not blank), string, hash (SHA-256 in hex), long, count (0 or more), place (1 or
@@ -63,31 +63,6 @@ def _escaped(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
 
 
-def _number(value: Column) -> Column:
-    """A double as Python prints it: the fewest digits that give it back, between 1e-04 and 1e+16 plain, else with an exponent.
-
-    Java's own text has a digit too many for some numbers, so one and 15 to 17 digits are tried first.
-    """
-    tried = [F.translate(F.format_string(f"%.{n - 1}e", value), "e+", "E") for n in (1, 15, 16, 17)]
-    text = F.coalesce(*(F.when(x.try_cast("double") == value, x) for x in tried), value.cast("string"))
-    part = lambda k: F.regexp_extract(text, r"^-?(\d+)(?:\.(\d+))?(?:E(-?\d+))?$", k)
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    both = F.concat(part(1), part(2))
-    head = F.regexp_replace(both, "^0+", "")
-    digits = F.regexp_replace(head, "0+$", "")
-    n = F.length(digits)
-    point = F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0)) - (F.length(both) - F.length(head))
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(n <= point, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    )
-    power = point - 1
-    short = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
-    shown = F.when(n == 0, "0.0").when(power.between(-4, 15), plain).otherwise(short)
-    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, shown))
-
-
 def canonical(value: Column, kind: T.DataType) -> Column:
     """``value`` as JSON text: keys sorted, no white space, nulls kept."""
     if isinstance(kind, T.StructType):
@@ -102,7 +77,7 @@ def canonical(value: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.StringType):
         out = _escaped(value)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = _number(value.cast("double"))
+        out = number(value.cast("double"))
     elif isinstance(kind, (T.BooleanType, T.IntegralType)):
         out = value.cast("string")
     else:
