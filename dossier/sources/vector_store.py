@@ -7,6 +7,7 @@ folder without meta is no index, so an interrupted build is never read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from dossier.operators import records
 VERSION = "1.0.0"
 #: Vectors per cell that centroids are fitted to, those with the smallest hash of their id; cells at most; rounds of the fit.
 SAMPLE_PER_CELL, MOST_CELLS, ROUNDS, SEED = 64, 4_096, 10, 7
-#: Chunks of a shard, whose ids and hashes are hashed in one row; vectors and queries that meet in one task.
+#: Chunks of a shard, whose ids and hashes are hashed in one row where there are several shards; vectors and queries that meet in one task.
 SHARD, SLICE, BLOCK = 65_536, 32_768, 16_384
 META = "schema_version string, model string, dimension int, normalize boolean, config string, n_vectors long, n_cells int, n_shards int, signature string"
 FAULT = "problem string, detail string"
@@ -68,10 +69,45 @@ def _checked(vectors: DataFrame, dimension: int) -> tuple[int, list[tuple[str, s
 
 def _signed(vectors: DataFrame, n_shards: int, model: str, dimension: int, normalize: bool, config: str) -> DataFrame:
     """(shard, n_chunks, index_signature): chunks are dealt by a hash of their id, in its order within a shard."""
+    if n_shards == 1:
+        return _signed_whole(vectors, model, dimension, normalize, config)
     dealt = vectors.select(F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).alias("shard"), F.col("chunk_id").alias("position"), "chunk_id", "content_hash")
     return records.dense_index_signatures(dealt, "shard", model, dimension, normalize, config)
 
 
+def _signed_whole(vectors: DataFrame, model: str, dimension: int, normalize: bool, config: str) -> DataFrame:
+    """records.dense_index_signatures() of one shard of any size, of which no task holds more than a stretch.
+
+    The ids, then the hashes, are sorted and joined to stretches of text by all tasks. One hash over all of them is what
+    the signature is, so one task reads the stretches in order; it keeps one at a time. No chunks give no rows.
+    """
+    name, content = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("chunk_id", "content_hash"))
+    parts = F.array(F.struct(F.lit(0).alias("kind"), name.alias("text")), F.struct(F.lit(1).alias("kind"), content.alias("text")))
+    rows = vectors.select(F.col("chunk_id").alias("position"), F.col("content_hash").alias("tie"), F.inline(parts))
+    order = ("kind", "position", "tie")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "kind", "text")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(b for b in batches if b.num_rows):
+            kinds, texts = batch.column("kind").to_numpy(), batch.column("text")
+            own = [(kind, texts.filter(pa.array(kinds == kind)).to_pylist()) for kind in np.unique(kinds).tolist()]
+            held = [(batch.column("part")[0].as_py(), n, kind, len(x), ",".join(x)) for kind, x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["part", "place", "kind", "n", "text"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, last, n = hashlib.sha256("|".join(["dense-index-v1", model, str(dimension), str(normalize), config]).encode()), -1, 0
+        for batch in batches:
+            for kind, count, text in zip(batch.column("kind").to_pylist(), batch.column("n").to_pylist(), batch.column("text"), strict=True):
+                made.update(b"," if kind == last else b"|")
+                made.update(text.as_py().encode())
+                last, n = kind, n + count * (kind == 0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([made.hexdigest()])], names=["shard", "n_chunks", "index_signature"])
+
+    stretches = dealt.mapInArrow(join, "part int, place int, kind int, n long, text string")
+    return stretches.repartition(1).sortWithinPartitions("kind", "part", "place").mapInArrow(sign, "shard long, n_chunks long, index_signature string")
+
+
 def _whole(shards: DataFrame) -> str:
     """An index's signature: its only shard's, or a hash of all of them in order. A row for every SHARD chunks is gathered."""
     rows = F.sort_array(F.collect_list(F.struct("shard", "index_signature")))
@@ -80,10 +116,11 @@ def _whole(shards: DataFrame) -> str:
     return shards.agg(one.alias("s")).first().s
 
 
-def build(vectors: DataFrame, path: str, model: str, dimension: int, normalize: bool = True, cells: int | None = None, shard: int = SHARD) -> str:
+def build(vectors: DataFrame, path: str, model: str, dimension: int, normalize: bool = True, cells: int | None = None, shard: int | None = SHARD) -> str:
     """Write an index of ``vectors`` (chunk_id, content_hash, vector; other columns are kept) at ``path``; returns its signature.
 
-    cells: coarse cells, the root of the number of vectors unless said. Nothing is written where an id comes twice or is
+    cells: coarse cells, the root of the number of vectors unless said. shard: chunks of a shard, None for one shard of all,
+    whose signature is made in one pass over ids and hashes. Nothing is written where an id comes twice or is
     missing, or a vector is null, of another dimension or not finite: IndexFault. An empty index has one cell, too.
     """
     spark = vectors.sparkSession
@@ -92,7 +129,7 @@ def build(vectors: DataFrame, path: str, model: str, dimension: int, normalize:
     n, wrong = _checked(vectors, dimension)
     if wrong:
         raise IndexFault(*wrong[0])
-    config, n_shards = records.dense_config("CELLS"), max(1, -(-n // shard))
+    config, n_shards = records.dense_config("CELLS"), max(1, -(-n // shard)) if shard else 1
     k = max(1, min(cells or math.isqrt(n), MOST_CELLS, max(n, 1)))
     own = F.transform("vector", lambda x: x.cast("double"))
     features = vectors.withColumn("_features", array_to_vector(unit(own) if normalize else own))

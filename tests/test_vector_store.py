@@ -60,6 +60,35 @@ def test_the_signature_of_one_shard_is_that_of_the_index_in_id_order(spark, rows
     assert signature == hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
+def test_one_shard_of_any_size_is_signed_in_stretches(spark, rows, tmp_path):
+    import hashlib
+
+    some = rows.limit(700)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 50)
+    try:
+        signature = V.build(some, str(tmp_path / "x"), "m", 64, shard=None)
+        assert V.faults(spark, str(tmp_path / "x"), "m", 64).count() == 0
+    finally:
+        spark.conf.set(key, before)
+    held = some.orderBy("chunk_id").collect()
+    parts = ["dense-index-v1", "m", "64", "True", "dense-index-config:v1.0.0:type=CELLS", ",".join(r.chunk_id for r in held), ",".join(r.content_hash for r in held)]
+    assert signature == hashlib.sha256("|".join(parts).encode()).hexdigest()
+    assert spark.read.parquet(str(tmp_path / "x" / "shards")).select("shard", "n_chunks").collect() == [(0, 700)]
+    V.build(rows.limit(0), str(tmp_path / "none"), "m", 64, shard=None)
+    assert V.faults(spark, str(tmp_path / "none"), "m", 64).count() == 0
+
+
+@pytest.mark.parametrize("name", ["vector_index_build"])
+def test_queries_keep_one_shard_beyond_the_usual_size(spark, name, monkeypatch):
+    import oracle
+    from dossier.jobs.queries import ORACLE_SQL, QUERIES
+
+    monkeypatch.setattr(V.build, "__defaults__", (True, None, 100))  # as if there were more vectors than SHARD
+    assert oracle.difference(QUERIES[name](spark, SF), oracle.connect(SF), ORACLE_SQL[name]) == ""
+
+
 def damaged(spark, index, to, table, change):
     for name in ("vectors", "cells", "shards", "meta"):
         df = spark.read.parquet(f"{index}/{name}")
