@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.identity import digest
-from dossier.functions.shared import Files
+from dossier.functions.shared import Files, shared_dir
 from dossier.operators.lexical import top_ranked
 
-#: Inputs that go to a provider at once, and about how many a slice has, which is what a killed run can lose.
+#: Inputs that go to a provider at once, and about how many a slice has, which is what a killed task can lose.
 BATCH, SLICE = 32, 1_000_000
+#: Jobs of a run at most: each takes its part of the slices, a task a slice.
+JOBS = 32
 
 
 class Provider(Protocol):
@@ -100,7 +102,9 @@ def answered(inputs: DataFrame, provider: Provider, path: str, batch: int = BATC
     """The answers for ``inputs`` (id, input: any column that can be printed, or a struct), asked where ``path`` hasn't got them.
 
     Null inputs get a failure (NULL_INPUT) without a call. again: failed ones are asked once more; their last answer counts.
-    Slices of about ``size`` inputs are jobs of their own: each is there whole or not at all. Ids must be distinct.
+    Inputs are dealt to slices of about ``size`` at most, written as they are due and then read once. A slice is a task that
+    appends one file as it ends, so each is there whole or not at all, also where its job is killed; a store whose own
+    committer waits for the job can lose one job of JOBS. Ids must be distinct.
     """
     spark = inputs.sparkSession
     kind = dict(inputs.dtypes)["id"]
@@ -118,13 +122,23 @@ def answered(inputs: DataFrame, provider: Provider, path: str, batch: int = BATC
     turn = (before.agg(F.max("turn").alias("t")).first().t or 0) + 1
     settled = before.where("success") if again else before
     todo = named.join(settled.select("id", "input_hash").distinct(), ["id", "input_hash"], "left_anti")
-    empty = todo.where("input IS NULL").select("id", "input_hash", F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), F.lit(False).alias("success"), F.lit(None).cast(provider.output).alias("output"), F.lit("NULL_INPUT").alias("failure_reason"))
-    parts = max(1, -(-todo.count() // size))
-    for part in range(parts):
-        # what was appended meanwhile is seen by the next slice, but slices never share an input
-        own = F.pmod(F.xxhash64("id"), F.lit(parts)) == part
-        found = ask(todo.where(own & F.col("input").isNotNull()), provider, batch, width).unionByName(empty.where(own))
-        found.withColumn("turn", F.lit(turn)).write.mode("append").parquet(path)
+    name = f"{shared_dir(spark)}/due"
+    try:
+        todo.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(JOBS)).cast("int")).write.partitionBy("bucket").parquet(name)
+        due = spark.read.schema(todo.withColumn("bucket", F.lit(0)).schema).parquet(name)
+        sizes = {r.bucket: r.n for r in due.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # JOBS rows at most
+        n_jobs = min(JOBS, max(1, -(-sum(sizes.values()) // size)))
+        for job in range(n_jobs):
+            own = due.where(F.col("bucket").isin(*(b for b in range(JOBS) if b % n_jobs == job)))
+            n = sum(m for b, m in sizes.items() if b % n_jobs == job)
+            slices = max(1, -(-n // size), min(spark.sparkContext.defaultParallelism, -(-n // batch)))
+            asked = own.where("input IS NOT NULL").repartition(slices, "id")
+            empty = own.where("input IS NULL").select("id", "input_hash", F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), F.lit(False).alias("success"), F.lit(None).cast(provider.output).alias("output"), F.lit("NULL_INPUT").alias("failure_reason"))
+            found = ask(asked, provider, batch, width).unionByName(empty).withColumn("turn", F.lit(turn))
+            # a task's file is moved to its place as the task ends, not as the job does
+            found.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    finally:
+        Files(spark, name).delete("")
     return _last(named, stored())
 
 

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -95,6 +96,39 @@ def test_a_killed_run_is_resumed(spark, tmp_path, monkeypatch):
     assert sorted(lines(tmp_path, "calls")) == sorted(texts)  # each exactly once over both runs
 
 
+def test_many_slices_are_few_jobs(spark, tmp_path):
+    tracker, group = spark.sparkContext.statusTracker(), str(tmp_path)
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        found = P.answered(rows(spark, [f"t{i}" for i in range(300)]), Fake(tmp_path, upper), str(tmp_path / "out"), size=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) < 100  # of 150 slices
+    assert found.where("success").count() == 300 and sorted(lines(tmp_path, "calls")) == sorted(f"t{i}" for i in range(300))
+
+
+def test_a_job_that_dies_keeps_the_slices_that_ended(spark, tmp_path, monkeypatch):
+    path, folder = str(tmp_path / "out"), str(tmp_path)
+
+    def dies(batch):
+        if "t7" in batch:
+            while not [x for x in (os.listdir(path) if os.path.exists(path) else ()) if x.endswith(".parquet")]:
+                time.sleep(0.1)
+            os._exit(1)
+        return [x.upper() for x in batch]
+
+    texts = [f"t{i}" for i in range(40)]
+    monkeypatch.setattr(P, "JOBS", 1)
+    with pytest.raises(Exception, match="(?i)abort|crash"):
+        P.answered(rows(spark, texts), Fake(folder, dies), path, size=5)
+    kept = {r.output for r in spark.read.parquet(path).collect()}
+    assert 0 < len(kept) < 40
+    found = by_id(P.answered(rows(spark, texts), Fake(folder, upper), path, size=5))
+    assert {k: v[1] for k, v in found.items()} == {i: t.upper() for i, t in enumerate(texts)}
+    calls = lines(tmp_path, "calls")
+    assert all(calls.count(x.lower()) == 1 for x in kept)
+
+
 def test_one_load_a_task_and_loads_that_fail(spark, tmp_path):
     P.answered(rows(spark, [f"t{i}" for i in range(200)]).repartition(2), Fake(tmp_path, upper), str(tmp_path / "a"), batch=3)
     assert 1 <= len(lines(tmp_path, "loads")) <= spark.sparkContext.defaultParallelism and len(lines(tmp_path, "calls")) == 200
