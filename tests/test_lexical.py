@@ -87,3 +87,24 @@ def test_evidence_is_made_of_the_ranked_documents_alone(spark, made):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     semi = [x for x in found.splitlines() if "LeftSemi" in x]
     assert semi and all("BroadcastHashJoin" in x for x in semi) and "MapInArrow" not in found
+
+
+def test_evaluation_shuffles_no_chunk_but_the_ranked(spark, monkeypatch):
+    """Chunks were shuffled to their documents, and each posting of theirs before."""
+    from dossier.jobs import refresh
+
+    rows = [(f"c{i}", f"d{i % 3}", f"word{i} common") for i in range(9)]
+    found = spark.createDataFrame(rows, "chunk_id string, document_id string, text string")
+    queries = spark.createDataFrame([(1, "word4"), (2, "common")], "query_id long, query string")
+    relevant = spark.createDataFrame([(1, "d1"), (2, "d0")], "query_id long, document_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = refresh.evaluated(found, queries, relevant)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        one = made.first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi) and "MapInArrow" not in plan
+    assert (one.reciprocal_rank, one.recall_at_k) == (1.0, 1.0)
